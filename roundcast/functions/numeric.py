@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,14 @@ def distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two position structs."""
     squares = [F.pow(a[axis] - b[axis], F.lit(2.0)) for axis in ("x", "y", "z")]
     return F.sqrt(squares[0] + squares[1] + squares[2])
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add costly columns so that they are computed exactly once per row.
+
+    A filter is pushed through a projection by copying the expressions it reads,
+    and a long expression reads its input many times. The row-number guard, true
+    for every row, keeps the optimizer from copying the column.
+    """
+    guard = F.monotonically_increasing_id() >= 0
+    return df.withColumns({name: F.when(guard, c) for name, c in columns.items()})

@@ -91,7 +91,10 @@ def history_summary(
         F.collect_list(n).alias("__rounds"),
     )
     broken = F.when(F.col("streak_side") == "CT", F.col("__t")).otherwise(F.col("__ct"))
-    run = F.size(F.filter("__rounds", lambda r: F.col("__broken").isNull() | (r > F.col("__broken"))))
+    later = F.filter(
+        "__rounds", lambda r: F.col("__broken").isNull() | (r > F.col("__broken"))
+    )
+    run = F.size(later).cast("long")
     return (
         packed.withColumn("__broken", broken)
         .withColumn("streak_length", run)

@@ -592,3 +592,821 @@ def calibration_bins(spark, sf_dir):
 def calibration_error(spark, sf_dir):
     report = ev.calibration_error(ev.calibration_bins(b.scored_documents(spark, sf_dir)))
     return _rounded(report, "expected_calibration_error", "max_calibration_error")
+
+
+_POINTS = ((0.0, 0.05), (0.1, 0.2), (0.35, 0.3), (0.6, 0.72), (0.9, 0.8), (1.0, 0.97))
+_INTERP_SQL = " ".join(
+    f"WHEN p <= CAST({x1} AS DOUBLE) THEN CAST({y0} AS DOUBLE) + "
+    f"(CAST({y1} AS DOUBLE) - {y0}) / (CAST({x1} AS DOUBLE) - {x0}) * (p - {x0})"
+    for (x0, y0), (x1, y1) in zip(_POINTS, _POINTS[1:])
+)
+
+
+@query(
+    f"WITH {_DOCS_SQL} SELECT match_id, round(CASE {_INTERP_SQL} END, 6) AS calibrated FROM docs"
+)
+def calibrate_apply(spark, sf_dir):
+    from roundcast.operators.calibrator import apply_calibrator
+
+    xs, ys = zip(*_POINTS)
+    out = apply_calibrator(b.scored_documents(spark, sf_dir), (xs, ys), "ct_win_probability")
+    return out.select("match_id", F.round("calibrated", 6).alias("calibrated"))
+
+
+# --- drift -----------------------------------------------------------------------------
+_DRIFT_COLUMNS = ["quantity", "price", "discount", "tax", "line", "returned"]
+_DRIFT_BIND = {
+    "quantity": "l_quantity",
+    "price": "l_extendedprice",
+    "discount": "l_discount",
+    "tax": "l_tax",
+    "line": "CAST(l_linenumber AS DOUBLE)",
+    "returned": "CASE WHEN l_returnflag = 'R' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END",
+}
+_DRIFT_LONG = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, l_shipdate < TIMESTAMP '1998-06-01 00:00:00' AS old, "
+    f"CAST({text} AS DOUBLE) AS v FROM lineitem"
+    for c, text in _DRIFT_BIND.items()
+)
+_DRIFT_SQL = f"""lg AS ({_DRIFT_LONG}),
+q AS (SELECT feature, unnest(quantile_cont(v, [{', '.join(f'{i / 10}' for i in range(11))}])) AS e
+      FROM lg WHERE old GROUP BY feature),
+edges AS (SELECT feature, list(DISTINCT e ORDER BY e) AS es FROM q GROUP BY feature),
+binned AS (SELECT lg.feature, old, len(es) AS n_edges,
+  len(list_filter(es[2:len(es) - 1], lambda x: x <= v)) AS bin, count(*) AS n
+  FROM lg JOIN edges USING (feature) GROUP BY ALL),
+stats AS (SELECT feature, count(*) FILTER (old) AS rn, count(*) FILTER (NOT old) AS ln,
+  count(DISTINCT v) FILTER (old) AS rd, count(DISTINCT v) FILTER (NOT old) AS ld,
+  avg(v) FILTER (old) AS rm, avg(v) FILTER (NOT old) AS lm, stddev_pop(v) FILTER (old) AS rs,
+  stddev_pop(v) FILTER (NOT old) AS ls FROM lg GROUP BY feature),
+shares AS (SELECT feature, bin, n_edges,
+  greatest(coalesce(sum(n) FILTER (old), 0) / any_value(rn), 1e-6) AS r,
+  greatest(coalesce(sum(n) FILTER (NOT old), 0) / any_value(ln), 1e-6) AS s
+  FROM binned JOIN stats USING (feature) GROUP BY feature, bin, n_edges),
+psi AS (SELECT feature, sum((s - r) * ln(s / r)) AS psi FROM shares GROUP BY feature),
+report AS (SELECT feature, psi, CASE WHEN rs < 1e-6 THEN 0 ELSE (lm - rm) / rs END AS mean_shift_sigma,
+  rm AS reference_mean, lm AS live_mean,
+  CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 THEN 'moderate' ELSE 'severe' END AS severity,
+  NOT (ld < 30 AND NOT rd > 2 * ld) AS well_sampled, CAST(ln AS BIGINT) AS sample_count
+  FROM psi JOIN stats USING (feature))"""
+
+
+def _drift_sides(spark, sf_dir):
+    lines = b.table(spark, sf_dir, "lineitem")
+    old = F.col("l_shipdate") < F.lit("1998-06-01").cast("timestamp_ntz")
+    columns = [F.expr(text).alias(c) for c, text in _DRIFT_BIND.items()]
+    return lines.filter(old).select(*columns), lines.filter(~old).select(*columns)
+
+
+@query(f"WITH {_DRIFT_SQL} SELECT feature, round(psi, 6) AS psi FROM psi")
+def psi_by_feature(spark, sf_dir):
+    old, new = _drift_sides(spark, sf_dir)
+    index = dr.stability_index(
+        dr.value_counts(old, _DRIFT_COLUMNS), dr.value_counts(new, _DRIFT_COLUMNS)
+    )
+    return index.select("feature", F.round("psi", 6).alias("psi"))
+
+
+@query(
+    f"""WITH {_DRIFT_SQL} SELECT feature, round(psi, 6) AS psi,
+    round(mean_shift_sigma, 5) AS mean_shift_sigma, round(reference_mean, 4) AS reference_mean,
+    round(live_mean, 4) AS live_mean, severity, well_sampled, sample_count FROM report"""
+)
+def drift_report(spark, sf_dir):
+    report = dr.drift_report(*_drift_sides(spark, sf_dir), columns=_DRIFT_COLUMNS)
+    return report.select(
+        "feature",
+        F.round("psi", 6).alias("psi"),
+        F.round("mean_shift_sigma", 5).alias("mean_shift_sigma"),
+        F.round("reference_mean", 4).alias("reference_mean"),
+        F.round("live_mean", 4).alias("live_mean"),
+        "severity",
+        "well_sampled",
+        "sample_count",
+    )
+
+
+@query(
+    f"""WITH {_DRIFT_SQL} SELECT CASE WHEN count(*) FILTER (well_sampled) = 0 THEN 'unknown'
+      WHEN count(*) FILTER (well_sampled AND severity = 'severe') > 0 THEN 'severe'
+      WHEN count(*) FILTER (well_sampled AND severity = 'moderate') > 0 THEN 'moderate'
+      ELSE 'stable' END AS severity, round(max(psi), 6) AS max_psi,
+      CAST(count(*) FILTER (well_sampled AND severity <> 'stable') AS BIGINT) AS drifted,
+      min(sample_count) AS sample_count,
+      count(*) FILTER (well_sampled AND severity = 'severe') > 0 AS should_retrain FROM report"""
+)
+def drift_verdict(spark, sf_dir):
+    report = dr.drift_report(*_drift_sides(spark, sf_dir), columns=_DRIFT_COLUMNS)
+    out = dr.drift_verdict(report).drop("worst_feature")
+    return out.withColumn("max_psi", F.round("max_psi", 6))
+
+
+_QUANT_SQL = ", ".join(
+    f"round(quantile_cont(v, {i / 10}), 4) AS q{i * 10}" for i in range(11)
+)
+
+
+@query(f"WITH lg AS ({_DRIFT_LONG}) SELECT feature, {_QUANT_SQL} FROM lg WHERE old GROUP BY feature")
+def reference_quantiles(spark, sf_dir):
+    old, _ = _drift_sides(spark, sf_dir)
+    out = dr.exact_quantiles(dr.value_counts(old, _DRIFT_COLUMNS), [i / 10 for i in range(11)])
+    return out.select(
+        "feature", *[F.round(F.get("quantiles", F.lit(i)), 4).alias(f"q{i * 10}") for i in range(11)]
+    )
+
+
+@query(
+    f"SELECT CAST(least(20000, count(*)) AS BIGINT) AS sampled, count(*) <= 20000 AS whole FROM lineitem"
+)
+def reference_sample(spark, sf_dir):
+    lines = b.table(spark, sf_dir, "lineitem")
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+    taken = dr.reference_sample(lines, key)
+    total = lines.select(F.count(F.lit(1))).scalar()
+    return taken.agg(F.count(F.lit(1)).alias("sampled")).withColumn("whole", total <= 20_000)
+
+
+# --- predictions and confidence ------------------------------------------------------------
+@query(
+    f"""WITH {EVENTS_SQL} SELECT match_id, sequence, probability AS ct_win_probability,
+    1 - probability AS t_win_probability, CASE WHEN abs(probability - 0.5) < 0.01 THEN 'even'
+    WHEN probability > 0.5 THEN 'CT' ELSE 'T' END AS favoured_side,
+    abs(probability - 0.5) * 2 AS confidence FROM ev"""
+)
+def prediction_columns(spark, sf_dir):
+    return b.events(spark, sf_dir).select(
+        "match_id", "sequence", *scoring.prediction_columns(F.col("probability"))
+    )
+
+
+_CONFIDENCE_SQL = f"""{EVENTS_SQL}, st AS (SELECT match_id, sequence, probability,
+    count(*) OVER w AS n, stddev_pop(probability) OVER w AS sd FROM ev
+    WINDOW w AS (PARTITION BY match_id ORDER BY sequence ROWS 7 PRECEDING)),
+  parts AS (SELECT match_id, sequence, least(1, abs(probability - 0.5) * 2) AS decisiveness,
+    CASE WHEN probability < 0.9 THEN 1 - probability / 3 ELSE CAST(0.25 AS DOUBLE) END AS support,
+    CASE WHEN n < 3 THEN 1 ELSE greatest(0, 1 - sd / 0.15) END AS stability FROM st),
+  conf AS (SELECT *, pow(greatest(decisiveness, 1e-6) * greatest(support, 1e-6)
+    * greatest(stability, 1e-6), CAST(1 AS DOUBLE) / 3) AS score FROM parts)"""
+
+
+@query(
+    f"""WITH {_CONFIDENCE_SQL} SELECT match_id, sequence, round(decisiveness, 5) AS decisiveness,
+    round(support, 5) AS support, round(stability, 5) AS stability, round(score, 5) AS score,
+    CASE WHEN score >= 0.66 THEN 'high' WHEN score >= 0.33 THEN 'medium' ELSE 'low' END AS band,
+    CASE WHEN decisiveness <= support AND decisiveness <= stability THEN 'decisiveness'
+      WHEN support <= stability THEN 'training support' ELSE 'stability' END AS limited_by FROM conf"""
+)
+def confidence_scores(spark, sf_dir):
+    from roundcast.plans.confidence import score_confidence
+
+    p = F.col("probability")
+    rows = b.events(spark, sf_dir).select(
+        "match_id",
+        "sequence",
+        "probability",
+        F.when(p < 0.9, 1.0 - p / 3.0).otherwise(0.25).alias("support"),
+    )
+    out = score_confidence(rows, "probability")
+    return out.select(
+        "match_id",
+        "sequence",
+        *[
+            F.round(c, 5).alias(c)
+            for c in ("decisiveness", "support", "stability", "score")
+        ],
+        "band",
+        "limited_by",
+    )
+
+
+# --- live state -----------------------------------------------------------------------------
+@query(
+    f"""WITH {EVENTS_SQL} SELECT match_id, sequence, round_number, value FROM (SELECT *,
+    row_number() OVER (PARTITION BY match_id ORDER BY sequence DESC) AS rn FROM ev
+    WHERE event_type = 'tick') WHERE rn = 1"""
+)
+def latest_snapshot(spark, sf_dir):
+    ticks = b.events(spark, sf_dir).filter("event_type = 'tick'")
+    return lv.latest_per_match(ticks, columns=["sequence", "round_number", "value"])
+
+
+_NOW = "2024-01-30 00:00:00"
+_LATEST_SQL = f"""{EVENTS_SQL}, latest AS (SELECT match_id, max(timestamp) AS written_at FROM ev
+  WHERE event_type = 'tick' GROUP BY match_id)"""
+
+
+@query(
+    f"""WITH {_LATEST_SQL} SELECT match_id FROM latest
+    WHERE written_at + INTERVAL 86400 SECOND > TIMESTAMP '{_NOW}'"""
+)
+def live_ids(spark, sf_dir):
+    ticks = b.events(spark, sf_dir).filter("event_type = 'tick'")
+    latest = ticks.groupBy("match_id").agg(F.max("timestamp").alias("written_at"))
+    return lv.live_matches(latest, F.lit(_NOW).cast("timestamp"), ttl_seconds=86_400.0)
+
+
+@query(
+    f"""WITH {EVENTS_SQL} SELECT match_id, sequence, event_type FROM ev
+    WHERE timestamp + INTERVAL 3600 SECOND > TIMESTAMP '{_NOW}'"""
+)
+def ttl_filter(spark, sf_dir):
+    kept = lv.unexpired(b.events(spark, sf_dir), "timestamp", F.lit(_NOW).cast("timestamp"))
+    return kept.select("match_id", "sequence", "event_type")
+
+
+_HISTORY_SQL = f"""{_ROUND_ONCE_SQL}, history AS (SELECT * EXCLUDE (hn) FROM (SELECT *,
+  row_number() OVER (PARTITION BY match_id ORDER BY round_number DESC) AS hn FROM once)
+  WHERE hn <= 64)"""
+
+
+@query(
+    f"WITH {_HISTORY_SQL} SELECT match_id, round_number, winner, reason, score_ct, score_t, sequence FROM history"
+)
+def round_history(spark, sf_dir):
+    return lv.round_history(b.customer_rounds(spark, sf_dir))
+
+
+_STREAK_SQL = f"""{_HISTORY_SQL}, lastw AS (SELECT match_id, arg_max(winner, round_number) AS streak_side,
+    count(*) AS n, count(*) FILTER (winner = 'CT') AS ct_wins FROM history GROUP BY match_id),
+  brk AS (SELECT h.match_id, max(round_number) FILTER (h.winner <> l.streak_side) AS broken
+    FROM history h JOIN lastw l USING (match_id) GROUP BY h.match_id),
+  summary AS (SELECT l.match_id, n AS rounds_played, ct_wins, n - ct_wins AS t_wins, streak_side,
+    (SELECT count(*) FROM history h WHERE h.match_id = l.match_id
+      AND h.round_number > coalesce(b.broken, -1)) AS streak_length
+    FROM lastw l JOIN brk b USING (match_id))"""
+
+
+@query(f"WITH {_STREAK_SQL} SELECT * FROM summary")
+def current_streak(spark, sf_dir):
+    return lv.history_summary(lv.round_history(b.customer_rounds(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {_STREAK_SQL} SELECT c_custkey AS match_id, coalesce(rounds_played, 0) AS rounds_played,
+    coalesce(ct_wins, 0) AS ct_wins, coalesce(t_wins, 0) AS t_wins,
+    coalesce(streak_side, '') AS streak_side, coalesce(streak_length, 0) AS streak_length
+    FROM customer LEFT JOIN summary ON match_id = c_custkey"""
+)
+def match_with_history(spark, sf_dir):
+    matches = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("match_id"))
+    summary = lv.history_summary(lv.round_history(b.customer_rounds(spark, sf_dir)))
+    joined = lv.with_history(matches, summary).fillna({"streak_side": ""})
+    return joined.withColumn("streak_length", F.col("streak_length").cast("long"))
+
+
+@query(
+    f"""WITH {_CUSTOMER_ROUNDS_SQL}, bef AS (SELECT match_id, sequence, score_ct,
+    lag(score_ct, 1, 0) OVER (PARTITION BY match_id ORDER BY sequence) AS score_before FROM cr)
+    SELECT *, CASE WHEN score_ct > score_before THEN 'CT' ELSE 'T' END AS round_winner FROM bef"""
+)
+def running_scoreline(spark, sf_dir):
+    rounds = b.customer_rounds(spark, sf_dir).select("match_id", "sequence", "score_ct")
+    return lv.running_scoreline(rounds, order="sequence")
+
+
+@query(
+    f"""WITH {EVENTS_SQL} SELECT match_id, sequence, probability FROM (SELECT *, row_number() OVER
+    (PARTITION BY match_id ORDER BY sequence) AS rn FROM ev WHERE event_type = 'tick') WHERE rn % 8 = 0"""
+)
+def systematic_sample(spark, sf_dir):
+    ticks = b.events(spark, sf_dir).filter("event_type = 'tick'")
+    return lv.systematic_sample(ticks.select("match_id", "sequence", "probability"), 8)
+
+
+@query(
+    f"""WITH {EVENTS_SQL}, ends AS (SELECT match_id, max(sequence) AS last_end FROM ev
+      WHERE event_type = 'round_end' GROUP BY match_id)
+    SELECT ev.match_id, sequence, probability FROM ev LEFT JOIN ends USING (match_id)
+    WHERE event_type = 'tick' AND sequence > coalesce(last_end, -1)
+    QUALIFY row_number() OVER (PARTITION BY ev.match_id ORDER BY sequence DESC) <= 600"""
+)
+def probability_timeline(spark, sf_dir):
+    rows = b.events(spark, sf_dir).withColumn(
+        "event_type",
+        F.when(F.col("event_type") == "tick", "prediction").otherwise(F.col("event_type")),
+    )
+    return lv.probability_timeline(rows).select("match_id", "sequence", "probability")
+
+
+@query(
+    f"""WITH {EVENTS_SQL} SELECT match_id, sequence, winner, reason,
+    CAST(row_number() OVER (PARTITION BY match_id ORDER BY sequence DESC) AS INT) AS position
+    FROM ev WHERE event_type = 'round_end' QUALIFY position <= 32"""
+)
+def round_log(spark, sf_dir):
+    ends = b.events(spark, sf_dir).filter("event_type = 'round_end'")
+    return lv.round_log(ends.select("match_id", "sequence", "winner", "reason"))
+
+
+_THROTTLE_US = 86_400_000_000
+_THROTTLE_SQL = f"""{EVENTS_SQL}, tk AS (SELECT match_id, sequence, CAST(epoch_us(timestamp) AS BIGINT) AS us,
+    row_number() OVER (PARTITION BY match_id ORDER BY sequence) AS rn FROM ev WHERE event_type = 'tick'),
+  walk AS (SELECT match_id, sequence, us, rn, us AS last_us, true AS kept FROM tk WHERE rn = 1
+    UNION ALL SELECT t.match_id, t.sequence, t.us, t.rn,
+      CASE WHEN t.us - w.last_us >= {_THROTTLE_US} THEN t.us ELSE w.last_us END,
+      t.us - w.last_us >= {_THROTTLE_US} FROM walk w JOIN tk t
+      ON t.match_id = w.match_id AND t.rn = w.rn + 1)"""
+_WALK_SQL = _THROTTLE_SQL
+
+
+def _throttled(spark, sf_dir):
+    ticks = b.events(spark, sf_dir).filter("event_type = 'tick'")
+    timed = ticks.select("match_id", "sequence", micros(F.col("timestamp")).alias("us"))
+    return lv.throttle(timed, 86_400.0, segment_seconds=86_400.0 * 8)
+
+
+@query(f"WITH RECURSIVE {_WALK_SQL} SELECT match_id, sequence, kept FROM walk")
+def throttle_frames(spark, sf_dir):
+    return _throttled(spark, sf_dir).select("match_id", "sequence", "kept")
+
+
+@query(
+    f"""WITH RECURSIVE {_WALK_SQL} SELECT count(*) AS ticks_seen, count(*) FILTER (NOT kept) AS throttled,
+    round(count(*) FILTER (NOT kept) / count(*), 6) AS throttle_rate FROM walk"""
+)
+def throttle_rate(spark, sf_dir):
+    return _rounded(lv.throttle_counters(_throttled(spark, sf_dir)), "throttle_rate")
+
+
+def _frames(spark, sf_dir):
+    rows = b.events(spark, sf_dir)
+    body = F.struct("round_number", "value").alias("body")
+    base = ["match_id", "sequence", "timestamp"]
+    ticks = rows.filter("event_type = 'tick'")
+    return lv.frame_stream(
+        ticks.select(*base, F.struct(F.col("probability").alias("p")).alias("body")),
+        ticks.select(*base, body),
+        rows.filter("event_type = 'round_end'").select(
+            *base, F.struct("winner", "reason").alias("body")
+        ),
+        interval_seconds=86_400.0,
+    )
+
+
+_FRAMES_SQL = f"""{_WALK_SQL}, frames AS (
+  SELECT 'prediction' AS type, match_id, sequence, '' AS extra FROM ev WHERE event_type = 'tick'
+  UNION ALL SELECT 'tick', match_id, sequence, '' FROM walk WHERE kept
+  UNION ALL SELECT 'round_end', match_id, sequence,
+    concat('{{"winner":"', winner, '","reason":"', reason, '"}}') FROM ev WHERE event_type = 'round_end')"""
+
+
+@query(f"WITH RECURSIVE {_FRAMES_SQL} SELECT type, match_id, sequence, extra FROM frames")
+def frame_stream(spark, sf_dir):
+    return _frames(spark, sf_dir).select(
+        "type",
+        "match_id",
+        "sequence",
+        F.when(F.col("type") == "round_end", F.col("payload")).otherwise("").alias("extra"),
+    )
+
+
+@query(
+    f"""WITH RECURSIVE {_FRAMES_SQL}, agg AS (SELECT match_id,
+      max(sequence) FILTER (type = 'prediction') AS p, max(sequence) FILTER (type = 'round_end') AS e,
+      count(*) FILTER (type = 'round_end') AS rounds_ended, max(sequence) FILTER (type = 'tick') AS t
+      FROM frames GROUP BY match_id)
+    SELECT match_id, rounds_ended, t IS NOT NULL AS has_snapshot,
+      p IS NOT NULL AND coalesce(e, -1) < p AS has_prediction FROM agg"""
+)
+def frame_fold(spark, sf_dir):
+    state = lv.dashboard_state(_frames(spark, sf_dir))
+    return state.select(
+        "match_id",
+        "rounds_ended",
+        F.col("snapshot").isNotNull().alias("has_snapshot"),
+        F.col("prediction").isNotNull().alias("has_prediction"),
+    )
+
+
+@query(
+    """WITH last AS (SELECT value FROM events ORDER BY event_id DESC LIMIT 1000),
+    s AS (SELECT list_sort(list(value)) AS v, count(*) AS n, avg(value) AS m FROM last)
+    SELECT CAST(n AS BIGINT) AS count, round(m, 6) AS mean_ms,
+      v[least(n - 1, CAST(floor(0.5 * n) AS BIGINT)) + 1] AS p50_ms,
+      v[least(n - 1, CAST(floor(0.95 * n) AS BIGINT)) + 1] AS p95_ms,
+      v[least(n - 1, CAST(floor(0.99 * n) AS BIGINT)) + 1] AS p99_ms FROM s"""
+)
+def latency_percentiles(spark, sf_dir):
+    return _rounded(lv.latency_report(b.events(spark, sf_dir), "value"), "mean_ms")
+
+
+# --- display ----------------------------------------------------------------------------------
+_LADDER_SQL = "[" + ", ".join(str(v) for v in fv.LOSS_LADDER) + "]"
+
+
+def _bonus_sql(c):
+    return f"CASE WHEN {c} <= 0 THEN 0 ELSE {_LADDER_SQL}[least({c}, 5)] END"
+
+
+@query(
+    f"""WITH {TICKS_SQL} SELECT match_id, sequence,
+    round(CASE WHEN money_ct + money_t > 0 THEN money_ct / (money_ct + money_t) * 100 ELSE 50 END, 6) AS money_share,
+    CASE WHEN money_ct >= 20000 THEN 'full buy' ELSE 'limited' END AS badge_ct,
+    CASE WHEN money_t >= 20000 THEN 'full buy' ELSE 'limited' END AS badge_t,
+    CAST({_bonus_sql('losses_ct')} AS INT) AS next_bonus_ct,
+    CAST({_bonus_sql('losses_t')} AS INT) AS next_bonus_t FROM ticks"""
+)
+def economy_view(spark, sf_dir):
+    c = F.col
+    return b.ticks(spark, sf_dir).select(
+        "match_id",
+        "sequence",
+        F.round(display.comparison_share(c("money_ct"), c("money_t")), 6).alias("money_share"),
+        display.buy_badge(c("money_ct")).alias("badge_ct"),
+        display.buy_badge(c("money_t")).alias("badge_t"),
+        display.loss_bonus(c("losses_ct")).alias("next_bonus_ct"),
+        display.loss_bonus(c("losses_t")).alias("next_bonus_t"),
+    )
+
+
+@query(
+    f"""WITH {TICKS_SQL}, cl AS (SELECT match_id, sequence, map_name, bomb_planted, bomb_seconds,
+      CASE WHEN bomb_planted AND bomb_seconds IS NOT NULL THEN bomb_seconds ELSE seconds_remaining END AS clock FROM ticks)
+    SELECT match_id, sequence, clock,
+      concat(CAST(CAST(floor(floor(clock) / 60) AS INT) AS STRING), ':', lpad(CAST(CAST(floor(clock) AS INT) % 60 AS STRING), 2, '0')) AS label,
+      bomb_planted AND coalesce(bomb_seconds <= 10, false) AS urgent,
+      concat(upper(substr(map_name, 4, 1)), substr(map_name, 5)) AS map FROM cl"""
+)
+def clock_labels(spark, sf_dir):
+    c = F.col
+    clock = display.active_clock(c("seconds_remaining"), c("bomb_planted"), c("bomb_seconds"))
+    return b.ticks(spark, sf_dir).select(
+        "match_id",
+        "sequence",
+        clock.alias("clock"),
+        display.clock_label(clock).alias("label"),
+        display.urgent(c("bomb_planted"), c("bomb_seconds")).alias("urgent"),
+        display.map_label(c("map_name")).alias("map"),
+    )
+
+
+_WEAPON_OF_PART = f"{_WEAPONS_SQL}[p_partkey % 16 + 1]"
+_COST_CASE = " ".join(f"WHEN '{w}' THEN {cost}" for w, cost in fv.WEAPON_COST.items())
+_LABEL_CASE = " ".join(f"WHEN '{w}' THEN '{label}'" for w, label in fv.WEAPON_LABEL.items())
+
+
+@query(
+    f"""WITH w AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE {_WEAPON_OF_PART} END AS weapon FROM part)
+    SELECT p_partkey, coalesce(weapon, '') AS weapon, CAST(coalesce(CASE weapon {_COST_CASE} END, 0)
+      + CASE WHEN p_size > 40 THEN 1000 WHEN p_size > 10 THEN 650 ELSE 0 END
+      + CASE WHEN p_size % 3 = 0 THEN 400 ELSE 0 END AS INT) AS loadout_value,
+      coalesce(CASE weapon {_LABEL_CASE} END, '—') AS label,
+      CASE WHEN p_size * 2 > 60 THEN 'healthy' WHEN p_size * 2 > 25 THEN 'hurt' ELSE 'critical' END AS band,
+      coalesce(weapon IN ({', '.join(f"'{w}'" for w in fv.SIDE_WEAPONS['CT'])}), false) AS ct_can_buy,
+      coalesce(weapon IN ({', '.join(f"'{w}'" for w in fv.SIDE_WEAPONS['T'])}), false) AS t_can_buy FROM w"""
+)
+def loadout_value(spark, sf_dir):
+    weapons = F.array(*[F.lit(w) for w in fv.WEAPON_COST])
+    part = b.table(spark, sf_dir, "part")
+    weapon = F.when(
+        F.col("p_partkey") % 17 != 0, F.get(weapons, (F.col("p_partkey") % 16).cast("int"))
+    )
+    size = F.col("p_size")
+    rows = part.select("p_partkey", "p_size", weapon.alias("weapon"))
+    w = F.col("weapon")
+    return rows.select(
+        "p_partkey",
+        F.coalesce(w, F.lit("")).alias("weapon"),
+        display.loadout_value(w, size - 10, size > 40, size % 3 == 0).alias("loadout_value"),
+        display.weapon_label(w).alias("label"),
+        display.health_band(size * 2).alias("band"),
+        F.coalesce(display.legal_weapon(F.lit("CT"), w), F.lit(False)).alias("ct_can_buy"),
+        F.coalesce(display.legal_weapon(F.lit("T"), w), F.lit(False)).alias("t_can_buy"),
+    )
+
+
+_REASON_CASE = " ".join(f"WHEN '{r}' THEN '{label}'" for r, label in fv.REASON_LABEL.items())
+
+
+@query(
+    f"""WITH {ROUNDS_SQL} SELECT match_id, CASE reason {_REASON_CASE} END AS reason_text,
+    CASE winner WHEN 'CT' THEN 'T' ELSE 'CT' END AS loser FROM rounds"""
+)
+def outcome_labels(spark, sf_dir):
+    return b.rounds(spark, sf_dir).select(
+        "match_id",
+        display.reason_label(F.col("reason")).alias("reason_text"),
+        display.opponent(F.col("winner")).alias("loser"),
+    )
+
+
+# --- reports --------------------------------------------------------------------------------
+@query(
+    f"""WITH {EVENTS_SQL} SELECT match_id, count(*) AS events,
+    count(*) FILTER (event_type = 'tick') AS tick_events,
+    count(*) FILTER (event_type = 'kill') AS kill_events,
+    count(*) FILTER (event_type = 'bomb_planted') AS bomb_planted_events,
+    count(*) FILTER (event_type = 'round_end') AS round_end_events,
+    count(*) FILTER (event_type = 'round_end' AND winner = 'CT') AS ct_rounds,
+    CASE WHEN round_end_events > 0 THEN ct_rounds / round_end_events ELSE 0 END AS ct_win_rate,
+    CASE WHEN round_end_events > 0 THEN bomb_planted_events / round_end_events ELSE 0 END AS plant_rate
+    FROM ev GROUP BY match_id"""
+)
+def match_report(spark, sf_dir):
+    from roundcast.plans import reports
+
+    return reports.match_report(b.events(spark, sf_dir))
+
+
+@query(f"WITH {ROUNDS_SQL} SELECT reason, count(*) AS rounds FROM rounds GROUP BY reason")
+def outcome_frequency(spark, sf_dir):
+    from roundcast.plans import reports
+
+    return reports.outcome_frequency(b.rounds(spark, sf_dir))
+
+
+@query(
+    f"""WITH {ROUNDS_SQL} SELECT reason, count(*) FILTER (winner = 'CT') AS "CT",
+    count(*) FILTER (winner = 'T') AS "T" FROM rounds GROUP BY reason"""
+)
+def outcomes_by_side(spark, sf_dir):
+    from roundcast.plans import reports
+
+    return reports.outcomes_by_side(b.rounds(spark, sf_dir))
+
+
+@query(
+    f"""WITH {EVENTS_SQL}, th AS (SELECT match_id, count(*) AS events,
+    count(*) FILTER (event_type = 'tick') AS ticks, count(*) FILTER (event_type = 'round_end') AS rounds,
+    CAST(max(epoch_us(timestamp)) - min(epoch_us(timestamp)) AS DOUBLE) / 1000000 AS seconds FROM ev GROUP BY match_id)
+    SELECT *, CASE WHEN seconds > 0 THEN events / seconds ELSE 0 END AS events_per_second FROM th"""
+)
+def replay_throughput(spark, sf_dir):
+    from roundcast.plans import reports
+
+    timed = b.events(spark, sf_dir).withColumn("us", micros(F.col("timestamp")))
+    return reports.throughput(timed)
+
+
+_IMPORTANCE = {
+    "alive_delta": 0.33,
+    "alive_ratio": 0.21,
+    "health_ratio": 0.17,
+    "time_fraction": 0.08,
+    "equipment_ratio": 0.06,
+    "score_delta": 0.04,
+}
+_IMPORTANCE_SQL = "importance AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{k}', CAST({v} AS DOUBLE))" for k, v in _IMPORTANCE.items()
+) + ") AS t(feature, importance))"
+
+
+@query(
+    f"""WITH {LABELLED_SQL}, feats AS ({FEATURES_SQL}), {_IMPORTANCE_SQL},
+    long AS ({' UNION ALL '.join(f"SELECT match_id, sequence, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM feats" for f in fv.FEATURES)})
+    SELECT match_id, sequence, feature, value, coalesce(importance, 0) AS importance
+    FROM long LEFT JOIN importance USING (feature)"""
+)
+def explained_prediction(spark, sf_dir):
+    from roundcast.plans import reports
+
+    return reports.explained_predictions(
+        _features(spark, sf_dir), _IMPORTANCE, ["match_id", "sequence"]
+    )
+
+
+@query(
+    f"""WITH {LABELLED_SQL}, feats AS ({FEATURES_SQL}), long AS ({_LONG_SQL}),
+    ranked AS (SELECT feature, round(stddev_samp(value), 6) AS importance FROM long GROUP BY feature)
+    SELECT * FROM ranked ORDER BY importance DESC, feature LIMIT 5"""
+)
+def top_features(spark, sf_dir):
+    from roundcast.plans import reports
+
+    spread = sm.describe_features(_features(spark, sf_dir))
+    return reports.top_features(
+        spread.select("feature", F.round("std", 6).alias("importance"))
+    )
+
+
+@query(
+    f"""WITH {TICKS_SQL} SELECT count(*) AS ticks_seen,
+    count(*) FILTER (phase IN ('live', 'bomb_planted')) AS predictions_published,
+    count(*) FILTER (phase NOT IN ('live', 'bomb_planted')) AS skipped,
+    round(count(*) FILTER (phase IN ('live', 'bomb_planted')) / count(*), 6) AS publish_rate FROM ticks"""
+)
+def worker_counters(spark, sf_dir):
+    counters = lv.worker_counters(b.ticks(spark, sf_dir), scoreable(F.col("phase")))
+    return _rounded(counters, "publish_rate")
+
+
+@query(
+    f"WITH {EVENTS_SQL} SELECT event_type, count(*) AS n, max(sequence) AS last_sequence FROM ev GROUP BY event_type"
+)
+def event_dispatch(spark, sf_dir):
+    from roundcast.sources.tables import route
+
+    branches = route(b.events(spark, sf_dir), ["tick", "kill", "round_start", "round_end"])
+    counted = [
+        rows.groupBy("event_type").agg(
+            F.count(F.lit(1)).alias("n"), F.max("sequence").alias("last_sequence")
+        )
+        for rows in branches.values()
+    ]
+    out = counted[0]
+    for part in counted[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+# --- wire format and data quality ---------------------------------------------------------------
+_REASONS = fv.ROUND_END_REASONS
+
+
+def _payloads(spark, sf_dir):
+    """Raw JSON messages from the events table; many of them break a rule."""
+    e = F.col("event_id")
+    weapons = F.array(*[F.lit(w) for w in (*fv.WEAPON_COST, "railgun")])
+    reasons = F.array(*[F.lit(r) for r in _REASONS])
+
+    def part(text: str, *values) -> F.Column:
+        return F.format_string(text, *values)
+
+    number = (e % 70).cast("int")
+    body = (
+        F.when(
+            F.col("event_type") == "signup",
+            part(
+                '"event_type":"round_start","round_number":%d,"score_ct":%d,"score_t":3',
+                number,
+                e % 66,
+            ),
+        )
+        .when(
+            F.col("event_type") == "purchase",
+            part(
+                '"event_type":"kill","round_number":1,"killer_id":"p%d","victim_id":"p%d",'
+                '"assister_id":"p%d","weapon":"%s","headshot":%s,"victim_team":"CT"',
+                e % 5,
+                e % 7,
+                e % 11,
+                F.get(weapons, (e % 17).cast("int")),
+                (F.col("value") > 20).cast("string"),
+            ),
+        )
+        .when(
+            F.col("event_type") == "view",
+            part(
+                '"event_type":"bomb_planted","round_number":2,"planter_id":"p1","site":"%s"',
+                F.get(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (e % 3).cast("int")),
+            ),
+        )
+        .when(
+            F.col("event_type") == "click",
+            part(
+                '"event_type":"bomb_defused","round_number":3,"defuser_id":"p2","seconds_remaining":%s',
+                F.col("value").cast("string"),
+            ),
+        )
+        .otherwise(
+            part(
+                '"event_type":"round_end","round_number":4,"winner":"%s","reason":"%s",'
+                '"score_ct":1,"score_t":0',
+                F.when(e % 2 == 0, "CT").otherwise("T"),
+                F.get(reasons, (e % 5).cast("int")),
+            )
+        )
+    )
+    extra = F.when(e % 41 == 0, ',"cheat":1').otherwise("")
+    end = F.when(e % 50 == 7, "").otherwise("}")
+    return b.table(spark, sf_dir, "events").select(
+        "event_id",
+        "user_id",
+        F.concat(
+            part('{"match_id":"u%d","sequence":%d,', F.col("user_id"), e), body, extra, end
+        ).alias("value"),
+    )
+
+
+_ENDS_CT = ", ".join(f"'{r}'" for r in fv.REASONS_ONLY_CT_WINS)
+_ENDS_T = ", ".join(f"'{r}'" for r in fv.REASONS_ONLY_T_WINS)
+_REASON_SQL = "[" + ", ".join(f"'{r}'" for r in _REASONS) + "][event_id % 5 + 1]"
+_VIOLATION_SQL = {
+    "assister_distinct": "event_type = 'purchase' AND (event_id % 11 = event_id % 5 OR event_id % 11 = event_id % 7)",
+    "defuse_seconds": "event_type = 'click' AND value > 40",
+    "plant_site": "event_type = 'view' AND event_id % 3 = 2",
+    "reason_matches_winner": (
+        f"event_type = 'error' AND ((event_id % 2 = 0 AND {_REASON_SQL} IN ({_ENDS_T})) "
+        f"OR (event_id % 2 = 1 AND {_REASON_SQL} IN ({_ENDS_CT})))"
+    ),
+    "required_fields": "event_id % 50 = 7",
+    "round_number_range": "event_type = 'signup' AND (event_id % 70 = 0 OR event_id % 70 > 64)",
+    "score_range": "event_type = 'signup' AND event_id % 66 > 64",
+    "unknown_fields": "event_id % 41 = 0",
+    "vocabulary": "event_type = 'purchase' AND event_id % 17 = 16",
+}
+_BROKEN_SQL = "CASE WHEN event_id % 50 = 7 THEN 'required_fields' ELSE concat_ws(',', " + ", ".join(
+    f"CASE WHEN {test} THEN '{name}' END"
+    for name, test in _VIOLATION_SQL.items()
+    if name != "required_fields"
+) + ") END"
+_CHECKED_SQL = f"checked AS (SELECT *, {_BROKEN_SQL} AS violations FROM events)"
+
+
+def _checked(spark, sf_dir):
+    from roundcast.sources.rules import checked
+
+    return checked(_payloads(spark, sf_dir))
+
+
+@query(f"WITH {_CHECKED_SQL} SELECT event_id, violations FROM checked")
+def validate_events(spark, sf_dir):
+    return _checked(spark, sf_dir).select(
+        "event_id", F.array_join("violations", ",").alias("violations")
+    )
+
+
+@query(
+    f"""WITH {_CHECKED_SQL}, r AS (SELECT unnest(string_split(violations, ',')) AS violated_rule, event_id FROM checked
+    WHERE violations <> '') SELECT violated_rule, count(*) AS events, min(event_id) AS first_event FROM r GROUP BY violated_rule"""
+)
+def quarantine(spark, sf_dir):
+    from roundcast.sources.rules import split_valid
+
+    _, bad = split_valid(_checked(spark, sf_dir))
+    return (
+        bad.select("event_id", F.explode("violations").alias("violated_rule"))
+        .groupBy("violated_rule")
+        .agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_event"))
+    )
+
+
+@query(
+    f"""WITH {_CHECKED_SQL} SELECT count(*) FILTER (violations = '') AS events_consumed,
+    count(*) FILTER (violations <> '') AS events_failed,
+    max(event_id) FILTER (violations = '') AS last_sequence,
+    round(count(*) FILTER (violations = '') / count(*), 6) AS success_rate FROM checked"""
+)
+def stream_counters(spark, sf_dir):
+    rows = _checked(spark, sf_dir).select(
+        F.size("violations").alias("n"),
+        F.col("event.sequence").alias("sequence"),
+        F.col("event_id").alias("arrival"),
+    )
+    return _rounded(lv.consumer_counters(rows, F.col("n") == 0), "success_rate")
+
+
+@query(
+    """SELECT concat('u', CAST(user_id AS STRING)) AS match_id, event_id AS sequence,
+    CAST(epoch_us(ts) AS BIGINT) AS us, CAST(event_id % 64 + 1 AS INT) AS round_number,
+    concat('v', CAST(event_id % 10 AS STRING)) AS victim_id, value > 20 AS headshot, true AS valid
+    FROM events"""
+)
+def encode_decode(spark, sf_dir):
+    from roundcast.sources.events import encode
+    from roundcast.sources.rules import checked
+
+    e = F.col("event_id")
+    kills = b.table(spark, sf_dir, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("match_id"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
+        e.alias("sequence"),
+        F.lit("kill").alias("event_type"),
+        (e % 64 + 1).cast("int").alias("round_number"),
+        F.concat(F.lit("v"), (e % 10).cast("string")).alias("victim_id"),
+        F.lit("ak47").alias("weapon"),
+        (F.col("value") > 20).alias("headshot"),
+        F.lit("T").alias("victim_team"),
+    )
+    back = checked(encode(kills).select("value"))
+    return back.select(
+        "event.match_id",
+        "event.sequence",
+        F.unix_micros("event.timestamp").alias("us"),
+        "event.round_number",
+        "event.victim_id",
+        "event.headshot",
+        (F.size("violations") == 0).alias("valid"),
+    )
+
+
+@query(
+    "SELECT "
+    + ", ".join(f"{TICK[c]} AS {c}" for c in ["match_id", "sequence", "phase", "money_ct"])
+    + f", CAST({_ALIVE_CT_SQL} AS INT) AS alive_ct, CAST({_HEALTH_T_SQL} AS INT) AS health_t"
+    + ", true AS valid FROM lineitem"
+)
+def snapshot_round_trip(spark, sf_dir):
+    from roundcast.sources.events import encode
+    from roundcast.sources.rules import checked
+
+    ticks = b.snapshots(spark, sf_dir).withColumns(
+        {
+            "event_type": F.lit("tick"),
+            "timestamp": F.col("timestamp").cast("timestamp"),
+            "state": F.col("state")
+            .withField("timestamp", F.col("state.timestamp").cast("timestamp"))
+            .withField("round_state.bomb_position", F.lit(None).cast(
+                "struct<x:double,y:double,z:double>")),
+        }
+    )
+    back = checked(encode(ticks).select("value"))
+    flat = back.select(
+        "event.match_id",
+        "event.sequence",
+        *snapshot.tick_columns(F.col("event.state")),
+        (F.size("violations") == 0).alias("valid"),
+    )
+    return flat.select(
+        "match_id", "sequence", "phase", "money_ct", "alive_ct", "health_t", "valid"
+    )
