@@ -1214,6 +1214,10 @@ _REASONS = fv.ROUND_END_REASONS
 
 
 def _payloads(spark, sf_dir):
+    return _payload_columns(b.table(spark, sf_dir, "events"))
+
+
+def _payload_columns(events: DataFrame) -> DataFrame:
     """Raw JSON messages from the events table; many of them break a rule."""
     e = F.col("event_id")
     weapons = F.array(*[F.lit(w) for w in (*fv.WEAPON_COST, "railgun")])
@@ -1269,7 +1273,7 @@ def _payloads(spark, sf_dir):
     )
     extra = F.when(e % 41 == 0, ',"cheat":1').otherwise("")
     end = F.when(e % 50 == 7, "").otherwise("}")
-    return b.table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         "user_id",
         F.concat(
@@ -1410,3 +1414,180 @@ def snapshot_round_trip(spark, sf_dir):
     return flat.select(
         "match_id", "sequence", "phase", "money_ct", "alive_ct", "health_t", "valid"
     )
+
+
+# --- streaming twins -----------------------------------------------------------------------------
+def _event_stream(spark, sf_dir):
+    from roundcast.session import use_utc
+    from roundcast.streaming.jobs import configure_state, read_table_stream
+
+    stream = read_table_stream(configure_state(use_utc(spark)), sf_dir, "events.parquet")
+    return b.bind(stream, EVENT)
+
+
+@query(f"WITH {_MOMENTUM_SQL} SELECT * FROM momentum")
+def stream_momentum(spark, sf_dir):
+    from roundcast.streaming.jobs import run_to_end, scratch_pair
+    from roundcast.streaming.processor import stream_momentum as run
+
+    out = run(_event_stream(spark, sf_dir), span_seconds=MOMENTUM_SPAN)
+    return spark.read.parquet(run_to_end(out, *scratch_pair(spark, "momentum")))
+
+
+@query(ORACLE["latest_snapshot"])
+def stream_latest(spark, sf_dir):
+    from roundcast.streaming import jobs
+
+    ticks = _event_stream(spark, sf_dir).filter("event_type = 'tick'")
+    rows = jobs.latest_rows(ticks, ["match_id"], "sequence", ["sequence", "round_number", "value"])
+    path, log = jobs.scratch_pair(spark, "latest")
+    jobs.run_batches(rows, jobs.write_updates(path), log)
+    return jobs.read_updates(spark, path, ["match_id"])
+
+
+@query(
+    f"""WITH {EVENTS_SQL}, once AS (SELECT match_id, round_number, winner, reason, score_ct, score_t
+      FROM ev WHERE event_type = 'round_end'
+      QUALIFY row_number() OVER (PARTITION BY match_id, round_number ORDER BY sequence DESC) = 1)
+    SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY round_number DESC) <= 64"""
+)
+def stream_history(spark, sf_dir):
+    from roundcast.operators.scan import last_rows
+    from roundcast.streaming import jobs
+
+    ends = _event_stream(spark, sf_dir).filter("event_type = 'round_end'")
+    keys = ["match_id", "round_number"]
+    rows = jobs.latest_rows(ends, keys, "sequence", ["winner", "reason", "score_ct", "score_t"])
+    path, log = jobs.scratch_pair(spark, "history")
+    jobs.run_batches(rows, jobs.write_updates(path), log)
+    current = jobs.read_updates(spark, path, keys)
+    return last_rows(current, ["match_id"], [F.col("round_number")], fv.RETAINED_ROUNDS)
+
+
+@query(
+    f"""WITH {_MOMENTUM_SQL}, sc AS (SELECT match_id, sequence,
+      CASE WHEN window_seconds > 0 THEN (kills_ct + kills_t) / window_seconds ELSE 0 END AS pace,
+      greatest(-1, least(1, (kills_ct - kills_t) / 5)) AS delta, headshots FROM momentum)
+    SELECT match_id, sequence, round(0.5 + delta * 0.25 + pace, 6) AS ct_win_probability,
+      CASE WHEN abs(delta * 0.25 + pace) < 0.01 THEN 'even' WHEN delta * 0.25 + pace > 0 THEN 'CT' ELSE 'T' END
+      AS favoured_side FROM sc"""
+)
+def stream_scoring(spark, sf_dir):
+    from roundcast.streaming import jobs
+    from roundcast.streaming.processor import stream_momentum as run
+
+    windows = run(
+        _event_stream(spark, sf_dir), span_seconds=MOMENTUM_SPAN, keep=("round_number",)
+    )
+    level = {
+        c: F.lit(0)
+        for c in TICK
+        if c not in ("match_id", "sequence", "timestamp", "round_number", "phase", "map_name")
+    }
+    ticks = windows.withColumns(
+        {
+            **level,
+            "phase": F.lit("live"),
+            "bomb_planted": F.lit(False),
+            "kills_ct_window": F.col("kills_ct"),
+            "kills_t_window": F.col("kills_t"),
+            "window_seconds": F.col("window_seconds"),
+        }
+    )
+
+    def score(features):
+        p = 0.5 + F.col("kill_delta_window") * 0.25 + F.col("engagement_pace")
+        return features.withColumn("ct_win_probability", p)
+
+    predictions = jobs.score_ticks(ticks, score)
+    path = jobs.run_to_end(predictions, *jobs.scratch_pair(spark, "scoring"))
+    return spark.read.parquet(path).select(
+        "match_id", "sequence", "ct_win_probability", "favoured_side"
+    )
+
+
+@query(ORACLE["quarantine"])
+def stream_quarantine(spark, sf_dir):
+    from roundcast.session import use_utc
+    from roundcast.streaming import jobs
+
+    stream = jobs.read_table_stream(use_utc(spark), sf_dir, "events.parquet")
+    _, bad = jobs.ingest(_payload_columns(stream))
+    rows = bad.select("event_id", F.explode("violations").alias("violated_rule"))
+    path = jobs.run_to_end(rows, *jobs.scratch_pair(spark, "quarantine"))
+    return (
+        spark.read.parquet(path)
+        .groupBy("violated_rule")
+        .agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_event"))
+    )
+
+
+@query(
+    f"""WITH {EVENTS_SQL} SELECT 'ticks' AS table_name, count(*) AS stored_rows FROM ev WHERE event_type = 'tick'
+    UNION ALL SELECT 'rounds', count(DISTINCT (match_id, round_number)) FROM ev WHERE event_type = 'round_end'
+    UNION ALL SELECT 'matches', count(DISTINCT match_id) FROM ev WHERE event_type = 'kill'"""
+)
+def stream_history_tables(spark, sf_dir):
+    """One stream fanned out to three tables; kills stand in for match ends."""
+    from roundcast.streaming import jobs
+
+    path, log = jobs.scratch_pair(spark, "tables")
+
+    def branch(kind):
+        return lambda rows: rows.filter(F.col("event_type") == kind)
+
+    routes = {
+        "ticks": (branch("tick"), f"{path}/ticks"),
+        "rounds": (branch("round_end"), f"{path}/rounds"),
+        "matches": (branch("kill"), f"{path}/matches"),
+    }
+    jobs.run_batches(_event_stream(spark, sf_dir), jobs.route_batch(routes), log, "append")
+
+    def stored(name, keys):
+        rows = spark.read.parquet(f"{path}/{name}")
+        kept = lb.upsert(rows, keys, ["batch", "sequence"], ["score_ct"]) if keys else rows
+        return kept.agg(F.count(F.lit(1)).alias("stored_rows")).select(
+            F.lit(name).alias("table_name"), "stored_rows"
+        )
+
+    return (
+        stored("ticks", None)
+        .unionByName(stored("rounds", ["match_id", "round_number"]))
+        .unionByName(stored("matches", ["match_id"]))
+    )
+
+
+@query(
+    f"""WITH {TICKS_SQL} SELECT match_id, sequence, phase, alive_ct, 0 AS kills_ct_window,
+    CAST(0 AS DOUBLE) AS window_seconds, 'kills_ct_window,kills_t_window,window_seconds' AS added FROM ticks"""
+)
+def schema_reconcile(spark, sf_dir):
+    from roundcast.sources.tables import TICK_SCHEMA, reconcile
+
+    old = b.ticks(spark, sf_dir).drop("kills_ct_window", "kills_t_window", "window_seconds")
+    out, added = reconcile(old, TICK_SCHEMA)
+    return out.select(
+        "match_id",
+        "sequence",
+        "phase",
+        "alive_ct",
+        "kills_ct_window",
+        "window_seconds",
+        F.lit(",".join(added)).alias("added"),
+    )
+
+
+@query(
+    f"""WITH {LABELLED_SQL} SELECT round_reason, count(*) AS stored_rows, CAST(sum(ct_won) AS BIGINT) AS won
+    FROM labelled GROUP BY round_reason"""
+)
+def parquet_export(spark, sf_dir):
+    from roundcast.session import scratch_path
+
+    path = scratch_path(spark, "export")
+    _labelled(spark, sf_dir).write.mode("overwrite").parquet(path)
+    return (
+        spark.read.parquet(path)
+        .groupBy("round_reason")
+        .agg(F.count(F.lit(1)).alias("stored_rows"), F.sum("ct_won").cast("long").alias("won"))
+    )
