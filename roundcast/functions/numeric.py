@@ -47,8 +47,8 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add costly columns so that they are computed exactly once per row.
 
     A filter is pushed through a projection by copying the expressions it reads,
-    and a long expression reads its input many times. The row-number guard, true
+    and a long expression reads its input many times. The partition guard, true
     for every row, keeps the optimizer from copying the column.
     """
-    guard = F.monotonically_increasing_id() >= 0
+    guard = F.spark_partition_id() >= 0
     return df.withColumns({name: F.when(guard, c) for name, c in columns.items()})

@@ -1591,3 +1591,67 @@ def parquet_export(spark, sf_dir):
         .groupBy("round_reason")
         .agg(F.count(F.lit(1)).alias("stored_rows"), F.sum("ct_won").cast("long").alias("won"))
     )
+
+
+# --- models (no SQL twin) --------------------------------------------------------------------------
+_QUICK = {"num_rounds": 5, "params": {"maxDepth": 3}}
+
+
+def _leaning(spark, sf_dir):
+    """Labelled ticks whose label follows the manpower, so there is something to learn."""
+    rows = lb.dedupe(b.ticks(spark, sf_dir)).filter(F.col("phase") != "freezetime")
+    noise = F.pmod(F.xxhash64("match_id", "sequence"), F.lit(100)) / 100.0
+    lean = F.expr(PROBABILITY)
+    return rows.withColumn("ct_won", (noise < lean).cast("int"))
+
+
+@query()
+def isotonic_fit(spark, sf_dir):
+    from roundcast.operators.calibrator import fit_calibrator, literal_points
+
+    rows = _leaning(spark, sf_dir).withColumn("raw_probability", F.expr(PROBABILITY))
+    xs, ys = fit_calibrator(rows)
+    one = rows.agg(F.count(F.lit(1)).alias("rows_fitted"))
+    return one.select("rows_fitted", F.posexplode(literal_points(xs, ys)).alias("i", "point")).select(
+        "rows_fitted", "i", "point.x", "point.y"
+    )
+
+
+@query()
+def gbt_train(spark, sf_dir):
+    from roundcast.plans.model import train_model
+
+    model = train_model(_leaning(spark, sf_dir), **_QUICK)
+    found = model.metadata
+    shares = list(found["feature_importance"].items())
+    out = spark.createDataFrame(shares, "feature string, importance double")
+    return out.withColumns(
+        {
+            "best_iteration": F.lit(found["best_iteration"]),
+            "skill_score": F.lit(found["metrics"]["skill_score"]),
+            "train_rows": F.lit(found["dataset"]["train_rows"]),
+        }
+    )
+
+
+@query()
+def gbt_score(spark, sf_dir):
+    from roundcast.plans.model import load_model, predict, stored, train_model
+
+    model = load_model(spark, stored(train_model(_leaning(spark, sf_dir), **_QUICK)))
+    return predict(b.ticks(spark, sf_dir), model)
+
+
+@query()
+def validate_pipeline(spark, sf_dir):
+    from roundcast.plans.model import train_model, validate
+
+    frame = _leaning(spark, sf_dir)
+    reports = validate(frame, train_model(frame, **_QUICK))
+    bench = reports["benchmark"].select(
+        F.lit("situation").alias("part"), "name", F.col("skill_score").alias("score")
+    )
+    drift = reports["drift"].select(
+        F.lit("drift").alias("part"), F.col("feature").alias("name"), F.col("psi").alias("score")
+    )
+    return bench.unionByName(drift)
