@@ -270,7 +270,7 @@ def throttle(
     # A row's fate depends on its time only through the first row at that time.
     moments = rows.groupBy(match, "__slot", us).agg(F.min(sequence).alias("__first"))
 
-    def entries(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def entries(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(frame[us].to_numpy())
         n = len(times)
         following = _chain(times, interval)
@@ -294,7 +294,7 @@ def throttle(
         f"{match} {types[match]}, __slot long, starts array<long>, ends array<long>",
     )
 
-    def entered(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def entered(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("__slot")
         kept_at, before = None, []
         for starts, ends in zip(frame["starts"], frame["ends"]):
