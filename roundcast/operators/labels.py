@@ -4,24 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roundcast.session import checkpointed
 
 
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The first row of each key in ``order``.
+
+    Spark keeps one row per key already before the shuffle (group limit), so a
+    group of copies costs one row per map task however large it is.
+    """
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("__n", F.row_number().over(window)).filter("__n = 1").drop("__n")
+
+
 def dedupe(
     df: DataFrame, keys: Sequence[str] = ("match_id", "sequence"), prefer: Sequence[str] = ()
 ) -> DataFrame:
     """One row per key: the smallest by ``prefer``, then by the other columns.
 
-    An aggregate, not a row number: copies collapse before the shuffle, so a
-    group of replays costs one row per map task however large it is.
+    All columns break ties, so the survivor does not depend on the input order.
     """
     rest = [c for c in df.columns if c not in keys and c not in prefer]
-    kept = [*prefer, *rest]
-    one = df.groupBy(*keys).agg(F.min(F.struct(*kept)).alias("__row"))
-    return one.select(*[F.col(c) if c in keys else F.col(f"__row.{c}") for c in df.columns])
+    return first_per_key(df, keys, [F.col(c).asc_nulls_first() for c in (*prefer, *rest)])
 
 
 def upsert(
@@ -32,10 +39,9 @@ def upsert(
     ``arrival`` must order the rows of a key totally.
     """
     columns = list(columns or [c for c in df.columns if c not in keys])
-    newest = df.groupBy(*keys).agg(
-        F.max_by(F.struct(*columns), F.struct(*arrival)).alias("__row")
-    )
-    return newest.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in columns])
+    needed = df.select(*dict.fromkeys([*keys, *columns, *arrival]))
+    newest = first_per_key(needed, keys, [F.col(c).desc() for c in arrival])
+    return newest.select(*keys, *columns)
 
 
 def label_ticks(

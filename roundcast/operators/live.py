@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roundcast.functions import fixed_values as fv
-from roundcast.functions.numeric import whole_division
+from roundcast.functions.numeric import once, whole_division
 from roundcast.operators.labels import upsert
 from roundcast.operators.scan import (
     SEGMENT_ROWS,
@@ -239,9 +239,41 @@ def recent_stability(
 
 
 # --- throttle -------------------------------------------------------------------------
-def _chain(us: np.ndarray, interval: int) -> np.ndarray:
-    """Index of the next kept row after keeping each row; len(us) when none."""
-    return np.searchsorted(us, us + interval, side="left")
+def _keep_walk(moments: Column, start: Column, interval: int) -> Column:
+    """Last kept time of the greedy walk over sorted ``moments`` that keeps ``start`` first."""
+    return F.aggregate(
+        moments,
+        start,
+        lambda kept, m: F.when(m["us"] - kept >= interval, m["us"]).otherwise(kept),
+    )
+
+
+def _entries(match: str, interval: int):
+    """Per match, in segment order: the last time kept before each segment."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, kept = None, None
+        for frame in batches:
+            before = []
+            columns = (frame[match], frame["starts"], frame["ends"])
+            for owner, starts, ends in zip(*columns):
+                if owner != current:
+                    current, kept = owner, None
+                before.append(kept)
+                at = 0
+                if kept is not None:
+                    at = int(np.searchsorted(starts, kept + interval, side="left"))
+                if at < len(starts):
+                    kept = int(ends[at])
+            yield pd.DataFrame(
+                {
+                    match: frame[match],
+                    "__slot": frame["__slot"],
+                    "entry": pd.array(before, dtype="Int64"),
+                }
+            )
+
+    return walk
 
 
 def throttle(
@@ -257,82 +289,70 @@ def throttle(
     Which row is kept depends on the one kept before, through the whole match.
     A match is cut into time segments; each segment reports, for every first row
     that could be kept in it, the last row kept then. Chaining those few entries
-    per match tells each segment how it starts, and rows are marked in parallel.
-    ``us`` is event time in microseconds, not decreasing in ``sequence``.
+    per match (one small row per segment) tells each segment how it starts, and
+    rows are marked in parallel. ``us`` is event time in microseconds, not
+    decreasing in ``sequence``.
     """
     interval = int(round(interval_seconds * 1_000_000))
-    width = int(round((segment_seconds or interval_seconds * 10_000) * 1_000_000))
+    width = int(round((segment_seconds or interval_seconds * 1024) * 1_000_000))
     width = max(width, interval)
     types = dict(df.dtypes)
-    rows = df.select(match, sequence, us).withColumn(
-        "__slot", whole_division(F.col(us), width)
+    # Only the first row at a time can be kept, so equal times collapse early.
+    moments = (
+        df.select(match, sequence, F.col(us).alias("us"))
+        .withColumn("__slot", whole_division(F.col("us"), width))
+        .groupBy(match, "__slot", "us")
+        .agg(F.min(sequence).alias("first"))
     )
-    # A row's fate depends on its time only through the first row at that time.
-    moments = rows.groupBy(match, "__slot", us).agg(F.min(sequence).alias("__first"))
-
-    def entries(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(frame[us].to_numpy())
-        n = len(times)
-        following = _chain(times, interval)
-        last = np.arange(n)
-        for i in range(n - 1, -1, -1):
-            if following[i] < n:
-                last[i] = last[following[i]]
-        limit = key[1] * width + interval
-        starts = min(int(np.searchsorted(times, limit, side="left")) + 1, n)
-        return pd.DataFrame(
-            {
-                match: [key[0]],
-                "__slot": [key[1]],
-                "starts": [times[:starts].tolist()],
-                "ends": [times[last[:starts]].tolist()],
-            }
-        )
-
-    outlined = moments.groupBy(match, "__slot").applyInPandas(
-        entries,
-        f"{match} {types[match]}, __slot long, starts array<long>, ends array<long>",
+    # One array per segment: the moments of a bounded stretch of time.
+    segments = moments.groupBy(match, "__slot").agg(
+        F.sort_array(F.collect_list(F.struct("us", "first"))).alias("m")
     )
-
-    def entered(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("__slot")
-        kept_at, before = None, []
-        for starts, ends in zip(frame["starts"], frame["ends"]):
-            before.append(kept_at)
-            at = 0 if kept_at is None else int(
-                np.searchsorted(starts, kept_at + interval, side="left")
-            )
-            if at < len(starts):
-                kept_at = int(ends[at])
-        return pd.DataFrame(
-            {
-                match: key[0],
-                "__slot": frame["__slot"].to_numpy(),
-                "entry": pd.array(before, dtype="Int64"),
-            }
+    m = F.col("m")
+    limit = F.get(m, 0)["us"] + interval
+    early = F.filter(m, lambda x: x["us"] < limit)
+    # the walk may also skip all of those and begin at the first moment after them
+    starts = F.transform(F.slice(m, F.lit(1), F.size(early) + 1), lambda x: x["us"])
+    outlined = once(segments.select(match, "__slot", "m"), {"starts": starts}).select(
+        match,
+        "__slot",
+        "starts",
+        F.transform("starts", lambda s: _keep_walk(F.filter(m, lambda x: x["us"] >= s), s, interval)).alias("ends"),
+    )
+    entry = (
+        outlined.repartition(match)
+        .sortWithinPartitions(match, "__slot")
+        .mapInPandas(
+            _entries(match, interval), f"{match} {types[match]}, __slot long, entry long"
         )
-
-    entry = outlined.groupBy(match).applyInPandas(
-        entered, f"{match} {types[match]}, __slot long, entry long"
     )
-
-    def mark(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(us, ignore_index=True)
-        times = frame[us].to_numpy()
-        held = frame["entry"].iloc[0]
-        at = 0 if pd.isna(held) else int(np.searchsorted(times, int(held) + interval))
-        following = _chain(times, interval)
-        kept = np.zeros(len(times), dtype=bool)
-        while at < len(times):
-            kept[at] = True
-            at = following[at]
-        return frame.loc[kept, [match, "__first"]]
-
+    none = F.struct(F.lit(None).cast("long").alias("us"), F.lit(None).cast("long").alias("first"))
     chosen = (
-        moments.join(entry, [match, "__slot"], "left")
-        .groupBy(match, "__slot")
-        .applyInPandas(mark, f"{match} {types[match]}, __first {types[sequence]}")
-        .select(match, F.col("__first").alias(sequence), F.lit(True).alias("__kept"))
+        segments.join(entry, [match, "__slot"], "left")
+        .select(
+            match,
+            F.explode(
+                F.aggregate(
+                    m,
+                    F.struct(
+                        F.col("entry").alias("kept"),
+                        F.array(none).alias("rows"),
+                    ),
+                    lambda acc, x: F.when(
+                        acc["kept"].isNull() | (x["us"] - acc["kept"] >= interval),
+                        F.struct(
+                            x["us"].alias("kept"),
+                            F.array_append(
+                                acc["rows"],
+                                F.struct(x["us"].alias("us"), x["first"].cast("long").alias("first")),
+                            ).alias("rows"),
+                        ),
+                    ).otherwise(acc),
+                )["rows"]
+            ).alias("k"),
+        )
+        .filter("k.first is not null")
+        .select(match, F.col("k.first").cast(types[sequence]).alias(sequence), F.lit(True).alias("__kept"))
     )
     return (
         df.join(chosen, [match, sequence], "left")

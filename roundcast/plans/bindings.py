@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roundcast.functions import fixed_values as fv
+from roundcast.functions.numeric import once
 from roundcast.session import use_utc
 
 MOMENTUM_SPAN = 172_800.0  # events lie hours apart
@@ -162,26 +163,27 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     weapons = F.array(*[F.lit(w) for w in fv.WEAPON_COST])
 
-    def player(i: int):
-        health = F.expr(PLAYER_HEALTH.format(i=i)).cast("int")
-        axis = F.col("l_partkey") % 4000 + i
+    part, line, supplier = F.col("l_partkey"), F.col("l_linenumber"), F.col("l_suppkey")
+
+    def player(i):
+        health = F.greatest(F.lit(0), (part * (i + 3) + line * 17) % 131 - 30).cast("int")
+        axis = (part % 4000 + i).cast("double")
+        number = i.cast("string")
         return F.struct(
-            F.lit(f"p{i}").alias("player_id"),
-            F.lit(f"Player {i}").alias("name"),
-            F.lit("CT" if i < 5 else "T").alias("team"),
+            F.concat(F.lit("p"), number).alias("player_id"),
+            F.concat(F.lit("Player "), number).alias("name"),
+            F.when(i < 5, "CT").otherwise("T").alias("team"),
             health.alias("health"),
             F.when(health > 50, 100).otherwise(0).alias("armour"),
             (health > 80).alias("has_helmet"),
-            ((health > 90) & F.lit(i < 5)).alias("has_defuse_kit"),
-            F.expr(PLAYER_MONEY.format(i=i)).cast("int").alias("money"),
-            F.get(weapons, F.expr(PLAYER_WEAPON.format(i=i)).cast("int")).alias("primary_weapon"),
-            F.struct(
-                axis.cast("double").alias("x"),
-                (axis * 2).cast("double").alias("y"),
-                F.lit(0.0).alias("z"),
-            ).alias("position"),
-            (F.col("l_linenumber") % (i + 2)).cast("int").alias("kills"),
-            (F.col("l_linenumber") % (i + 3)).cast("int").alias("deaths"),
+            ((health > 90) & (i < 5)).alias("has_defuse_kit"),
+            ((supplier * (i + 1) * 37) % 16001).cast("int").alias("money"),
+            F.get(weapons, ((part + i) % 16).cast("int")).alias("primary_weapon"),
+            F.struct(axis.alias("x"), (axis * 2).alias("y"), F.lit(0.0).alias("z")).alias(
+                "position"
+            ),
+            (line % (i + 2)).cast("int").alias("kills"),
+            (line % (i + 3)).cast("int").alias("deaths"),
             F.lit(0).alias("assists"),
             F.lit(0).alias("damage_dealt"),
         )
@@ -211,13 +213,9 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
             tick("bomb_planted").alias("bomb_planted"),
             tick("bomb_seconds").alias("bomb_seconds_remaining"),
         ).alias("round_state"),
-        F.array(*[player(i) for i in range(10)]).alias("players"),
+        F.transform(F.array(*[F.lit(i) for i in range(10)]), player).alias("players"),
         economy("CT").alias("economy_ct"),
         economy("T").alias("economy_t"),
     )
-    return lines.select(
-        tick("match_id").alias("match_id"),
-        tick("sequence").alias("sequence"),
-        tick("timestamp").alias("timestamp"),
-        state.alias("state"),
-    )
+    keyed = lines.withColumns({c: tick(c) for c in ("match_id", "sequence", "timestamp")})
+    return once(keyed, {"state": state}).select("match_id", "sequence", "timestamp", "state")
