@@ -27,8 +27,9 @@ def micros(ts: Column) -> Column:
 
 
 def whole_division(x: Column, by: int) -> Column:
-    """Exact integer division; a float quotient can cross a block edge."""
-    return F.call_function("div", x.cast("long"), F.lit(int(by)).cast("long"))
+    """Exact integer division rounding down; a float quotient can cross an edge."""
+    whole, divisor = x.cast("long"), F.lit(int(by)).cast("long")
+    return F.call_function("div", whole - F.pmod(whole, divisor), divisor)
 
 
 def lookup(table: dict, key: Column) -> Column:

@@ -13,12 +13,11 @@ from roundcast.functions import fixed_values as fv
 from roundcast.functions.numeric import once, whole_division
 from roundcast.operators.labels import upsert
 from roundcast.operators.scan import (
+    SEGMENT,
     SEGMENT_ROWS,
-    Running,
     by_position,
     last_rows,
     ranked,
-    running,
     trailing_rows,
 )
 
@@ -218,8 +217,6 @@ def recent_stability(
         return build
 
     def frame_before(_):
-        from roundcast.operators.scan import SEGMENT
-
         return (
             Window.partitionBy(*keys, SEGMENT).orderBy("__rank").rowsBetween(-samples, -1)
         )
@@ -498,6 +495,3 @@ def worker_counters(ticks: DataFrame, scored: Column) -> DataFrame:
             F.col("ticks_seen") > 0, F.col("predictions_published") / F.col("ticks_seen")
         ).otherwise(0.0),
     )
-
-
-__all__ = [name for name in globals() if not name.startswith("_")]

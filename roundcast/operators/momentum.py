@@ -111,39 +111,67 @@ def momentum(
 
     # Kills and resets are few; their windows never touch the dense ticks.
     marks = narrow.filter(F.col("__kind") != "tick")
-    step = Running("__crossed", "sum", _epoch_step(F.col("__kind")))
-    killed = running(marks, [match], sequence, [step], segment=segment).filter(
-        F.col("__kind") == "kill"
-    )
+    is_kill = F.when(F.col("__kind") == "kill", 1).otherwise(0).cast("long")
+    killed = running(
+        marks,
+        [match],
+        sequence,
+        [
+            Running("__crossed", "sum", _epoch_step(F.col("__kind"))),
+            Running("__sum_ct", "sum", is_kill * F.coalesce(F.col("__ct"), F.lit(0))),
+            Running("__sum_hs", "sum", is_kill * F.col("__hs")),
+            Running("__sum_all", "sum", is_kill),
+        ],
+        segment,
+    ).filter(F.col("__kind") == "kill")
+    own_ct = F.coalesce(F.col("__ct"), F.lit(0))
     windowed = trailing_range(
         killed,
         [match, "__crossed"],
         "__us",
         sequence,
         span,
-        {"kills_ct": F.col("__ct"), "kills_t": 1 - F.col("__ct"), "headshots": F.col("__hs")},
-    ).withColumn("kill_span", F.col("__us") - F.col("oldest"))
+        {
+            "kills_ct": ("__sum_ct", own_ct),
+            "headshots": ("__sum_hs", F.col("__hs")),
+            "__kills": ("__sum_all", F.lit(1).cast("long")),
+        },
+    ).withColumns(
+        {
+            "kills_t": F.col("__kills") - F.col("kills_ct"),
+            "kill_span": F.col("__us") - F.col("oldest"),
+        }
+    )
     base = [match, sequence, *extra, "__us", "__kind"]
-    carriers = windowed.select(*base, *KILL_VALUES).unionByName(
-        narrow.filter(F.col("__kind").isin("round_start", "match_end")).select(
-            *base, *[F.lit(0).cast("long").alias(c) for c in KILL_VALUES]
+    resets = narrow.filter(F.col("__kind").isin("round_start", "match_end"))
+    ticks = narrow.filter(F.col("__kind") == "tick")
+    # As-of: each tick reads the newest kill's window; a reset reads as zero.
+    lanes = (
+        ticks.select(*base, *[F.lit(None).cast("long").alias(c) for c in KILL_VALUES])
+        .unionByName(windowed.select(*base, *KILL_VALUES))
+        .unionByName(
+            resets.select(*base, *[F.lit(0).cast("long").alias(c) for c in KILL_VALUES])
         )
     )
-    ticks = narrow.filter(F.col("__kind") == "tick").select(
-        *base, *[F.lit(None).cast("long").alias(c) for c in KILL_VALUES]
-    )
-    # As-of: each tick reads the newest kill's window; resets read as zero.
+    one_tick = F.when(F.col("__kind") == "tick", 1).otherwise(0).cast("long")
     seen = running(
-        ticks.unionByName(carriers),
+        lanes,
         [match],
         sequence,
-        [Running("epoch", "sum", _epoch_step(F.col("__kind")))]
-        + [Running(c, "latest", F.col(c)) for c in KILL_VALUES],
-        segment=segment,
-        carry_rows=carriers,
+        [
+            Running("epoch", "sum", _epoch_step(F.col("__kind"))),
+            Running("__sum_ticks", "sum", one_tick),
+            *[Running(c, "latest", F.col(c)) for c in KILL_VALUES],
+        ],
+        segment,
     ).filter(F.col("__kind") == "tick")
     timed = trailing_range(
-        seen, [match, "epoch"], "__us", sequence, span, {"ticks": F.lit(1).cast("long")}
+        seen,
+        [match, "epoch"],
+        "__us",
+        sequence,
+        span,
+        {"ticks": ("__sum_ticks", F.lit(1).cast("long"))},
     )
     tick_span = F.col("__us") - F.col("oldest")
     kill_span = F.coalesce(F.col("kill_span"), F.lit(0))
@@ -198,9 +226,9 @@ def momentum_by_arrival(
     """``momentum`` without the ordering requirement.
 
     Ordered epochs take the window plan. A disordered epoch depends on arrival
-    order row by row; it is folded in order, one epoch (one round) per group.
+    order row by row; its rows stream through a fold that holds one window.
     """
-    from roundcast.streaming.window_state import fold_epoch
+    from roundcast.streaming.window_state import fold_epochs
 
     names = dict(match=match, sequence=sequence, kind=kind, segment_rows=segment_rows)
     bad = disordered_epochs(events, ts=ts, **names)
@@ -235,8 +263,9 @@ def momentum_by_arrival(
         f"{match} {dict(events.dtypes)[match]}, {sequence} long, epoch long, kills_ct long, "
         "kills_t long, headshots long, ticks long, window_seconds double"
     )
-    span = int(round(span_seconds * 1_000_000))
-    slow = folded.groupBy(match, "epoch").applyInPandas(
-        lambda frame: fold_epoch(frame, match, sequence, span), schema
+    slow = (
+        folded.repartition(match, "epoch")
+        .sortWithinPartitions(match, "epoch", sequence)
+        .mapInPandas(fold_epochs(match, sequence, int(round(span_seconds * 1_000_000))), schema)
     )
     return ordered.unionByName(slow)

@@ -58,21 +58,16 @@ def running(
     order: str,
     values: Sequence[Running],
     segment: Column | None = None,
-    carry_rows: DataFrame | None = None,
 ) -> DataFrame:
     """Add inclusive running values per key in ascending ``order``.
 
-    ``carry_rows`` may name a smaller input with the same columns that holds
-    every row which can change a carried value, so that dense rows are read only
-    once. A segment then costs one window task and one summary row.
+    One window task per segment, one summary row per segment between them. The
+    summaries are hash aggregates of plain columns, combined before the shuffle.
     """
     segment = by_position(order) if segment is None else segment
     hidden = {v.name: f"__in_{v.name}" for v in values}
-    staged = {hidden[v.name]: v.value for v in values}
-    rows = df.withColumns({SEGMENT: segment, **staged})
-    source = rows if carry_rows is None else carry_rows.withColumns({SEGMENT: segment, **staged})
-
-    totals = source.groupBy(*keys, SEGMENT).agg(
+    rows = df.withColumns({SEGMENT: segment, **{hidden[v.name]: v.value for v in values}})
+    totals = rows.groupBy(*keys, SEGMENT).agg(
         *[v.total(F.col(hidden[v.name]), F.col(order)).alias(f"__tot_{v.name}") for v in values]
     )
     inside = (
@@ -80,39 +75,21 @@ def running(
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = rows.withColumns(
-        {f"__loc_{v.name}": v.over(F.col(hidden[v.name]), inside) for v in values}
-    )
-    kept = [F.col(c) for c in df.columns if c not in {v.name for v in values}]
     between = (
         Window.partitionBy(*keys)
         .orderBy(SEGMENT)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
     )
-    if carry_rows is None:
-        carried = totals.select(
-            *keys,
-            SEGMENT,
-            *[v.over(F.col(f"__tot_{v.name}"), between).alias(f"__car_{v.name}") for v in values],
-        )
-        joined = local.join(carried, [*keys, SEGMENT], "left")
-    else:
-        # Segments without a carry row still need their predecessors' total, so
-        # the list of segments comes from the rows themselves.
-        present = rows.select(*keys, SEGMENT).distinct()
-        spread = (
-            present.join(totals, [*keys, SEGMENT], "left")
-            .select(
-                *keys,
-                SEGMENT,
-                *[
-                    v.over(F.col(f"__tot_{v.name}"), between).alias(f"__car_{v.name}")
-                    for v in values
-                ],
-            )
-        )
-        joined = local.join(spread, [*keys, SEGMENT], "left")
-    return joined.select(
+    local = rows.withColumns(
+        {f"__loc_{v.name}": v.over(F.col(hidden[v.name]), inside) for v in values}
+    )
+    carried = totals.select(
+        *keys,
+        SEGMENT,
+        *[v.over(F.col(f"__tot_{v.name}"), between).alias(f"__car_{v.name}") for v in values],
+    )
+    kept = [F.col(c) for c in df.columns if c not in hidden]
+    return local.join(carried, [*keys, SEGMENT], "left").select(
         *kept,
         *[
             v.joined(F.col(f"__loc_{v.name}"), F.col(f"__car_{v.name}")).alias(v.name)
@@ -121,54 +98,108 @@ def running(
     )
 
 
+def spread_segments(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    low: Column,
+    high: Column,
+    slots: int,
+    rows_per_segment: int = SEGMENT_ROWS,
+    name: str = "__spread",
+) -> DataFrame:
+    """Add a segment id that rises with ``value`` and never gets crowded.
+
+    Equal slots of [low, high] come first; a slot with more rows than wanted is
+    cut again between its own smallest and largest value. Rows are expected to be
+    distinct per key and value, as after counting.
+    """
+    v, wide = F.col(value), high - low
+    raw = F.when(wide > 0, F.floor((v - low) / wide * slots)).otherwise(F.lit(0))
+    slot = F.greatest(F.lit(0), F.least(F.lit(slots - 1), raw)).cast("long")
+    slotted = df.withColumn("__slot", slot)
+    sizes = slotted.groupBy(*keys, "__slot").agg(
+        F.min(value).alias("__from"),
+        F.max(value).alias("__to"),
+        F.ceil(F.count(F.lit(1)) / rows_per_segment).cast("long").alias("__parts"),
+    )
+    reach = F.col("__to") - F.col("__from")
+    part = F.when(
+        (F.col("__parts") > 1) & (reach > 0),
+        F.least(
+            F.col("__parts") - 1, F.floor((v - F.col("__from")) / reach * F.col("__parts"))
+        ),
+    ).otherwise(F.lit(0))
+    joined = slotted.join(sizes, [*keys, "__slot"])
+    wide_id = F.col("__slot") * F.lit(1 << 31) + part.cast("long")
+    return joined.withColumn(name, wide_id).drop("__slot", "__from", "__to", "__parts")
+
+
 def trailing_range(
     df: DataFrame,
     keys: Sequence[str],
     ts: str,
     order: str,
     span: int,
-    counts: dict[str, Column],
+    counts: dict[str, tuple[str, Column]],
     oldest: str = "oldest",
 ) -> DataFrame:
     """Counts over the trailing time range [ts - span, ts], in arrival order.
 
-    A row sees only rows that arrived before it, also among equal timestamps;
-    ``counts`` must be non-negative. Rows are cut into blocks one span long and
-    copied once into the next block, so a task holds two spans of one key.
+    ``counts`` maps a result name to (its inclusive running count by arrival, the
+    row's own share in it); the count in the range is the running count minus
+    that of the first row inside. That row is found by merging each row's lower
+    bound into the time order and looking one row ahead, so the cost does not
+    depend on how many rows a range holds. Time is cut into blocks one span long:
+    a bound and the first row after it lie in the same or the next block. Rows
+    that arrive later are not counted, also among equal times.
     """
     if span <= 0:
         raise ValueError("span must be positive")
-    hidden = {name: f"__m_{name}" for name in counts}
     block = whole_division(F.col(ts), span)
-    copies = F.array(
-        F.struct(block.alias("b"), F.lit(False).alias("h")),
-        F.struct((block + 1).alias("b"), F.lit(True).alias("h")),
+    first = F.struct(
+        F.col(ts).alias("ts"),
+        *[(F.col(total) - share).alias(name) for name, (total, share) in counts.items()],
     )
-    rows = (
-        df.withColumns({hidden[n]: c for n, c in counts.items()})
-        .withColumn("__copy", F.explode(copies))
-        .withColumns({SEGMENT: F.col("__copy.b"), HALO: F.col("__copy.h")})
-        .drop("__copy")
+    nothing = F.lit(None).cast(_struct_type(["ts", *counts]))
+
+    def entry(at: Column, segment: Column, data: Column, probe: bool) -> Column:
+        return F.struct(
+            at.alias("at"), segment.alias("b"), F.lit(probe).alias("p"), data.alias("d")
+        )
+
+    entries = F.array(
+        entry(F.col(ts) - span, block - 1, nothing, True),
+        entry(F.col(ts), block - 1, first, False),
+        entry(F.col(ts), block, first, False),
     )
-    part = Window.partitionBy(*keys, SEGMENT)
-    so_far = part.orderBy(ts, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    frame = part.orderBy(ts).rangeBetween(-span, Window.currentRow)
-    cumulative = rows.withColumns(
-        {f"__c_{n}": F.sum(hidden[n]).over(so_far) for n in counts}
-    ).withColumns({f"__x_{n}": F.col(f"__c_{n}") - F.col(hidden[n]) for n in counts})
-    framed = cumulative.withColumns(
-        {
-            **{f"__l_{n}": F.min(f"__x_{n}").over(frame) for n in counts},
-            oldest: F.min(ts).over(frame),
-        }
+    rows = df.withColumn("__e", F.explode(entries)).select(
+        *[
+            F.col(c) if c in (*keys, order) else F.when(F.col("__e.p"), F.col(c)).alias(c)
+            for c in df.columns
+        ],
+        F.col("__e.at").alias("__at"),
+        F.col("__e.b").alias(SEGMENT),
+        F.col("__e.p").alias("__probe"),
+        F.col("__e.d").alias("__first"),
     )
-    return framed.filter(~F.col(HALO)).select(
+    partition = ", ".join(f"`{k}`" for k in (*keys, SEGMENT))
+    ahead = F.expr(
+        f"lead(__first) IGNORE NULLS OVER (PARTITION BY {partition} "
+        f"ORDER BY __at, __probe DESC, `{order}`)"
+    )
+    found = rows.withColumn("__lower", ahead).filter("__probe")
+    return found.select(
         *df.columns,
-        *[(F.col(f"__c_{n}") - F.col(f"__l_{n}")).alias(n) for n in counts],
-        oldest,
+        *[(F.col(total) - F.col(f"__lower.{n}")).alias(n) for n, (total, _) in counts.items()],
+        F.col("__lower.ts").alias(oldest),
     )
 
 
+def _struct_type(names: Sequence[str]) -> str:
+    return "struct<" + ",".join(f"{n}:bigint" for n in names) + ">"
+
+
 def ranked(df: DataFrame, keys: Sequence[str], order: str, name: str = "rank", **kwargs):
     """Dense position 1..n of every row of a key."""
     return running(df, keys, order, [Running(name, "sum", F.lit(1).cast("long"))], **kwargs)

@@ -284,13 +284,15 @@ def current_round(spark, sf_dir):
       RANGE BETWEEN {_SPAN_US} PRECEDING AND CURRENT ROW)"""
 )
 def tick_window_span(spark, sf_dir):
-    from roundcast.operators.scan import trailing_range
+    from roundcast.operators.scan import ranked, trailing_range
 
     rows = b.events(spark, sf_dir).select(
         "match_id", "sequence", micros(F.col("timestamp")).alias("us")
     )
+    placed = ranked(rows, ["match_id"], "sequence", "place")
+    one = F.lit(1).cast("long")
     out = trailing_range(
-        rows, ["match_id"], "us", "sequence", _SPAN_US, {"items": F.lit(1).cast("long")}
+        placed, ["match_id"], "us", "sequence", _SPAN_US, {"items": ("place", one)}
     )
     return out.select(
         "match_id",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 
@@ -36,16 +37,23 @@ def measures(kills: Trailing, ticks: Trailing) -> tuple:
     )
 
 
-def fold_epoch(frame: pd.DataFrame, match: str, sequence: str, span: int) -> pd.DataFrame:
-    """Window values at every tick of one epoch, in arrival order."""
-    frame = frame.sort_values(sequence)
-    kills, ticks, out = Trailing(span), Trailing(span), []
-    for row in frame.itertuples(index=False):
-        if row.kind == "kill":
-            kills.add(row.us, int(row.ct), int(row.hs))
-            continue
-        ticks.add(row.us)
-        key = (getattr(row, match), getattr(row, sequence), row.epoch)
-        out.append((*key, *measures(kills, ticks)))
+def fold_epochs(match: str, sequence: str, span: int):
+    """Window values at every tick of rows sorted by match, epoch and arrival."""
     names = [match, sequence, "epoch", "kills_ct", "kills_t", "headshots", "ticks"]
-    return pd.DataFrame(out, columns=[*names, "window_seconds"])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, kills, ticks = None, Trailing(span), Trailing(span)
+        for frame in batches:
+            out = []
+            columns = (match, "epoch", sequence, "us", "kind", "ct", "hs")
+            for m, epoch, seq, us, kind, ct, hs in zip(*[frame[c] for c in columns]):
+                if (m, epoch) != owner:
+                    owner, kills, ticks = (m, epoch), Trailing(span), Trailing(span)
+                if kind == "kill":
+                    kills.add(us, int(ct), int(hs))
+                else:
+                    ticks.add(us)
+                    out.append((m, seq, epoch, *measures(kills, ticks)))
+            yield pd.DataFrame(out, columns=[*names, "window_seconds"])
+
+    return fold

@@ -4,7 +4,6 @@ import random
 
 import pytest
 from conftest import rows
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roundcast.operators.scan import (
@@ -13,6 +12,7 @@ from roundcast.operators.scan import (
     last_rows,
     ranked,
     running,
+    spread_segments,
     trailing_range,
     trailing_rows,
 )
@@ -58,14 +58,16 @@ def test_running_equals_one_window_whatever_the_segments(data, width):
         assert {c: r[c] for c in ("total", "top", "low", "seen")} == want[(r["k"], r["seq"])]
 
 
-@pytest.mark.parametrize("width", [3, 1000])
-def test_sparse_carry_rows_give_the_same_result(data, width):
-    _, df = data
-    values = [Running("seen", "latest", F.col("v"))]
-    seg = by_position("seq", width)
-    full = running(df, ["k"], "seq", values, seg)
-    sparse = running(df, ["k"], "seq", values, seg, carry_rows=df.filter("v is not null"))
-    assert rows(full, "k", "seq") == rows(sparse, "k", "seq")
+@pytest.mark.parametrize("slots,size", [(1, 3), (4, 5), (64, 1 << 20)])
+def test_spread_segments_rise_with_the_value_and_stay_small(spark, slots, size):
+    rng = random.Random(slots)
+    values = {rng.random() ** 8 for _ in range(400)} | {0.0, 1.0}
+    df = spark.createDataFrame([("k", v) for v in values], "k string, v double").repartition(3)
+    out = rows(spread_segments(df, ["k"], "v", F.lit(0.0), F.lit(1.0), slots, size), "v")
+    ids = [r["__spread"] for r in out]
+    assert ids == sorted(ids) and len(out) == len(values)
+    if size < 10:
+        assert len(set(ids)) > slots
 
 
 @pytest.mark.parametrize("span", [1, 4, 50])
@@ -76,8 +78,14 @@ def test_trailing_range_with_ties_counts_only_earlier_arrivals(spark, span):
         t += rng.choice([0, 0, 1, 3, 9])
         source.append(("m", seq, t, rng.randint(0, 1)))
     df = spark.createDataFrame(source, "k string, seq long, us long, w long").repartition(3)
+    sums = [Running("all", "sum", F.lit(1).cast("long")), Running("ws", "sum", F.col("w"))]
     got = trailing_range(
-        df, ["k"], "us", "seq", span, {"n": F.lit(1).cast("long"), "s": F.col("w")}
+        running(df, ["k"], "seq", sums),
+        ["k"],
+        "us",
+        "seq",
+        span,
+        {"n": ("all", F.lit(1).cast("long")), "s": ("ws", F.col("w"))},
     )
     for r in rows(got):
         inside = [x for x in source if x[1] <= r["seq"] and x[2] >= r["us"] - span]
@@ -99,4 +107,3 @@ def test_last_rows_prunes_before_the_shuffle(spark):
     got = last_rows(df, ["k"], [F.col("id")], 4)
     assert sorted(r["id"] for r in rows(got)) == list(range(988, 1000))
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
-    assert Window is not None
