@@ -143,20 +143,26 @@ def trailing_range(
     span: int,
     counts: dict[str, tuple[str, Column]],
     oldest: str = "oldest",
+    block: int | None = None,
 ) -> DataFrame:
     """Counts over the trailing time range [ts - span, ts], in arrival order.
 
     ``counts`` maps a result name to (its inclusive running count by arrival, the
     row's own share in it); the count in the range is the running count minus
     that of the first row inside. That row is found by merging each row's lower
-    bound into the time order and looking one row ahead, so the cost does not
-    depend on how many rows a range holds. Time is cut into blocks one span long:
-    a bound and the first row after it lie in the same or the next block. Rows
-    that arrive later are not counted, also among equal times.
+    bound into the time order, so the cost does not depend on how many rows a
+    range holds. Rows that arrive later are not counted, also among equal times.
+
+    Time is cut into blocks one span long: a bound and the first row after it lie
+    in the same or the next block, so one shuffle does it and a task holds two
+    spans of one key. Where a key may be crowded within a span, give a shorter
+    ``block``: rows are then walked back in time with a carry between blocks.
     """
     if span <= 0:
         raise ValueError("span must be positive")
-    block = whole_division(F.col(ts), span)
+    if block is not None:
+        return _walked_back(df, keys, ts, span, counts, oldest, block)
+    at_block = whole_division(F.col(ts), span)
     first = F.struct(
         F.col(ts).alias("ts"),
         *[(F.col(total) - share).alias(name) for name, (total, share) in counts.items()],
@@ -169,9 +175,9 @@ def trailing_range(
         )
 
     entries = F.array(
-        entry(F.col(ts) - span, block - 1, nothing, True),
-        entry(F.col(ts), block - 1, first, False),
-        entry(F.col(ts), block, first, False),
+        entry(F.col(ts) - span, at_block - 1, nothing, True),
+        entry(F.col(ts), at_block - 1, first, False),
+        entry(F.col(ts), at_block, first, False),
     )
     rows = df.withColumn("__e", F.explode(entries)).select(
         *[
@@ -200,6 +206,44 @@ def _struct_type(names: Sequence[str]) -> str:
     return "struct<" + ",".join(f"{n}:bigint" for n in names) + ">"
 
 
+def _walked_back(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    span: int,
+    counts: dict[str, tuple[str, Column]],
+    oldest: str,
+    block: int,
+) -> DataFrame:
+    """``trailing_range`` with blocks of any length: smallest values seen so far, backwards."""
+    ends = F.array(
+        F.struct(F.col(ts).alias("at"), F.lit(False).alias("probe")),
+        F.struct((F.col(ts) - span).alias("at"), F.lit(True).alias("probe")),
+    )
+    probe = F.col("__end.probe")
+    lower = {"__low_ts": F.col(ts), **{f"__low_{n}": F.col(c) - s for n, (c, s) in counts.items()}}
+    rows = df.withColumn("__end", F.explode(ends)).select(
+        *[F.col(c) if c in keys else F.when(probe, F.col(c)).alias(c) for c in df.columns],
+        *[F.when(~probe, value).alias(name) for name, value in lower.items()],
+        F.col("__end.at").alias("__at"),
+        probe.alias("__probe"),
+    )
+    # Walking back, a row counts for a bound at the same time: it comes first.
+    walked = rows.withColumn("__back", -(F.col("__at") * 2 + F.when(F.col("__probe"), 0).otherwise(1)))
+    found = running(
+        walked,
+        keys,
+        "__back",
+        [Running(name, "min", F.col(name)) for name in lower],
+        -whole_division(F.col("__at"), block),
+    ).filter("__probe")
+    return found.select(
+        *df.columns,
+        *[(F.col(total) - F.col(f"__low_{n}")).alias(n) for n, (total, _) in counts.items()],
+        F.col("__low_ts").alias(oldest),
+    )
+
+
 def ranked(df: DataFrame, keys: Sequence[str], order: str, name: str = "rank", **kwargs):
     """Dense position 1..n of every row of a key."""
     return running(df, keys, order, [Running(name, "sum", F.lit(1).cast("long"))], **kwargs)

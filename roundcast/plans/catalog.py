@@ -292,7 +292,13 @@ def tick_window_span(spark, sf_dir):
     placed = ranked(rows, ["match_id"], "sequence", "place")
     one = F.lit(1).cast("long")
     out = trailing_range(
-        placed, ["match_id"], "us", "sequence", _SPAN_US, {"items": ("place", one)}
+        placed,
+        ["match_id"],
+        "us",
+        "sequence",
+        _SPAN_US,
+        {"items": ("place", one)},
+        block=_SPAN_US // 512,
     )
     return out.select(
         "match_id",
@@ -1419,6 +1425,10 @@ def snapshot_round_trip(spark, sf_dir):
 
 
 # --- streaming twins -----------------------------------------------------------------------------
+def _cores(spark) -> int:
+    return spark.sparkContext.defaultParallelism
+
+
 def _event_stream(spark, sf_dir):
     from roundcast.session import use_utc
     from roundcast.streaming.jobs import configure_state, read_table_stream
@@ -1433,7 +1443,8 @@ def stream_momentum(spark, sf_dir):
     from roundcast.streaming.processor import stream_momentum as run
 
     out = run(_event_stream(spark, sf_dir), span_seconds=MOMENTUM_SPAN)
-    return spark.read.parquet(run_to_end(out, *scratch_pair(spark, "momentum")))
+    path, log = scratch_pair(spark, "momentum")
+    return spark.read.parquet(run_to_end(out, path, log, state_partitions=_cores(spark)))
 
 
 @query(ORACLE["latest_snapshot"])
@@ -1443,7 +1454,7 @@ def stream_latest(spark, sf_dir):
     ticks = _event_stream(spark, sf_dir).filter("event_type = 'tick'")
     rows = jobs.latest_rows(ticks, ["match_id"], "sequence", ["sequence", "round_number", "value"])
     path, log = jobs.scratch_pair(spark, "latest")
-    jobs.run_batches(rows, jobs.write_updates(path), log)
+    jobs.run_batches(rows, jobs.write_updates(path), log, state_partitions=_cores(spark))
     return jobs.read_updates(spark, path, ["match_id"])
 
 
@@ -1461,7 +1472,7 @@ def stream_history(spark, sf_dir):
     keys = ["match_id", "round_number"]
     rows = jobs.latest_rows(ends, keys, "sequence", ["winner", "reason", "score_ct", "score_t"])
     path, log = jobs.scratch_pair(spark, "history")
-    jobs.run_batches(rows, jobs.write_updates(path), log)
+    jobs.run_batches(rows, jobs.write_updates(path), log, state_partitions=_cores(spark))
     current = jobs.read_updates(spark, path, keys)
     return last_rows(current, ["match_id"], [F.col("round_number")], fv.RETAINED_ROUNDS)
 
@@ -1502,7 +1513,8 @@ def stream_scoring(spark, sf_dir):
         return features.withColumn("ct_win_probability", p)
 
     predictions = jobs.score_ticks(ticks, score)
-    path = jobs.run_to_end(predictions, *jobs.scratch_pair(spark, "scoring"))
+    path, log = jobs.scratch_pair(spark, "scoring")
+    jobs.run_to_end(predictions, path, log, state_partitions=_cores(spark))
     return spark.read.parquet(path).select(
         "match_id", "sequence", "ct_win_probability", "favoured_side"
     )

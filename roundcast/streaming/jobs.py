@@ -45,39 +45,50 @@ def ingest(messages: DataFrame, value: str = "value") -> tuple[DataFrame, DataFr
     return split_valid(checked(messages, value))
 
 
-def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> str:
-    """Drain what is there into a Parquet folder, then stop."""
-    query = (
-        df.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    return _finish(query, path)
+def run_to_end(
+    df: DataFrame,
+    path: str,
+    checkpoint: str,
+    mode: str = "append",
+    state_partitions: int | None = None,
+) -> str:
+    """Drain what is there into a Parquet folder, then stop.
+
+    State is kept per shuffle partition and their number is fixed by the first
+    start; ``state_partitions`` sets it for this query only.
+    """
+    writer = df.writeStream.format("parquet").outputMode(mode).option("path", path)
+    _drain(df.sparkSession, writer, checkpoint, state_partitions)
+    return path
 
 
 def run_batches(
-    df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update"
+    df: DataFrame,
+    write: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    mode: str = "update",
+    state_partitions: int | None = None,
 ) -> None:
     """Drain what is there through a batch writer, then stop."""
-    query = (
-        df.writeStream.foreachBatch(write)
-        .outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    _finish(query, "")
-
-
-def _finish(query, result):
-    done = query.awaitTermination(TIMEOUT_SECONDS)
-    if not done:
+    writer = df.writeStream.foreachBatch(write).outputMode(mode)
+    _drain(df.sparkSession, writer, checkpoint, state_partitions)
+
+
+def _drain(spark: SparkSession, writer, checkpoint: str, state_partitions: int | None) -> None:
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    if state_partitions:
+        spark.conf.set(name, str(state_partitions))
+    try:
+        # a started query keeps its own copy of the settings
+        query = (
+            writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(name, before)
+    if not query.awaitTermination(TIMEOUT_SECONDS):
         query.stop()
         raise TimeoutError("the streaming query did not finish in time")
-    return result
 
 
 def write_updates(path: str) -> Callable[[DataFrame, int], None]:
