@@ -229,7 +229,8 @@ def _walked_back(
         probe.alias("__probe"),
     )
     # Walking back, a row counts for a bound at the same time: it comes first.
-    walked = rows.withColumn("__back", -(F.col("__at") * 2 + F.when(F.col("__probe"), 0).otherwise(1)))
+    late = F.when(F.col("__probe"), 0).otherwise(1)
+    walked = rows.withColumn("__back", -(F.col("__at") * 2 + late))
     found = running(
         walked,
         keys,
