@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,3 +137,7 @@ def stream_momentum(
         outputMode=output_mode,
         timeMode="None" if ttl_seconds is None else "ProcessingTime",
     )
+
+
+# Workers get this code with the task, so they need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 
 
 class Trailing:
@@ -57,3 +59,7 @@ def fold_epochs(match: str, sequence: str, span: int):
             yield pd.DataFrame(out, columns=[*names, "window_seconds"])
 
     return fold
+
+
+# Workers get this code with the task, so they need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
