@@ -1,9 +1,14 @@
 """The queries of the operators, with their SQL where SQL can say it."""
 
 from roundcast.llm.decontaminate import OP2_SQL, op2_decontaminate
+from roundcast.llm.line_crf import op9_quality
+from roundcast.llm.line_runs import OP5_SQL, op5_line_dedup
 from roundcast.llm.packing import op3_packing
 from roundcast.llm.quality_rules import OP6_SQL, op6_quality_rules
 from roundcast.llm.simhash import op1_simhash
+from roundcast.llm.substring_dedup import OP4_SQL, op4_substring_dedup
+from roundcast.llm.suffix_dedup import op7_suffix_dedup
+from roundcast.llm.token_counts import op8_token_counts
 from roundcast.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
@@ -12,12 +17,19 @@ QUERIES = {
         op1_simhash,
         op2_decontaminate,
         op3_packing,
+        op4_substring_dedup,
+        op5_line_dedup,
         op6_quality_rules,
+        op7_suffix_dedup,
+        op8_token_counts,
+        op9_quality,
         op10_warc,
     )
 }
 ORACLE = {
     "op2_decontaminate": OP2_SQL,
+    "op4_substring_dedup": OP4_SQL,
+    "op5_line_dedup": OP5_SQL,
     "op6_quality_rules": OP6_SQL,
     "op10_warc": OP10_SQL,
 }
