@@ -223,22 +223,27 @@ def find_hits(
     window: int = WINDOW,
     shard_words: int = SHARD_WORDS,
     keep_text: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Word windows of the items in every document.
 
     Returns a row for each row of ``docs``: the id, ``n_words``, ``spans`` (maximal hit runs: first and last word,
     first byte and end byte), ``items`` (ids as strings, sorted; those with a window in the document), and the text
     if ``keep_text``. An item of fewer words than a window is one window; an item without words is none. A null text
-    has no words, an item without an id is left out, repeated rows are judged alike, and other columns, whatever
-    their names, are not read. No items: no hits.
+    has no words, an item without an id is left out, repeated rows are judged alike. The columns named in ``carry``
+    come along as c0, c1 ...; others, whatever their names, are not read. No items: no hits.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kept = "doc_id {0}, {1}".format(slim.schema["doc_id"].dataType.simpleString(), "text string, " if keep_text else "")
+    along = [f"c{i}" for i in range(len(carry))]
+    slim = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(a) for a, c in zip(along, carry, strict=True)]
+    )
+    shown = ["doc_id", *along, *(["text"] if keep_text else [])]
 
     def one_pass(shard: DataFrame) -> DataFrame:
         held = spark.sparkContext.broadcast(ItemAutomaton([(r.item, r.text) for r in shard.collect()], window))
-        names = ["doc_id", "text"] if keep_text else ["doc_id"]
+        names = ["doc_id", *along, "text"] if keep_text else ["doc_id", *along]
+        kinds = "".join(f"{c} {slim.schema[c].dataType.simpleString()}, " for c in names)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = held.value
@@ -258,13 +263,12 @@ def find_hits(
                     names=[*names, "n_words", "spans", "items"],
                 )
 
-        return slim.mapInArrow(run, kept + _HITS)
+        return slim.mapInArrow(run, kinds + _HITS)
 
     shards = _shards(items, item_id, item_text, shard_words)
     if len(shards) == 1:
         return one_pass(shards[0])
-    kept += "" if keep_text else "text string, "
-    keep_text, asked = True, keep_text
+    keep_text = True
     found = None
     for shard in shards:
         own = stored(
@@ -275,7 +279,7 @@ def find_hits(
     joined = found.groupBy("doc_id", "key").agg(
         F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
-    counted = one_pass(shards[0]).select("doc_id", "text", "n_words", text_key(F.col("text")).alias("key"))
+    counted = one_pass(shards[0]).select("doc_id", *along, "text", "n_words", text_key(F.col("text")).alias("key"))
     out = counted.alias("d").join(
         joined.alias("h"), F.expr("d.doc_id <=> h.doc_id and d.key = h.key"), "left"
     )
@@ -287,8 +291,7 @@ def find_hits(
                           'end', greatest(element_at(a, -1).end, s.end)))),
                         concat(a, array(s))))"""
     )
-    cols = ["d.doc_id", "d.text"] if asked else ["d.doc_id"]
-    return out.select(*cols, "d.n_words", merged.alias("spans"), F.expr("coalesce(h.items, cast(array() as array<string>))").alias("items"))
+    return out.select(*[f"d.{c}" for c in shown], "d.n_words", merged.alias("spans"), F.expr("coalesce(h.items, cast(array() as array<string>))").alias("items"))
 
 
 def decontaminate(
@@ -297,22 +300,27 @@ def decontaminate(
     doc_id: str = "doc_id",
     text_col: str = "text",
     max_coverage: float = 0.5,
+    carry: tuple[str, ...] = (),
     **options,
 ) -> DataFrame:
     """Documents without benchmark passages: hit runs are cut out of the text, and a document of whose words more
-    than ``max_coverage`` are hit goes as a whole. Returns id, ``text`` and ``n_hit`` for the documents that stay."""
-    hits = find_hits(docs, items, doc_id, text_col, keep_text=True, **options).withColumn("n_hit", hit_words())
-    kept = hits.where(F.col("n_hit") <= F.lit(max_coverage) * F.col("n_words")).select("doc_id", "text", "n_hit", "spans")
+    than ``max_coverage`` are hit goes as a whole. Returns for the documents that stay the id, ``text``, ``n_hit`` and
+    the columns of ``carry`` as c0, c1 ..."""
+    along = [f"c{i}" for i in range(len(carry))]
+    hits = find_hits(docs, items, doc_id, text_col, keep_text=True, carry=carry, **options).withColumn("n_hit", hit_words())
+    kept = hits.where(F.col("n_hit") <= F.lit(max_coverage) * F.col("n_words")).select("doc_id", *along, "text", "n_hit", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = batch["spans"].to_pylist()
             clean = [cut_bytes(t, s) if s else t for t, s in zip(batch["text"].to_pylist(), spans, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(clean, pa.string()), batch["n_hit"]], names=["doc_id", "text", "n_hit"]
+                [batch["doc_id"], *(batch[c] for c in along), pa.array(clean, pa.string()), batch["n_hit"]],
+                names=["doc_id", *along, "text", "n_hit"],
             )
 
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, text string, n_hit long")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name != "spans")
+    return kept.mapInArrow(run, kinds)
 
 
 def hit_words():

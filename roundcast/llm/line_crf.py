@@ -255,18 +255,18 @@ def score_documents(
     text_col: str = "text",
     label: str = "quality",
     max_documents: int = MAX_DOCUMENTS,
-    columns: list[str] | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Score of each row of ``docs``: 0 to 1, higher for a likelier label 1.
 
-    Returns ``doc_id`` and ``score``, after the ``columns`` of ``docs`` that are asked for. Labels of ids whose crc32
+    Returns ``doc_id``, ``score`` and the columns of ``docs`` named in ``carry`` as c0, c1 ... Labels of ids whose crc32
     modulo 5 is 0 aren't used; null ids and labels neither, and several labels of an id count as their majority. Only
     texts are scored: equal texts score alike. A null, empty or blank text has the share of label 1 as its score,
     0.5 if there are no labels. Repeated rows and null ids give a row each; no rows give no rows.
     """
     field = train(docs, labels, doc_id, text_col, label, max_documents)
-    columns = columns or []
-    slim = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col(doc_id).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    along = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *along)
     names = [c for c in slim.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +277,7 @@ def score_documents(
             )
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "text")
-    scored = slim.mapInArrow(run, f"{kinds}, score double")
-    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], *([] if doc_id in columns else ["doc_id"]), "score")
+    return slim.mapInArrow(run, f"{kinds}, score double")
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

@@ -69,23 +69,29 @@ def later_copies(runs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(
-    docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text_col: str = "text",
+    min_lines: int = MIN_LINES,
+    min_words: int = MIN_WORDS,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Texts without later copies of line runs.
 
     Returns, for each row of ``docs``, ``doc_id``, ``n_lines``, ``n_removed`` and ``text``: the lines that stay, blank
     ones included, joined by newlines. Lines are parted by \\n and compared as they are; blank ones belong to no run.
     The original is the first by (id, line) and stays; a copy later in the same document goes too. A null text has no
-    lines. Rows with one id and one text are one place, so neither is the other's copy. A null id comes last. Other
-    columns are not read; no rows give no rows.
+    lines. Rows with one id and one text are one place, so neither is the other's copy. A null id comes last. The
+    columns named in ``carry`` come along as c0, c1 ...; others are not read; no rows give no rows.
     """
     copies = later_copies(named_runs(docs, doc_id, text_col, min_lines, min_words))
     gone = copies.select("doc_id", "check", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("lines") - 1)).alias("at"))
     gone = gone.groupBy("doc_id", "check").agg(F.collect_set("at").alias("gone"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.hash(text).alias("check"), F.col(text_col).cast("string").alias("text"))
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.hash(text).alias("check"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    along = [f"c{i}" for i in range(len(carry))]
     met = keyed.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id and d.check = g.check"), "left")
-    split = met.select("d.doc_id", "d.text", "g.gone", F.split(F.coalesce("d.text", F.lit("")), "\n").alias("lines"))
+    split = met.select("d.doc_id", "d.text", "g.gone", *[f"d.{c}" for c in along], F.split(F.coalesce("d.text", F.lit("")), "\n").alias("lines"))
     # places in the text of the lines that are not blank, then of those that stay
     full = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.translate(F.get("lines", i), _SPACES, "") != "")
     placed = split.withColumn("full", full)
@@ -99,6 +105,7 @@ def dedup_lines(
         F.size("full").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         "text",
+        *along,
     ).withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
 
 
