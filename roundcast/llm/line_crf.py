@@ -186,6 +186,7 @@ class Field(NamedTuple):
             good, _, _ = marginals(x @ self.weight, self.moves, chains(lines.of))
             first = lines.of[:-1]
             full = np.flatnonzero(np.diff(lines.of))
+            good = good if self.weight.any() else np.full(len(good), self.prior)
             out[full] = np.add.reduceat(good * lines.size, first[full]) / np.add.reduceat(lines.size, first[full])
         return np.clip(out, 0, 1)
 
@@ -195,7 +196,7 @@ def fit(x: np.ndarray, of: np.ndarray, label: np.ndarray, rounds: int = ROUNDS,
     wide = MEASURES * 3 + 3
     neutral = Field(np.zeros(wide), np.ones(wide), np.zeros(wide), np.zeros((2, 2)), float(label.mean()) if len(label) else 0.5)
     if not len(x) or label.min() == label.max():
-        return neutral if not len(label) else neutral._replace(weight=np.eye(1, wide, wide - 1)[0] * (8 if label[0] else -8))
+        return neutral if not len(x) else neutral._replace(weight=np.eye(1, wide, wide - 1)[0] * (8 if label[0] else -8))
     x = with_neighbours(x, of).astype(np.float64)
     mean, scale = x.mean(axis=0), x.std(axis=0)
     mean[-1] = 0

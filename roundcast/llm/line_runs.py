@@ -17,7 +17,7 @@ from roundcast.llm.common import table
 
 MIN_LINES = 2
 MIN_WORDS = 50
-_SPACES = " \t\n\x0b\f\r"
+_VISIBLE = "[^\\x20\\x09-\\x0D]"
 _NAME = "array<struct<a:bigint,b:bigint>>"
 
 
@@ -40,7 +40,7 @@ def named_runs(docs: DataFrame, doc_id: str, text_col: str, min_lines: int, min_
     """doc_id, check, ``at`` (place among the lines that aren't blank), ``lines`` and the run's name."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.hash(text).alias("check"), text.alias("text"))
-    full = F.filter(F.split("text", "\n"), lambda x: F.translate(x, _SPACES, "") != "")
+    full = F.filter(F.split("text", "\n"), lambda x: x.rlike(_VISIBLE))
     lines = keyed.select("doc_id", "check", full.alias("lines"))
     ids = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("line"), x).alias("b")))
     # at least min_words words: as many starts of words
@@ -93,7 +93,7 @@ def dedup_lines(
     met = keyed.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id and d.check = g.check"), "left")
     split = met.select("d.doc_id", "d.text", "g.gone", *[f"d.{c}" for c in along], F.split(F.coalesce("d.text", F.lit("")), "\n").alias("lines"))
     # places in the text of the lines that are not blank, then of those that stay
-    full = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.translate(F.get("lines", i), _SPACES, "") != "")
+    full = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(_VISIBLE))
     placed = split.withColumn("full", full)
     out = placed.withColumn("out", F.transform("gone", lambda i: F.get("full", i)))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("out"))
