@@ -1452,9 +1452,9 @@ def stream_latest(spark, sf_dir):
     from roundcast.streaming import jobs
 
     ticks = _event_stream(spark, sf_dir).filter("event_type = 'tick'")
-    rows = jobs.latest_rows(ticks, ["match_id"], "sequence", ["sequence", "round_number", "value"])
     path, log = jobs.scratch_pair(spark, "latest")
-    jobs.run_batches(rows, jobs.write_updates(path), log, state_partitions=_cores(spark))
+    write = jobs.write_latest(path, ["match_id"], ["sequence"], ["sequence", "round_number", "value"])
+    jobs.run_batches(ticks, write, log)
     return jobs.read_updates(spark, path, ["match_id"])
 
 
@@ -1470,9 +1470,9 @@ def stream_history(spark, sf_dir):
 
     ends = _event_stream(spark, sf_dir).filter("event_type = 'round_end'")
     keys = ["match_id", "round_number"]
-    rows = jobs.latest_rows(ends, keys, "sequence", ["winner", "reason", "score_ct", "score_t"])
     path, log = jobs.scratch_pair(spark, "history")
-    jobs.run_batches(rows, jobs.write_updates(path), log, state_partitions=_cores(spark))
+    write = jobs.write_latest(path, keys, ["sequence"], ["winner", "reason", "score_ct", "score_t"])
+    jobs.run_batches(ends, write, log)
     current = jobs.read_updates(spark, path, keys)
     return last_rows(current, ["match_id"], [F.col("round_number")], fv.RETAINED_ROUNDS)
 

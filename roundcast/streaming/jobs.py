@@ -7,8 +7,9 @@ stop the others.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roundcast.functions.features import feature_frame, scoreable
@@ -18,7 +19,8 @@ from roundcast.session import scratch_path
 from roundcast.sources.rules import checked, split_valid
 from roundcast.streaming.processor import STATE_CONF
 
-TIMEOUT_SECONDS = 600
+#: Files that one micro-batch of a file stream admits.
+FILES_PER_BATCH = 64
 
 
 def configure_state(spark: SparkSession) -> SparkSession:
@@ -30,12 +32,12 @@ def configure_state(spark: SparkSession) -> SparkSession:
 def read_table_stream(
     spark: SparkSession, folder: str, pattern: str, options: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Parquet files of a folder as a stream; ``pattern`` selects file names."""
+    """Parquet files of a folder as a stream; ``pattern`` selects file names, ``options`` may admit more or fewer."""
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", pattern)
-        .options(**dict(options or {}))
+        .options(**{"maxFilesPerTrigger": str(FILES_PER_BATCH), **dict(options or {})})
         .parquet(folder)
     )
 
@@ -51,14 +53,15 @@ def run_to_end(
     checkpoint: str,
     mode: str = "append",
     state_partitions: int | None = None,
+    timeout_seconds: float | None = None,
 ) -> str:
-    """Drain what is there into a Parquet folder, then stop.
+    """Drain what is there into a Parquet folder, then stop; with no timeout, however long it takes.
 
     State is kept per shuffle partition and their number is fixed by the first
     start; ``state_partitions`` sets it for this query only.
     """
     writer = df.writeStream.format("parquet").outputMode(mode).option("path", path)
-    _drain(df.sparkSession, writer, checkpoint, state_partitions)
+    _drain(df.sparkSession, writer, checkpoint, state_partitions, timeout_seconds)
     return path
 
 
@@ -68,13 +71,16 @@ def run_batches(
     checkpoint: str,
     mode: str = "update",
     state_partitions: int | None = None,
+    timeout_seconds: float | None = None,
 ) -> None:
     """Drain what is there through a batch writer, then stop."""
     writer = df.writeStream.foreachBatch(write).outputMode(mode)
-    _drain(df.sparkSession, writer, checkpoint, state_partitions)
+    _drain(df.sparkSession, writer, checkpoint, state_partitions, timeout_seconds)
 
 
-def _drain(spark: SparkSession, writer, checkpoint: str, state_partitions: int | None) -> None:
+def _drain(
+    spark: SparkSession, writer, checkpoint: str, state_partitions: int | None, timeout_seconds: float | None
+) -> None:
     name = "spark.sql.shuffle.partitions"
     before = spark.conf.get(name)
     if state_partitions:
@@ -86,38 +92,68 @@ def _drain(spark: SparkSession, writer, checkpoint: str, state_partitions: int |
         )
     finally:
         spark.conf.set(name, before)
-    if not query.awaitTermination(TIMEOUT_SECONDS):
+    if timeout_seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_seconds):
         query.stop()
-        raise TimeoutError("the streaming query did not finish in time")
+        raise TimeoutError(f"the streaming query took more than {timeout_seconds} seconds")
+
+
+def _run_folder(path: str) -> str:
+    """Batches of a run lie under a name of its own: a new checkpoint counts from 0 again and must not replace them.
+
+    Names grow with time, so that the newest run has the last name.
+    """
+    return f"{path}/run={datetime.now(UTC):%Y%m%dT%H%M%S%f}"
 
 
 def write_updates(path: str) -> Callable[[DataFrame, int], None]:
     """Batch writer that keeps each batch's changed rows; a retried batch replaces itself."""
+    folder = _run_folder(path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
     return write
 
 
-def read_updates(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Current rows of an update table: per key, the row of the newest batch."""
-    rows = spark.read.parquet(path)
-    columns = [c for c in rows.columns if c not in (*keys, "batch")]
-    return upsert(rows, keys, ["batch"], columns)
+def write_latest(
+    path: str, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]
+) -> Callable[[DataFrame, int], None]:
+    """Batch writer of the last arrival per key, without any streaming state.
+
+    A later batch is a later arrival whatever its rows say; ``order`` decides within a batch. Busy keys are combined
+    before they are shuffled.
+    """
+    write = write_updates(path)
+
+    def reduce_and_write(batch: DataFrame, batch_id: int) -> None:
+        newest = F.max_by(F.struct(*columns), F.struct(*order)).alias("__row")
+        rows = batch.groupBy(*keys).agg(newest)
+        write(rows.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in columns]), batch_id)
+
+    return reduce_and_write
 
 
-def latest_rows(
-    events: DataFrame,
-    keys: Sequence[str],
-    arrival: str,
-    columns: Sequence[str],
+def read_updates(
+    spark: SparkSession, path: str, keys: Sequence[str], fresh: Column | None = None
 ) -> DataFrame:
-    """Latest row per key as a streaming aggregate; map tasks pre-combine busy keys."""
-    newest = F.max_by(F.struct(*columns), F.col(arrival)).alias("__row")
-    return events.groupBy(*keys).agg(newest).select(
-        *keys, *[F.col(f"__row.{c}").alias(c) for c in columns]
-    )
+    """Current rows of an update table: per key, the row of the newest batch of the newest run.
+
+    ``fresh`` says which rows are still alive, for example by their age.
+    """
+    rows = spark.read.parquet(path).withColumn("run", F.col("run").cast("string"))
+    columns = [c for c in rows.columns if c not in (*keys, "run", "batch")]
+    current = upsert(rows, keys, ["run", "batch"], columns)
+    return current if fresh is None else current.filter(fresh)
+
+
+def compact_updates(
+    spark: SparkSession, path: str, to: str, keys: Sequence[str], fresh: Column | None = None
+) -> str:
+    """The current rows alone, as the first run of a new update table; expired ones are left behind."""
+    read_updates(spark, path, keys, fresh).write.parquet(f"{_run_folder(to)}/batch=0")
+    return to
 
 
 def score_ticks(
@@ -150,14 +186,15 @@ def route_batch(
     """Batch writer for several tables: each route picks rows and names a folder.
 
     The batch is read once and kept while the routes write; writing a folder per
-    batch id makes a retry replace its own output.
+    batch id makes a retry replace its own output, and one per run keeps other runs' output.
     """
+    folders = {name: _run_folder(path) for name, (_, path) in routes.items()}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            for pick, path in routes.values():
-                pick(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            for name, (pick, _) in routes.items():
+                pick(batch).write.mode("overwrite").parquet(f"{folders[name]}/batch={batch_id}")
         finally:
             batch.unpersist()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from roundcast.functions import fixed_values as fv
 from roundcast.functions.numeric import micros
-from roundcast.streaming.window_state import Trailing, measures
+from roundcast.streaming.window_state import VALUES, MatchWindows, Trail
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": (
@@ -28,9 +29,9 @@ STATE_CONF = {
 class MomentumProcessor(StatefulProcessor):
     """Keeps one match's kill and tick windows, its epoch and current round.
 
-    Rows of one micro-batch are folded in sequence order; across batches the
-    arrival order counts, so a late event is folded late. State is one window of
-    one match and leaves with the match end or after the time to live.
+    Rows of one micro-batch are folded in sequence order; across batches the arrival order counts, so a late event is
+    folded late. The input's admission limit bounds a micro-batch. State is one window of one match; nothing of it is
+    left after a match end, where epochs start at 0 again, or after the time to live.
     """
 
     def __init__(self, span: int, keep: tuple[str, ...], ttl_seconds: float | None):
@@ -43,43 +44,46 @@ class MomentumProcessor(StatefulProcessor):
         self.ticks = handle.getValueState("ticks", window, self.ttl)
         self.marks = handle.getValueState("marks", "epoch long, round int", self.ttl)
 
-    def _load(self, state) -> Trailing:
-        if not state.exists():
-            return Trailing(self.span)
-        us, ct, hs = state.get()
-        return Trailing(self.span, zip(list(us), list(ct), list(hs)))
-
-    @staticmethod
-    def _store(state, window: Trailing) -> None:
-        columns = list(zip(*window.rows)) or [(), (), ()]
-        state.update(tuple([int(v) for v in column] for column in columns))
+    def _load(self, state) -> Trail:
+        return Trail(self.span, *map(list, state.get())) if state.exists() else Trail(self.span)
 
     def handleInputRows(
         self, key, rows: Iterator[pd.DataFrame], timerValues
     ) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True).sort_values("sequence")
-        kills, ticks = self._load(self.kills), self._load(self.ticks)
+        parts = list(rows)
+        columns = {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in parts[0].columns}
+        order = np.argsort(columns["sequence"], kind="stable")
+        columns = {c: v[order] for c, v in columns.items()}
+        windows = MatchWindows(self.span, self._load(self.kills), self._load(self.ticks))
         epoch, current = self.marks.get() if self.marks.exists() else (0, None)
-        out = []
-        for row in frame.itertuples(index=False):
-            if row.kind == "round_start":
-                epoch, current = epoch + 1, row.round
-                kills, ticks = Trailing(self.span), Trailing(self.span)
-            elif row.kind == "kill":
-                kills.add(row.us, row.ct, row.hs)
-            elif row.kind == "tick":
-                ticks.add(row.us)
-                current = row.round
-                kept = tuple(getattr(row, f"keep_{i}") for i in range(len(self.keep)))
-                out.append((key[0], row.sequence, *kept, epoch, *measures(kills, ticks)))
-            elif row.kind == "match_end":
-                epoch, current = epoch + 1, None
-                kills, ticks = Trailing(self.span), Trailing(self.span)
-        self._store(self.kills, kills)
-        self._store(self.ticks, ticks)
-        self.marks.update((int(epoch), None if current is None else int(current)))
-        columns = ["match_id", "sequence", *self.keep, "epoch", "kills_ct", "kills_t"]
-        yield pd.DataFrame(out, columns=[*columns, "headshots", "ticks", "window_seconds"])
+        live = self.marks.exists()
+        at, epochs, values = [], [], []
+        plain = [columns[c].tolist() for c in ("kind", "us", "ct", "hs", "round")]
+        for i, (kind, us, ct, hs, number) in enumerate(zip(*plain, strict=True)):
+            live = kind != "match_end"
+            if kind == "kill":
+                windows.kills.enter(us, ct, hs)
+            elif kind == "tick":
+                windows.ticks.enter(us)
+                current = number
+                at.append(i)
+                epochs.append(epoch)
+                values.append(windows.row())
+            else:
+                windows = MatchWindows(self.span)
+                epoch, current = (epoch + 1, number) if live else (0, None)
+        if live:
+            self.kills.update(windows.kills.held())
+            self.ticks.update(windows.ticks.held())
+            self.marks.update((int(epoch), None if current is None else int(current)))
+        else:
+            for state in (self.kills, self.ticks, self.marks):
+                state.clear()
+        out = {"match_id": [key[0]] * len(at), "sequence": columns["sequence"][at]}
+        out |= {name: columns[f"keep_{i}"][at] for i, name in enumerate(self.keep)}
+        out["epoch"] = epochs
+        out |= dict(zip(VALUES, zip(*values, strict=True) if values else [()] * len(VALUES), strict=True))
+        yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
@@ -96,16 +100,16 @@ def stream_momentum(
     round_number: str = "round_number",
     keep: tuple[str, ...] = (),
     span_seconds: float = fv.MOMENTUM_SECONDS,
-    ttl_seconds: float | None = None,
+    ttl_seconds: float | None = fv.STATE_TTL_SECONDS,
     output_mode: str = "append",
 ) -> DataFrame:
     """Window values at every tick of a streaming event input.
 
-    ``keep`` columns travel with the tick. Without a time to live the state of a
-    match is dropped only by its match end.
+    ``keep`` columns travel with the tick. The state of a match leaves with its
+    match end, and without one after the time to live.
     """
     if span_seconds <= 0:
-        raise ValueError("span_seconds must be positive")
+        raise ValueError(f"a window of {span_seconds} seconds holds nothing")
     narrow = events.filter(
         F.col(kind).isin("tick", "kill", "round_start", "match_end")
     ).select(

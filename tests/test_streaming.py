@@ -42,18 +42,62 @@ def stream(spark, path):
     return jobs.read_table_stream(spark, path, "*.parquet", {"maxFilesPerTrigger": "1"})
 
 
+def lives(items):
+    """Round starts since the last match end, for every row in sequence order."""
+    out, seen = {}, {}
+    for r in sorted(items, key=lambda r: r["sequence"]):
+        own = r["match_id"]
+        if r["event_type"] == "match_end":
+            seen[own] = 0
+        elif r["event_type"] == "round_start":
+            seen[own] = seen.get(own, 0) + 1
+        out[own, r["sequence"]] = seen.get(own, 0)
+    return out
+
+
 def test_momentum_carries_over_batches_and_equals_the_batch_plan(spark, folder, tmp_path):
     path, batch = folder
     out = stream_momentum(stream(spark, path), span_seconds=5.0, keep=("round_number",))
     done = jobs.run_to_end(out, str(tmp_path / "out"), str(tmp_path / "log"))
     got = {(r["match_id"], r["sequence"]): tuple(r[c] for c in NAMES) for r in rows(spark.read.parquet(done))}
+    life = lives(rows(batch))
     want = {
-        (r["match_id"], r["sequence"]): tuple(r[c] for c in NAMES)
+        (r["match_id"], r["sequence"]): (life[r["match_id"], r["sequence"]], *(r[c] for c in NAMES[1:]))
         for r in rows(mo.momentum(batch, span_seconds=5.0, segment_rows=13))
     }
     assert got == want
 
 
+def test_nothing_is_kept_of_finished_matches(spark, tmp_path):
+    items = [
+        (f"m{m}", i, at(float(i)), kind, "CT", False, 1)
+        for m in range(20)
+        for i, kind in enumerate(["round_start", "tick", "kill", "tick", "match_end"])
+    ] + [("open", 1, at(1.0), "tick", "CT", False, 1)]
+    path, log = str(tmp_path / "in"), str(tmp_path / "log")
+    spark.createDataFrame(items, SCHEMA).coalesce(1).write.parquet(path)
+    out = stream_momentum(stream(spark, path), span_seconds=5.0)
+    jobs.run_to_end(out, str(tmp_path / "out"), log)
+    for name in ("kills", "ticks", "marks"):
+        held = spark.read.format("statestore").option("stateVarName", name).load(log)
+        assert [r["key"]["match_id"] for r in rows(held)] == ["open"]
+
+
+def test_a_later_arrival_wins_and_runs_do_not_replace_each_other(spark, tmp_path):
+    path, kind = str(tmp_path / "table"), "match_id string, sequence long, v int"
+    first, second = jobs.write_latest(path, ["match_id"], ["sequence"], ["sequence", "v"]), None
+    first(spark.createDataFrame([("a", 9, 1), ("a", 3, 2), ("b", 1, 3)], kind), 0)
+    first(spark.createDataFrame([("a", 4, 4)], kind), 1)
+    got = {r["match_id"]: (r["sequence"], r["v"]) for r in rows(jobs.read_updates(spark, path, ["match_id"]))}
+    assert got == {"a": (4, 4), "b": (1, 3)}
+    second = jobs.write_latest(path, ["match_id"], ["sequence"], ["sequence", "v"])
+    second(spark.createDataFrame([("b", 2, 5)], kind), 0)
+    alive = F.col("v") > 3
+    small = jobs.compact_updates(spark, path, str(tmp_path / "small"), ["match_id"], alive)
+    for table in (jobs.read_updates(spark, path, ["match_id"], alive), jobs.read_updates(spark, small, ["match_id"])):
+        assert {r["match_id"]: r["v"] for r in rows(table)} == {"a": 4, "b": 5}
+
+
 def test_time_to_live_state_finishes_a_bounded_run(spark, folder, tmp_path):
     path, batch = folder
     out = stream_momentum(stream(spark, path), span_seconds=5.0, ttl_seconds=3600)
@@ -63,10 +107,11 @@ def test_time_to_live_state_finishes_a_bounded_run(spark, folder, tmp_path):
 
 def test_latest_rows_and_routed_tables(spark, folder, tmp_path):
     path, batch = folder
-    latest = jobs.latest_rows(stream(spark, path), ["match_id"], "sequence", ["sequence", "event_type"])
     out = str(tmp_path / "latest")
-    jobs.run_batches(latest, jobs.write_updates(out), str(tmp_path / "log1"))
+    write = jobs.write_latest(out, ["match_id"], ["sequence"], ["sequence", "event_type"])
+    jobs.run_batches(stream(spark, path), write, str(tmp_path / "log1"))
     got = rows(jobs.read_updates(spark, out, ["match_id"]), "match_id")
+    # a batch is a file of 60 rows; the last one decides
     want = rows(batch.groupBy("match_id").agg(F.max("sequence").alias("sequence")), "match_id")
     assert [r["sequence"] for r in got] == [r["sequence"] for r in want]
     routes = {
