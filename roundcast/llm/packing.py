@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,10 +22,14 @@ from roundcast.llm.common import stored, table
 
 LENGTH = 4096
 END_ID = 2
-CACHED_WORDS = 150_000
-#: White space of the tokenizer's own pattern among ASCII; these, split() takes for white space and the pattern doesn't.
+CACHED = 400_000
+#: White space of the tokenizer's own pattern among ASCII; some more split() takes for white space.
 _SPACES = re.compile(r"[ \t\n\r\v\f]+")
 _ODD = re.compile("[\x1c-\x1f]")
+#: The tokenizer's pattern for what it merges within, and the characters that stand for bytes.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = dict(zip([*_PLAIN, *sorted(set(range(256)) - set(_PLAIN))], [*_PLAIN, *range(256, 324)], strict=True))
 
 
 def vocabulary() -> str:
@@ -34,27 +39,62 @@ def vocabulary() -> str:
 
 
 class WordTokenizer:
-    """Ids of whole texts. The tokenizer drops white space and no token spans it, so ids are kept by word."""
+    """Ids of whole texts. The tokenizer drops white space and no token spans it, so ids are kept by word; a word of
+    Latin-1 characters is lowered and parted as the tokenizer does, and its parts' ids are kept as well."""
 
     def __init__(self, path: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.parts = regex.compile(_PIECES).findall
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        try:
+            word.encode("latin-1")
+        except UnicodeEncodeError:
+            return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if "<|" in word or not word.isprintable():
+            return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        out = []
+        for piece in self.parts(word.lower()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                if len(self.pieces) >= CACHED:
+                    self.pieces.clear()
+                tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))
+                ids = self.pieces[piece] = _packed([t.id for t in tokens])
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         words = _SPACES.split(text) if _ODD.search(text) else text.split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > CACHED_WORDS:
+        known = self.words
+        out = [known.get(w) for w in words]
+        if None in out:
+            if len(known) >= CACHED:
                 known.clear()
-            new = list({w for w in words if w not in known})
-            for w, code in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = b"".join([i.to_bytes(4, "little") for i in code.ids])
-            return b"".join([known[w] for w in words])
+            for i, ids in enumerate(out):
+                if ids is None:
+                    ids = known.get(words[i])
+                    if ids is None:
+                        ids = known[words[i]] = self._word(words[i])
+                    out[i] = ids
+        return b"".join(out)
+
+
+def _packed(ids: list[int]) -> bytes:
+    return b"".join([i.to_bytes(4, "little") for i in ids])
+
+
+@cache
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One for each Python worker, whatever tasks it runs."""
+    return WordTokenizer(path)
 
 
 def token_table(docs: DataFrame, doc_id: str, text_col: str, path: str, end_id: int) -> DataFrame:
@@ -63,7 +103,7 @@ def token_table(docs: DataFrame, doc_id: str, text_col: str, path: str, end_id:
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, at = WordTokenizer(path), TaskContext.get().partitionId(), 0
+        tokenizer, part, at = tokenizer_of(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 own = batch.slice(low, 1000)
@@ -109,7 +149,8 @@ def pack(
     # one row for each partition of the first pass; the prefix sums are the concatenation's global offsets
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    placed = tokens.join(offsets, "part").withColumn("at", F.col("base") + F.col("begin"))
+    # a row for each partition again, so that no ids move for the join
+    placed = tokens.join(F.broadcast(offsets), "part").withColumn("at", F.col("base") + F.col("begin"))
     last = F.floor((F.col("at") + F.col("doc_tokens") - 1) / length)
     cut = placed.withColumn("sequence_id", F.explode(F.sequence(F.floor(F.col("at") / length), last)))
     first = F.greatest(F.col("at"), F.col("sequence_id") * length)
