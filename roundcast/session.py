@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -44,11 +45,14 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named."""
+    """The cluster's shared folder. On a local master, where driver and executors share a disk, an unnamed one is
+    made; elsewhere an unnamed one is an error, for executors would each write to a disk of their own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="roundcast-")
         spark.sparkContext.setCheckpointDir(named)

@@ -99,17 +99,18 @@ def _drain(
         raise TimeoutError(f"the streaming query took more than {timeout_seconds} seconds")
 
 
-def _run_folder(path: str) -> str:
+def _run_folder(path: str, run: str | None) -> str:
     """Batches of a run lie under a name of its own: a new checkpoint counts from 0 again and must not replace them.
 
-    Names grow with time, so that the newest run has the last name.
+    Names are to grow with time, the newest run having the last one, and to stay with a checkpoint: a restart that goes
+    on with a checkpoint gives its name again and so replaces the batch it had begun.
     """
-    return f"{path}/run={datetime.now(UTC):%Y%m%dT%H%M%S%f}"
+    return f"{path}/run={run or f'{datetime.now(UTC):%Y%m%dT%H%M%S%f}'}"
 
 
-def write_updates(path: str) -> Callable[[DataFrame, int], None]:
+def write_updates(path: str, run: str | None = None) -> Callable[[DataFrame, int], None]:
     """Batch writer that keeps each batch's changed rows; a retried batch replaces itself."""
-    folder = _run_folder(path)
+    folder = _run_folder(path, run)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
@@ -118,14 +119,14 @@ def write_updates(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def write_latest(
-    path: str, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]
+    path: str, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], run: str | None = None
 ) -> Callable[[DataFrame, int], None]:
     """Batch writer of the last arrival per key, without any streaming state.
 
     A later batch is a later arrival whatever its rows say; ``order`` decides within a batch. Busy keys are combined
     before they are shuffled.
     """
-    write = write_updates(path)
+    write = write_updates(path, run)
 
     def reduce_and_write(batch: DataFrame, batch_id: int) -> None:
         newest = F.max_by(F.struct(*columns), F.struct(*order)).alias("__row")
@@ -152,7 +153,7 @@ def compact_updates(
     spark: SparkSession, path: str, to: str, keys: Sequence[str], fresh: Column | None = None
 ) -> str:
     """The current rows alone, as the first run of a new update table; expired ones are left behind."""
-    read_updates(spark, path, keys, fresh).write.parquet(f"{_run_folder(to)}/batch=0")
+    read_updates(spark, path, keys, fresh).write.parquet(f"{_run_folder(to, None)}/batch=0")
     return to
 
 
@@ -181,14 +182,14 @@ def score_ticks(
 
 
 def route_batch(
-    routes: Mapping[str, tuple[Callable[[DataFrame], DataFrame], str]]
+    routes: Mapping[str, tuple[Callable[[DataFrame], DataFrame], str]], run: str | None = None
 ) -> Callable[[DataFrame, int], None]:
     """Batch writer for several tables: each route picks rows and names a folder.
 
     The batch is read once and kept while the routes write; writing a folder per
     batch id makes a retry replace its own output, and one per run keeps other runs' output.
     """
-    folders = {name: _run_folder(path) for name, (_, path) in routes.items()}
+    folders = {name: _run_folder(path, run) for name, (_, path) in routes.items()}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()

@@ -94,7 +94,7 @@ def test_history_tables(spark, tmp_path):
     )
     r = rounds(spark, [("m", 1, "CT", "t_eliminated", 1), ("m", 2, "T", "bomb_exploded", 5)])
     m = spark.createDataFrame([("m", "CT", 13, 2, 9)], "match_id string, winner string, score_ct int, score_t int, sequence long")
-    history = History(spark, str(tmp_path / "h"))
+    history = History(spark, str(tmp_path / "h"), run="a")
     history.write(base, r, m, 0)
     history.write(base, r, m, 0)  # a retried batch
     history.write(base.limit(0), rounds(spark, [("m", 2, "CT", "bomb_defused", 7)]), m, 1)
@@ -107,3 +107,20 @@ def test_history_tables(spark, tmp_path):
     with pytest.raises(ValueError):
         history.count("nope")
     assert F is not None
+
+
+def test_older_files_get_defaults_and_writers_keep_apart(spark, tmp_path):
+    base, _ = reconcile(
+        spark.createDataFrame([("m", 1, 1, "live")], "match_id string, sequence long, round_number int, phase string")
+    )
+    r = rounds(spark, [("m", 1, "CT", "t_eliminated", 1)])
+    m = spark.createDataFrame([("m", "CT", 13, 2, 9)], "match_id string, winner string, score_ct int, score_t int, sequence long")
+    root = str(tmp_path / "h")
+    old = base.drop("kills_ct_window", "kills_t_window", "window_seconds")
+    History(spark, root, run="1").write(old, r, m, 0)
+    new = base.withColumn("kills_ct_window", F.lit(3)).withColumn("sequence", F.lit(2).cast("long"))
+    later = rounds(spark, [("m", 1, "T", "bomb_exploded", 1)])
+    History(spark, root, run="2").write(new, later, m, 0)
+    got = rows(History(spark, root).read("ticks"), "sequence")
+    assert [(g["kills_ct_window"], g["kills_t_window"], g["window_seconds"]) for g in got] == [(0, 0, 0.0), (3, 0, 0.0)]
+    assert [g["winner"] for g in rows(History(spark, root).read("rounds"))] == ["T"]
