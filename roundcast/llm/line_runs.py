@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roundcast.llm.common import table
+from roundcast.llm.common import stored, table
 
 MIN_LINES = 2
 MIN_WORDS = 50
@@ -65,7 +65,8 @@ def later_copies(runs: DataFrame) -> DataFrame:
     """Runs whose name has an earlier place, with that of the original."""
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at")
     heads = runs.groupBy("name", "lines").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1")
-    return runs.join(heads.drop("n"), ["name", "lines"]).where(place > F.col("head"))
+    # written, so that the join sees a plain table and can split a name that holds many rows
+    return runs.join(stored(heads.drop("n"), "heads"), ["name", "lines"]).where(place > F.col("head"))
 
 
 def dedup_lines(

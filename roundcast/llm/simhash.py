@@ -293,7 +293,8 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("least"))
         before = seen
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join sees a plain table and can split a node with many links
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = stored(large.distinct(), name)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -330,8 +331,11 @@ def near_duplicates(
     component of null ids alone has a null component_id; other columns are not read; no rows give no rows.
     """
     rooted = grouped(docs, doc_id, text_col, shingle, radius, words64, minimums, tree_nodes)
-    heads = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(heads, "root").select("doc_id", F.lower(F.hex("print")).alias("fingerprint"), "component_id")
+    heads = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    # written, so that the join sees a plain table and can split a component that holds many rows
+    heads = stored(heads.where("n > 1").select("root", "component_id", F.lit(True).alias("many")), "heads")
+    component = F.when(F.col("many"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return rooted.join(heads, "root", "left").select("doc_id", F.lower(F.hex("print")).alias("fingerprint"), component.alias("component_id"))
 
 
 def without_near_duplicates(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundcast.llm.common import table
+from roundcast.llm.common import stored, table
 from roundcast.session import scratch_path
 
 #: Payloads of fewer bytes are never revisited.
@@ -75,7 +75,9 @@ def write_archive(
     sound = F.when(F.col("low") == F.col("high"), F.col("_sha256")).otherwise(F.raise_error(F.lit("two payloads share a digest")))
     payloads.select(sound.alias("digest"), "body").write.parquet(f"{path}/payloads")
 
-    firsts = slim.where(F.col("_bytes") >= revisit_bytes).groupBy("_sha256").agg(F.max("_page").alias("_first"))
+    firsts = slim.where(F.col("_bytes") >= revisit_bytes).groupBy("_sha256").agg(F.max("_page").alias("_first"), F.count("*").alias("n"))
+    # written, so that the join sees a plain table and can split a payload that many pages have
+    firsts = stored(firsts.where("n > 1").drop("n"), "firsts")
     rows = slim.select("_page", "_url", "_sha256", F.sha1("_body").alias("_sha1"), "_bytes").join(firsts, "_sha256", "left")
     kind = F.when(F.col("_first").isNull() | F.col("_first").eqNullSafe(F.col("_page")), F.lit("response")).otherwise(F.lit("revisit"))
     rows.select(
