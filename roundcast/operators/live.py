@@ -193,7 +193,7 @@ def recent_stability(
     df: DataFrame,
     probability: str,
     keys: Sequence[str] = ("match_id",),
-    order: str = "sequence",
+    order: str | Sequence[str] = "sequence",
     samples: int = fv.STABILITY_SAMPLES,
     include_current: bool = True,
     segment_rows: int = SEGMENT_ROWS,
@@ -236,13 +236,45 @@ def recent_stability(
 
 
 # --- throttle -------------------------------------------------------------------------
-def _keep_walk(moments: Column, start: Column, interval: int) -> Column:
-    """Last kept time of the greedy walk over sorted ``moments`` that keeps ``start`` first."""
-    return F.aggregate(
-        moments,
-        start,
-        lambda kept, m: F.when(m["us"] - kept >= interval, m["us"]).otherwise(kept),
-    )
+def _outline(match: str, interval: int):
+    """Per segment: each first row that could be kept in it, and the last row kept then."""
+
+    def outlined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            starts, ends = [], []
+            for moments in frame["moments"]:
+                us = np.asarray(moments, np.int64)
+                after = np.searchsorted(us, us + interval)
+                last = list(range(len(us)))
+                for i in range(len(us) - 1, -1, -1):
+                    if after[i] < len(us):
+                        last[i] = last[after[i]]
+                # the walk may also skip all early ones and begin at the first moment after them
+                early = int(after[0]) + 1
+                starts.append(us[:early])
+                ends.append(us[np.array(last[:early])])
+            yield frame[[match, "__slot"]].assign(starts=starts, ends=ends)
+
+    return outlined
+
+
+def _kept_moments(match: str, interval: int):
+    """Per segment, from the last row kept before it: places of the kept moments."""
+
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            owners, times = [], []
+            for owner, moments, entry in zip(frame[match], frame["moments"], frame["entry"], strict=True):
+                us = np.asarray(moments, np.int64)
+                after = np.searchsorted(us, us + interval)
+                i = 0 if pd.isna(entry) else int(np.searchsorted(us, int(entry) + interval))
+                while i < len(us):
+                    owners.append(owner)
+                    times.append(us[i])
+                    i = after[i]
+            yield pd.DataFrame({match: pd.Series(owners, dtype=frame[match].dtype), "us": np.array(times, np.int64)})
+
+    return marked
 
 
 def _entries(match: str, interval: int):
@@ -281,80 +313,61 @@ def throttle(
     sequence: str = "sequence",
     segment_seconds: float | None = None,
 ) -> DataFrame:
-    """Add ``kept``: at least the interval has passed since the last kept row.
-
-    Which row is kept depends on the one kept before, through the whole match.
-    A match is cut into time segments; each segment reports, for every first row
-    that could be kept in it, the last row kept then. Chaining those few entries
-    per match (one small row per segment) tells each segment how it starts, and
-    rows are marked in parallel. ``us`` is event time in microseconds, not
-    decreasing in ``sequence``.
+    """Add ``kept``: at least the interval has passed since the last kept row, in the order of ``sequence``.
+
+    Which row is kept depends on the one kept before, through the whole match. A kept row's time is above all times
+    before it, so rows whose time was reached by an earlier row drop out first, replays among them; of rows with one
+    sequence and one time a single one can be kept. What is left is cut into time segments; each reports, for every
+    first row that could be kept in it, the last row kept then. Chaining those few entries per match (one small row
+    per segment, a match in one task) tells each segment how it starts, and segments are marked in parallel. ``us`` is
+    event time in microseconds and may step back.
     """
     interval = int(round(interval_seconds * 1_000_000))
     width = int(round((segment_seconds or interval_seconds * 1024) * 1_000_000))
     width = max(width, interval)
     types = dict(df.dtypes)
-    # Only the first row at a time can be kept, so equal times collapse early.
     moments = (
         df.select(match, sequence, F.col(us).alias("us"))
         .withColumn("__slot", whole_division(F.col("us"), width))
         .groupBy(match, "__slot", "us")
         .agg(F.min(sequence).alias("first"))
     )
-    # One array per segment: the moments of a bounded stretch of time.
-    segments = moments.groupBy(match, "__slot").agg(
-        F.sort_array(F.collect_list(F.struct("us", "first"))).alias("m")
-    )
-    m = F.col("m")
-    limit = F.get(m, 0)["us"] + interval
-    early = F.filter(m, lambda x: x["us"] < limit)
-    # the walk may also skip all of those and begin at the first moment after them
-    starts = F.transform(F.slice(m, F.lit(1), F.size(early) + 1), lambda x: x["us"])
-    outlined = once(segments.select(match, "__slot", "m"), {"starts": starts}).select(
-        match,
-        "__slot",
-        "starts",
-        F.transform("starts", lambda s: _keep_walk(F.filter(m, lambda x: x["us"] >= s), s, interval)).alias("ends"),
+    # the earliest row of any later time: within the segment, and in the segments after it
+    within = Window.partitionBy(match, "__slot").orderBy(F.col("us").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = Window.partitionBy(match).orderBy(F.col("__slot").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    lowest = moments.groupBy(match, "__slot").agg(F.min("first").alias("lowest"))
+    later = lowest.select(match, "__slot", F.min("lowest").over(beyond).alias("later"))
+    rising = (
+        moments.withColumn("after", F.min("first").over(within))
+        .join(later, [match, "__slot"])
+        .filter(F.coalesce(F.col("first") < F.least("after", "later"), F.lit(True)))
     )
+    segments = rising.groupBy(match, "__slot").agg(F.sort_array(F.collect_list("us")).alias("moments"))
+    shape = f"{match} {types[match]}, __slot long, starts array<long>, ends array<long>"
     entry = (
-        outlined.repartition(match)
+        segments.mapInPandas(_outline(match, interval), shape)
+        .repartition(match)
         .sortWithinPartitions(match, "__slot")
         .mapInPandas(
             _entries(match, interval), f"{match} {types[match]}, __slot long, entry long"
         )
     )
-    none = F.struct(F.lit(None).cast("long").alias("us"), F.lit(None).cast("long").alias("first"))
-    chosen = (
-        segments.join(entry, [match, "__slot"], "left")
-        .select(
-            match,
-            F.explode(
-                F.aggregate(
-                    m,
-                    F.struct(
-                        F.col("entry").alias("kept"),
-                        F.array(none).alias("rows"),
-                    ),
-                    lambda acc, x: F.when(
-                        acc["kept"].isNull() | (x["us"] - acc["kept"] >= interval),
-                        F.struct(
-                            x["us"].alias("kept"),
-                            F.array_append(
-                                acc["rows"],
-                                F.struct(x["us"].alias("us"), x["first"].cast("long").alias("first")),
-                            ).alias("rows"),
-                        ),
-                    ).otherwise(acc),
-                )["rows"]
-            ).alias("k"),
-        )
-        .filter("k.first is not null")
-        .select(match, F.col("k.first").cast(types[sequence]).alias(sequence), F.lit(True).alias("__kept"))
+    times = segments.join(entry, [match, "__slot"], "left").mapInPandas(
+        _kept_moments(match, interval), f"{match} {types[match]}, us long"
     )
+    chosen = times.join(rising.select(match, "us", "first"), [match, "us"]).select(
+        F.col(match).alias("__match"), F.col("us").alias("__us"), F.col("first").alias("__first"), F.lit(True).alias("__kept")
+    )
+    same = Window.partitionBy(match, sequence, us).orderBy(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]))
     return (
-        df.join(chosen, [match, sequence], "left")
+        df.withColumn("__copy", F.row_number().over(same))
+        .join(
+            chosen,
+            (F.col(match) == F.col("__match")) & (F.col(sequence) == F.col("__first")) & (F.col(us) == F.col("__us")) & (F.col("__copy") == 1),
+            "left",
+        )
         .withColumn("kept", F.coalesce(F.col("__kept"), F.lit(False)))
-        .drop("__kept")
+        .drop("__kept", "__match", "__us", "__first", "__copy")
     )
 
 
@@ -372,16 +385,18 @@ def throttle_counters(throttled: DataFrame) -> DataFrame:
 def latency_report(
     df: DataFrame,
     latency: str = "latency_ms",
-    order: str = "sequence",
+    order: str | Sequence[str] = "sequence",
     samples: int = fv.LATENCY_SAMPLES,
     fractions: Sequence[float] = (0.50, 0.95, 0.99),
 ) -> DataFrame:
     """Mean and index percentiles of the most recent scored rows.
 
     The percentile is the sorted value at index min(n-1, int(f*n)). Only the last
-    ``samples`` values (the feature's bound) are gathered.
+    ``samples`` values (the feature's bound) are gathered. ``order`` names one column or several, for example time,
+    match and sequence where sequences count per match.
     """
-    recent = df.select(order, latency).orderBy(F.col(order).desc()).limit(samples)
+    by = [order] if isinstance(order, str) else list(order)
+    recent = df.select(*by, latency).orderBy(*[F.col(c).desc() for c in by]).limit(samples)
     packed = recent.agg(
         F.count(F.lit(1)).alias("count"),
         F.avg(latency).alias("mean_ms"),
@@ -442,17 +457,22 @@ def frame_stream(
 def dashboard_state(frames: DataFrame) -> DataFrame:
     """Fold frames to what a viewer sees: one row per match.
 
-    A round end or match end clears the prediction; a snapshot keeps the last one.
+    A round end or match end clears the prediction; a snapshot that carries one of its own, as ``prediction`` in its
+    payload, sets it, also after a round end, and any other snapshot keeps the last one.
     """
     kind, seq = F.col("type"), F.col("sequence")
+    own = F.when(kind == "tick", F.get_json_object("payload", "$.prediction"))
+    said = F.when(kind == "prediction", F.col("payload")).otherwise(own)
+    # at one sequence the snapshot comes last
+    place = F.when(said.isNotNull(), F.struct(seq, (kind == "tick").alias("later")))
 
     def newest(name: str, value: Column) -> Column:
         return F.max_by(value, F.when(kind == name, seq))
 
     folded = frames.groupBy("match_id").agg(
         newest("tick", F.col("payload")).alias("snapshot"),
-        newest("prediction", F.col("payload")).alias("__prediction"),
-        F.max(F.when(kind == "prediction", seq)).alias("__predicted_at"),
+        F.max_by(said, place).alias("__prediction"),
+        F.max(F.when(said.isNotNull(), seq)).alias("__predicted_at"),
         F.max(F.when(kind.isin("round_end", "match_end"), seq)).alias("__cleared_at"),
         newest("match_end", F.col("payload")).alias("finished"),
         F.count_if(kind == "round_end").alias("rounds_ended"),
