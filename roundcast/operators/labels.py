@@ -136,8 +136,3 @@ def split_for_calibrator(
 def drop_matches(df: DataFrame, ids: DataFrame, match: str = "match_id") -> DataFrame:
     """Remove the state of the given matches."""
     return df.join(ids.select(match), match, "left_anti")
-
-
-def winner_of_round(df: DataFrame, score: Column, before: Column) -> Column:
-    """CT took the round exactly when its score rose."""
-    return F.when(score > before, "CT").otherwise("T")

@@ -47,11 +47,11 @@ DEDUPED_SQL = f"""{TICKS_SQL}, deduped AS (
     SELECT *, row_number() OVER (PARTITION BY match_id, sequence ORDER BY {_TIE_ORDER}) AS rn
     FROM ticks) WHERE rn = 1)"""
 ROUNDS_SQL = f"rounds AS ({projection(b.ROUND, 'orders')})"
-LABELLED_SQL = f"""{DEDUPED_SQL}, {ROUNDS_SQL}, labelled AS (
-  SELECT t.*, r.winner AS round_winner, r.reason AS round_reason,
-         CAST(r.winner = 'CT' AS INT) AS ct_won
-  FROM deduped t JOIN rounds r USING (match_id, round_number)
-  WHERE t.phase <> 'freezetime')"""
+LABELLED_SQL = f"""{DEDUPED_SQL}, {ROUNDS_SQL}, ended AS (
+  SELECT match_id AS m, round_number AS n, any_value({{'w': winner, 'r': reason}}) AS ending FROM rounds GROUP BY ALL),
+labelled AS (
+  SELECT deduped.*, ending.w AS round_winner, ending.r AS round_reason, if(ending.w = 'CT', 1, 0) AS ct_won
+  FROM ended, deduped WHERE m = match_id AND n = round_number AND phase NOT IN ('freezetime'))"""
 EVENTS_SQL = f"ev AS ({projection(EVENT, 'events')})"
 
 
@@ -1608,9 +1608,6 @@ def parquet_export(spark, sf_dir):
 
 
 # --- models (no SQL twin) --------------------------------------------------------------------------
-_QUICK = {"num_rounds": 5, "params": {"maxDepth": 3}}
-
-
 def _leaning(spark, sf_dir):
     """Labelled ticks whose label follows the manpower, so there is something to learn."""
     rows = lb.dedupe(b.ticks(spark, sf_dir)).filter(F.col("phase") != "freezetime")
@@ -1635,15 +1632,15 @@ def isotonic_fit(spark, sf_dir):
 def gbt_train(spark, sf_dir):
     from roundcast.plans.model import train_model
 
-    model = train_model(_leaning(spark, sf_dir), **_QUICK)
+    model = train_model(_leaning(spark, sf_dir))
     found = model.metadata
-    shares = list(found["feature_importance"].items())
+    shares = list(found["model"]["importance"].items())
     out = spark.createDataFrame(shares, "feature string, importance double")
     return out.withColumns(
         {
-            "best_iteration": F.lit(found["best_iteration"]),
-            "skill_score": F.lit(found["metrics"]["skill_score"]),
-            "train_rows": F.lit(found["dataset"]["train_rows"]),
+            "trees": F.lit(found["model"]["trees"]),
+            "skill_score": F.lit(found["held_out"]["skill_score"]),
+            "train_rows": F.lit(found["data"]["train"]["rows"]),
         }
     )
 
@@ -1652,7 +1649,7 @@ def gbt_train(spark, sf_dir):
 def gbt_score(spark, sf_dir):
     from roundcast.plans.model import load_model, predict, stored, train_model
 
-    model = load_model(spark, stored(train_model(_leaning(spark, sf_dir), **_QUICK)))
+    model = load_model(spark, stored(train_model(_leaning(spark, sf_dir))))
     return predict(b.ticks(spark, sf_dir), model)
 
 
@@ -1661,7 +1658,7 @@ def validate_pipeline(spark, sf_dir):
     from roundcast.plans.model import train_model, validate
 
     frame = _leaning(spark, sf_dir)
-    reports = validate(frame, train_model(frame, **_QUICK))
+    reports = validate(frame, train_model(frame))
     bench = reports["benchmark"].select(
         F.lit("situation").alias("part"), "name", F.col("skill_score").alias("score")
     )
