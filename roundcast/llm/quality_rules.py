@@ -24,8 +24,7 @@ class Bound(NamedTuple):
 THRESHOLDS = (
     Bound("mean_word_chars", 2.0, 14.0),
     Bound("symbols_per_word", None, 0.1),
-    Bound("capital_letters", None, 0.6),
-    Bound("alphabetic_words", 0.6, None),
+    Bound("shouts_per_word", None, 0.3),
     Bound("dup_lines", None, 0.5),
     Bound("stop_words", 0.02, None),
 )
@@ -38,12 +37,15 @@ STOP_WORDS = (
 )
 LEAST_WORDS = 50
 _SPACE = "[\\x20\\x09-\\x0D]+"
-_SPACES = " \t\n\x0b\f\r"
-_SYMBOLS = "#*$%&|<>"
+_VISIBLE = "[^\\x20\\x09-\\x0D]"
+_SYMBOLS = "[#*$%&|<>]"
+#: One run for each word in capitals.
+_SHOUTS = "\\p{Lu}{2,}"
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def stop_words() -> list[str]:
+    words = {w for line in STOP_WORDS for w in line.split()}
+    return sorted(words | {w.capitalize() for w in words})
 
 
 def measured(docs: DataFrame, doc_id: str, text_col: str) -> DataFrame:
@@ -55,7 +57,7 @@ def measured(docs: DataFrame, doc_id: str, text_col: str) -> DataFrame:
     n = F.size("words")
     windows = F.when(
         n >= 3,
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 F.sequence(F.lit(1), n - 2),
                 lambda i: F.struct(
@@ -81,21 +83,18 @@ def measured(docs: DataFrame, doc_id: str, text_col: str) -> DataFrame:
         lambda a, at: F.struct((a["n"] + F.least(F.lit(3), at - a["last"])).alias("n"), at.alias("last")),
         lambda a: a["n"],
     )
-    lines = F.filter(F.split("text", "\n"), lambda x: _without(x, _SPACES) != "")
-    stops = F.array(*[F.lit(w) for w in sorted({w for line in STOP_WORDS for w in line.split()})])
-    letters = F.regexp_replace("text", r"[^\p{L}]+", "")
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(_VISIBLE))
+    stops = stop_words()
     counted = placed.withColumn("lines", lines).select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        F.length(_without(F.col("text"), _SPACES)).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(_without(F.col("text"), _SYMBOLS))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(_SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         F.size("lines").alias("n_lines"),
-        F.length(letters).alias("n_letters"),
-        F.length(F.regexp_replace("text", r"[^\p{Lu}]+", "")).alias("n_capitals"),
-        F.size(F.filter("words", lambda w: w.rlike(r"\p{L}"))).alias("n_alphabetic"),
-        F.size(F.filter("words", lambda w: F.array_contains(stops, F.lower(F.rtrim(w, F.lit(".,;:!?")))))).alias("n_stops"),
+        F.regexp_count("text", F.lit(_SHOUTS)).alias("n_shouts"),
+        F.size(F.filter("words", lambda w: w.isin(stops))).alias("n_stops"),
     )
     return counted
 
@@ -107,8 +106,7 @@ def _ratios() -> dict[str, Column]:
     return {
         "mean_word_chars": per("word_chars", "n_words"),
         "symbols_per_word": per("n_symbols", "n_words"),
-        "capital_letters": per("n_capitals", "n_letters"),
-        "alphabetic_words": per("n_alphabetic", "n_words"),
+        "shouts_per_word": per("n_shouts", "n_words"),
         "dup_lines": per("n_dup_lines", "n_lines"),
         "stop_words": per("n_stops", "n_words"),
     }
@@ -171,13 +169,12 @@ cov as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(i,
 c as (select w.doc_id, len(w) n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) word_chars,
     length(t) - length(translate(t, '#*$%&|<>', '')) n_symbols, len(ls) - len(list_distinct(ls)) n_dup_lines,
     coalesce(n, 0) n_repeat_words, len(ls) n_lines,
-    length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) n_letters, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) n_capitals,
-    len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) n_alphabetic,
-    len(list_filter(w, lambda x: list_contains({_sql_list(sorted({w for line in STOP_WORDS for w in line.split()}))}, lower(rtrim(x, '.,;:!?'))))) n_stops
+    len(regexp_extract_all(t, '\p{{Lu}}{{2,}}')) n_shouts,
+    len(list_filter(w, lambda x: list_contains({_sql_list(stop_words())}, x))) n_stops
     from w left join cov on cov.doc_id = w.doc_id),
 r as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
     coalesce(word_chars / nullif(n_words, 0), 0) mean_word_chars, coalesce(n_symbols / nullif(n_words, 0), 0) symbols_per_word,
-    coalesce(n_capitals / nullif(n_letters, 0), 0) capital_letters, coalesce(n_alphabetic / nullif(n_words, 0), 0) alphabetic_words,
+    coalesce(n_shouts / nullif(n_words, 0), 0) shouts_per_word,
     coalesce(n_dup_lines / nullif(n_lines, 0), 0) dup_lines, coalesce(n_stops / nullif(n_words, 0), 0) stop_words from c)
 select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_chars, cast(n_symbols as bigint) n_symbols,
     cast(n_dup_lines as bigint) n_dup_lines, cast(n_repeat_words as bigint) n_repeat_words, base_failed,
