@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as contract
@@ -28,7 +29,7 @@ def duck():
 
 def plain(frame):
     def text(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "null"
         return f"{v:.9g}" if isinstance(v, float) else str(v)
 
