@@ -1424,6 +1424,94 @@ def snapshot_round_trip(spark, sf_dir):
     )
 
 
+#: What is broken in a snapshot, by its match and sequence modulo 16, and the rules that say so.
+_BREAKS = {
+    1: "match_id_length,state_match_id",
+    2: "sequence_range",
+    3: "state_match_id",
+    4: "position_bounds",
+    5: "player_ranges",
+    6: "dead_hold_nothing",
+    7: "helmet_needs_armour",
+    8: "kit_only_ct",
+    9: "bomb_timer",
+    10: "planted_phase",
+    11: "economy_side",
+    12: "player_ids",
+    13: "vocabulary",
+    14: "name_length",
+    15: "field_type",
+}
+
+
+@query(
+    f"SELECT {TICK['match_id']} AS of_match, {TICK['sequence']} AS of_sequence, "
+    "CASE (l_orderkey + l_linenumber) % 16 "
+    + " ".join(f"WHEN {k} THEN '{names}'" for k, names in _BREAKS.items())
+    + " ELSE '' END AS violations FROM lineitem"
+)
+def validate_snapshots(spark, sf_dir):
+    """Each rule of a snapshot broken alone in one snapshot of sixteen."""
+    from roundcast.sources.events import encode
+    from roundcast.sources.rules import checked
+
+    number = F.expr("CAST(substr(match_id, 2) AS BIGINT)")
+    kind = F.pmod(number + F.col("sequence"), F.lit(16))
+
+    def broken(n: int, value: F.Column, otherwise: F.Column) -> F.Column:
+        return F.when(kind == n, value).otherwise(otherwise)
+
+    state = F.col("state").withField("timestamp", F.col("state.timestamp").cast("timestamp"))
+    state = state.withField(
+        "round_state.bomb_position", F.lit(None).cast("struct<x:double,y:double,z:double>")
+    )
+    players = F.col("state.players")
+    first = F.get(players, 0).withField("health", F.lit(100)).withField("armour", F.lit(0))
+    first = first.withField("has_helmet", F.lit(False)).withField("has_defuse_kit", F.lit(False))
+    changes = {
+        4: first.withField("position.x", F.lit(1e9)),
+        5: first.withField("health", F.lit(101)),
+        6: first.withField("health", F.lit(0)).withField("armour", F.lit(50)),
+        7: first.withField("has_helmet", F.lit(True)),
+        8: first.withField("team", F.lit("T")).withField("has_defuse_kit", F.lit(True)),
+        13: first.withField("primary_weapon", F.lit("railgun")),
+        14: first.withField("name", F.lit("")),
+    }
+    head = F.get(players, 0)
+    for n, value in changes.items():
+        head = broken(n, value, head)
+    rest = F.slice(players, 2, 64)
+    listed = broken(12, F.array(first, first), F.concat(F.array(head), rest))
+    on, planted = F.col("state.round_state"), F.lit(True)
+    state = (
+        state.withField("players", listed)
+        .withField("match_id", broken(3, F.lit("another"), F.col("state.match_id")))
+        .withField("economy_ct.team", broken(11, F.lit("T"), F.col("state.economy_ct.team")))
+        .withField("round_state.phase", broken(9, F.lit("live"), broken(10, F.lit("bomb_planted"), on["phase"])))
+        .withField("round_state.bomb_planted", broken(9, planted, broken(10, F.lit(False), on["bomb_planted"])))
+        .withField(
+            "round_state.bomb_seconds_remaining",
+            F.when(~kind.isin(9, 10), on["bomb_seconds_remaining"]),
+        )
+    )
+    ticks = b.snapshots(spark, sf_dir).select(
+        F.col("match_id").alias("of_match"),
+        F.col("sequence").alias("of_sequence"),
+        broken(1, F.lit(""), F.col("match_id")).alias("match_id"),
+        broken(2, F.lit(-1).cast("long"), F.col("sequence").cast("long")).alias("sequence"),
+        F.col("timestamp").cast("timestamp").alias("timestamp"),
+        F.lit("tick").alias("event_type"),
+        state.alias("state"),
+        kind.alias("kind"),
+    )
+    sent = encode(ticks).withColumn(
+        "value", F.when(F.col("kind") == 15, F.concat("value", F.lit(" {}"))).otherwise(F.col("value"))
+    )
+    return checked(sent.select("of_match", "of_sequence", "value")).select(
+        "of_match", "of_sequence", F.array_join("violations", ",").alias("violations")
+    )
+
+
 # --- streaming twins -----------------------------------------------------------------------------
 def _cores(spark) -> int:
     return spark.sparkContext.defaultParallelism
@@ -1477,15 +1565,15 @@ def stream_history(spark, sf_dir):
     return last_rows(current, ["match_id"], [F.col("round_number")], fv.RETAINED_ROUNDS)
 
 
-@query(
-    f"""WITH {_MOMENTUM_SQL}, sc AS (SELECT match_id, sequence,
+_SCORED_SQL = f"""WITH {_MOMENTUM_SQL}, sc AS (SELECT match_id, sequence,
       CASE WHEN window_seconds > 0 THEN (kills_ct + kills_t) / window_seconds ELSE 0 END AS pace,
       greatest(-1, least(1, (kills_ct - kills_t) / 5)) AS delta, headshots FROM momentum)
     SELECT match_id, sequence, round(0.5 + delta * 0.25 + pace, 6) AS ct_win_probability,
       CASE WHEN abs(delta * 0.25 + pace) < 0.01 THEN 'even' WHEN delta * 0.25 + pace > 0 THEN 'CT' ELSE 'T' END
       AS favoured_side FROM sc"""
-)
-def stream_scoring(spark, sf_dir):
+
+
+def _scored_stream(spark, sf_dir):
     from roundcast.streaming import jobs
     from roundcast.streaming.processor import stream_momentum as run
 
@@ -1512,14 +1600,33 @@ def stream_scoring(spark, sf_dir):
         p = 0.5 + F.col("kill_delta_window") * 0.25 + F.col("engagement_pace")
         return features.withColumn("ct_win_probability", p)
 
-    predictions = jobs.score_ticks(ticks, score)
+    return jobs.score_ticks(ticks, score)
+
+
+@query(_SCORED_SQL)
+def stream_scoring(spark, sf_dir):
+    from roundcast.streaming import jobs
+
     path, log = jobs.scratch_pair(spark, "scoring")
-    jobs.run_to_end(predictions, path, log, state_partitions=_cores(spark))
+    jobs.run_to_end(_scored_stream(spark, sf_dir), path, log, state_partitions=_cores(spark))
     return spark.read.parquet(path).select(
         "match_id", "sequence", "ct_win_probability", "favoured_side"
     )
 
 
+@query(f"SELECT * FROM ({_SCORED_SQL}) QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY sequence DESC) = 1")
+def stream_predictions(spark, sf_dir):
+    """The latest prediction of every match: scored in the stream, kept by its last arrival."""
+    from roundcast.streaming import jobs
+
+    path, log = jobs.scratch_pair(spark, "predictions")
+    write = jobs.write_latest(
+        path, ["match_id"], ["sequence"], ["sequence", "ct_win_probability", "favoured_side"]
+    )
+    jobs.run_batches(_scored_stream(spark, sf_dir), write, log, "append", state_partitions=_cores(spark))
+    return jobs.read_updates(spark, path, ["match_id"])
+
+
 @query(ORACLE["quarantine"])
 def stream_quarantine(spark, sf_dir):
     from roundcast.session import use_utc
