@@ -263,7 +263,8 @@ def tree_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Re
 def links(prints: DataFrame, radius: int, tree_nodes: int = TREE_NODES) -> DataFrame:
     """Links between different fingerprints, a and b, from ``print`` and ``keys``."""
     keyed = prints.select("print", F.explode("keys").alias("key")).distinct()
-    crowds = keyed.groupBy("key").count().where("count > 1")
+    # written, so that the join sees a plain table and can split a shard that holds many prints
+    crowds = stored(keyed.groupBy("key").count().where("count > 1"), "shards")
     n = F.when(F.col("count") <= tree_nodes, F.lit(1)).otherwise(F.ceil(2 * F.col("count") / tree_nodes)).cast("int")
     dealt = keyed.join(crowds, "key").select("print", "key", n.alias("n"), F.pmod(F.hash("print"), n).alias("block"))
     # every two blocks of a crowded shard share a tree
