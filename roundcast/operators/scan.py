@@ -98,6 +98,14 @@ def running(
     )
 
 
+def _magnitude(v: Column) -> Column:
+    """Rises with v as its logarithm does, on both sides of zero; finite for every double."""
+    v = v.cast("double")
+    size = F.when(F.isnan(v), 2300.0).when(F.abs(v) == float("inf"), 2200.0).when(v == 0, 0.0)
+    # the smallest double is 2^-1074
+    return F.when(v < 0, -1.0).otherwise(1.0) * size.otherwise(F.log2(F.abs(v)) + 1100.0)
+
+
 def spread_segments(
     df: DataFrame,
     keys: Sequence[str],
@@ -108,19 +116,21 @@ def spread_segments(
     rows_per_segment: int = SEGMENT_ROWS,
     name: str = "__spread",
 ) -> DataFrame:
-    """Add a segment id that rises with ``value`` and never gets crowded.
+    """Add a segment id that rises with ``value`` and holds few times the wanted rows.
 
-    Equal slots of [low, high] come first; a slot with more rows than wanted is
-    cut again between its own smallest and largest value. Rows are expected to be
-    distinct per key and value, as after counting.
+    Slots are equal steps of the values' magnitude between ``low`` and ``high``, so that values which span many powers of
+    ten spread as well as even ones, and infinite ones have a place. A slot with more rows than wanted is
+    cut again between its own smallest and largest value: within a slot of k octaves, even values crowd to k / 2 times
+    the mean at most. Rows are expected to be distinct per key and value, as after counting.
     """
-    v, wide = F.col(value), high - low
+    df = df.withColumn("__size", _magnitude(F.col(value)))
+    v, wide, low = F.col("__size"), _magnitude(high) - _magnitude(low), _magnitude(low)
     raw = F.when(wide > 0, F.floor((v - low) / wide * slots)).otherwise(F.lit(0))
     slot = F.greatest(F.lit(0), F.least(F.lit(slots - 1), raw)).cast("long")
     slotted = df.withColumn("__slot", slot)
     sizes = slotted.groupBy(*keys, "__slot").agg(
-        F.min(value).alias("__from"),
-        F.max(value).alias("__to"),
+        F.min("__size").alias("__from"),
+        F.max("__size").alias("__to"),
         F.ceil(F.count(F.lit(1)) / rows_per_segment).cast("long").alias("__parts"),
     )
     reach = F.col("__to") - F.col("__from")
@@ -132,7 +142,7 @@ def spread_segments(
     ).otherwise(F.lit(0))
     joined = slotted.join(sizes, [*keys, "__slot"])
     wide_id = F.col("__slot") * F.lit(1 << 31) + part.cast("long")
-    return joined.withColumn(name, wide_id).drop("__slot", "__from", "__to", "__parts")
+    return joined.withColumn(name, wide_id).drop("__slot", "__size", "__from", "__to", "__parts")
 
 
 def trailing_range(

@@ -108,3 +108,21 @@ def test_last_rows_prunes_before_the_shuffle(spark):
     got = last_rows(df, ["k"], [F.col("id")], 4)
     assert sorted(r["id"] for r in rows(got)) == list(range(988, 1000))
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_value_segments_stay_small(spark):
+    rng = random.Random(2)
+    shapes = {
+        "powers": [10.0 ** (-9 * rng.random()) for _ in range(20_000)],
+        "even": [rng.random() for _ in range(20_000)],
+        "infinite": [*(rng.uniform(-5, 5) for _ in range(20_000)), float("inf"), float("-inf"), 0.0],
+        "shifted": [1e9 + k / 50 for k in range(20_000)],
+    }
+    for name, values in shapes.items():
+        df = spark.createDataFrame([("k", v) for v in set(values)], "k string, v double")
+        low, high = F.lit(min(values)), F.lit(max(values))
+        placed = spread_segments(df, ["k"], "v", low, high, 64, 500)
+        found = rows(placed.groupBy("__spread").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")))
+        assert max(r["n"] for r in found) <= 5 * 500, name
+        ordered = sorted(found, key=lambda r: r["__spread"])
+        assert all(x["b"] < y["a"] for x, y in zip(ordered, ordered[1:], strict=False)), name
