@@ -10,7 +10,7 @@ copies make up maximal repeated runs. A single line of ``min_words`` words is a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roundcast.llm.common import stored, table
@@ -69,6 +69,26 @@ def later_copies(runs: DataFrame) -> DataFrame:
     return runs.join(stored(heads.drop("n"), "heads"), ["name", "lines"]).where(place > F.col("head"))
 
 
+def repeated_runs(
+    docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS
+) -> DataFrame:
+    """Maximal later copies of line runs: ``doc_id``, ``first`` and ``lines``, with the original's ``of_doc`` and ``of_first``.
+
+    Places count the lines that aren't blank. Windows whose originals advance in step make up one run; where the
+    original changes, another begins. A null text has no runs.
+    """
+    copies = later_copies(named_runs(docs, doc_id, text_col, min_lines, min_words)).select(
+        "doc_id", "check", "at", (F.col("at") + F.col("lines")).alias("end"), F.col("head.doc_id").alias("of_doc"), F.col("head.at").alias("of_at")
+    )
+    step = Window.partitionBy("doc_id", "check", "of_doc", F.col("at") - F.col("of_at")).orderBy("at", "end")
+    before = F.max("end").over(step.rowsBetween(Window.unboundedPreceding, -1))
+    cut = copies.withColumn("new", F.coalesce(F.col("at") > before, F.lit(True)).cast("int"))
+    numbered = cut.withColumn("run", F.sum("new").over(step.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = numbered.groupBy("doc_id", "check", "of_doc", (F.col("at") - F.col("of_at")).alias("by"), "run")
+    runs = grouped.agg(F.min("at").alias("first"), F.max("end").alias("end"), F.min("of_at").alias("of_first"))
+    return runs.select("doc_id", "first", (F.col("end") - F.col("first")).alias("lines"), "of_doc", "of_first")
+
+
 def dedup_lines(
     docs: DataFrame,
     doc_id: str = "doc_id",

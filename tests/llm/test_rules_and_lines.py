@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roundcast.llm.decontaminate import decontaminate, find_hits, normalised
 from roundcast.llm.line_crf import MEASURES, chains, fit, line_measures, marginals, score_documents
-from roundcast.llm.line_runs import dedup_lines
+from roundcast.llm.line_runs import dedup_lines, repeated_runs
 from roundcast.llm.quality_rules import quality_rules
 from roundcast.llm.warc import read_archive, write_archive
 
@@ -63,6 +63,8 @@ def test_clean_texts_have_no_hits(spark, docs):
     table = spark.createDataFrame([("a", prose(random.Random(9), 40)), ("b", rows[5][1])], "item_id string, text string")
     clean = decontaminate(df, table, max_coverage=1.0).drop("n_hit")
     assert clean.count() == len(rows)
+    in_shards = decontaminate(df, table, max_coverage=1.0, shard_words=60).drop("n_hit")
+    assert plain(in_shards, "doc_id", "text") == plain(clean, "doc_id", "text")
     assert find_hits(clean, table).where(F.size("spans") > 0).where("n_words > 40").count() == 0
     assert decontaminate(df, table.limit(0)).count() == len(rows)
     assert decontaminate(df.limit(0), table).count() == 0
@@ -103,6 +105,14 @@ def test_lines_as_brute_force(spark, docs, min_lines):
     assert got == lines_brute(rows, min_lines)
 
 
+def test_maximal_runs(spark):
+    texts = {1: "a\nb\nc\nd\ne", 2: "x\na\nb\n\nc\nd\ny\nd\ne", 3: "b\nc\nq\nx\na\nb\nc\nz", 4: None}
+    got = plain(repeated_runs(frame(spark, list(texts.items()))), "doc_id", "first", "lines", "of_doc", "of_first")
+    assert got == sorted(
+        [(2, 1, 4, 1, 0), (2, 6, 2, 1, 3), (3, 0, 2, 1, 1), (3, 3, 2, 2, 0), (3, 4, 3, 1, 0)], key=repr
+    )
+
+
 def test_line_dedup_carries_columns(docs, no_docs):
     done = dedup_lines(docs[1], carry=("n_words", "text"))
     assert done.columns == ["doc_id", "n_lines", "n_removed", "text", "c0", "c1"]
