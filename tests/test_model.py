@@ -111,6 +111,8 @@ def test_model_survives_storage(spark, frame, trained, tmp_path):
     md.save_model(trained, path)
     back = md.load_model(spark, path)
     assert back.metadata["model"] == trained.metadata["model"]
+    assert rows(back.support) == rows(trained.support)
+    assert back.reference.columns == list(fv.FEATURES) and 0 < back.reference.count() <= frame.count()
     a = rows(md.predict(frame.limit(20), back), "match_id", "sequence")
     assert a == rows(md.predict(frame.limit(20), trained), "match_id", "sequence")
     with pytest.raises(FileNotFoundError):
