@@ -20,24 +20,28 @@ from roundcast.llm.simhash import without_near_duplicates
 ORACLE_SQL = None
 
 
-def _restored(df: DataFrame, like: DataFrame) -> DataFrame:
-    """The columns of ``like``: its own values, carried as c0, c1 ..., with the text in ``df``."""
-    own = {"text": F.col("text")}
-    if "n_chars" in like.columns:
-        own["n_chars"] = F.length("text").cast(like.schema["n_chars"].dataType)
-    return df.select(*[own.get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(like.columns)])
+def _others(docs: DataFrame) -> tuple[str, ...]:
+    return tuple(c for c in docs.columns if c != "text")
+
+
+def _restored(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``: its own values, carried as c0, c1 ..., with the text in ``df``."""
+    own = {c: F.col(f"c{i}") for i, c in enumerate(_others(docs))} | {"text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return df.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose lines score at least the threshold; texts without lines have the share of good labels."""
-    scored = score_documents(docs, table(spark, sf_dir, "labels"), carry=tuple(docs.columns))
-    kept = scored.where(F.col("score") >= THRESHOLD)
-    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    scored = score_documents(docs, table(spark, sf_dir, "labels"), carry=_others(docs), keep_text=True)
+    own = {c: F.col(f"c{i}") for i, c in enumerate(_others(docs))} | {"text": F.col("text")}
+    return scored.where(F.col("score") >= THRESHOLD).select(*[own[c].alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of line runs; a document that consisted of nothing else goes."""
-    done = dedup_lines(docs, carry=tuple(docs.columns))
+    done = dedup_lines(docs, carry=_others(docs))
     return _restored(done.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))), docs)
 
 
@@ -48,7 +52,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of the benchmark; a document that is mostly benchmark goes."""
-    return _restored(decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=tuple(docs.columns)), docs)
+    return _restored(decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=_others(docs)), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -198,6 +198,11 @@ def cut_bytes(text: str, spans: list[dict]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
+def cleaned(texts: pa.Array, spans: list[list[dict]]) -> pa.Array:
+    """Texts without their spans; a null stays null."""
+    return pa.array([cut_bytes(t, s) if s else t for t, s in zip(texts.to_pylist(), spans, strict=True)], pa.string())
+
+
 def _shards(items: DataFrame, item_id: str, text_col: str, shard_words: int) -> list[DataFrame]:
     """Items in shards of about ``shard_words`` words; every size is known before anything is collected."""
     slim = items.select(
@@ -224,12 +229,13 @@ def find_hits(
     shard_words: int = SHARD_WORDS,
     keep_text: bool = False,
     carry: tuple[str, ...] = (),
+    cut: bool = False,
 ) -> DataFrame:
     """Word windows of the items in every document.
 
     Returns a row for each row of ``docs``: the id, ``n_words``, ``spans`` (maximal hit runs: first and last word,
     first byte and end byte), ``items`` (ids as strings, sorted; those with a window in the document), and the text
-    if ``keep_text``. An item of fewer words than a window is one window; an item without words is none. A null text
+    if ``keep_text``, without the spans if ``cut``. An item of fewer words than a window is one window; an item without words is none. A null text
     has no words, an item without an id is left out, repeated rows are judged alike. The columns named in ``carry``
     come along as c0, c1 ...; others, whatever their names, are not read. No items: no hits.
     """
@@ -255,7 +261,7 @@ def find_hits(
                     found.append(i)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch[c] for c in names),
+                        *(cleaned(batch["text"], spans) if cut and c == "text" else batch[c] for c in names),
                         pa.array(counts, pa.int64()),
                         pa.array(spans, pa.list_(pa.struct([(f, pa.int64()) for f in ("first", "last", "start", "end")]))),
                         pa.array(found, pa.list_(pa.string())),
@@ -268,7 +274,7 @@ def find_hits(
     shards = _shards(items, item_id, item_text, shard_words)
     if len(shards) == 1:
         return one_pass(shards[0])
-    keep_text = True
+    keep_text, later, cut = True, cut, False
     found = None
     for shard in shards:
         own = stored(
@@ -291,7 +297,17 @@ def find_hits(
                           'end', greatest(element_at(a, -1).end, s.end)))),
                         concat(a, array(s))))"""
     )
-    return out.select(*[f"d.{c}" for c in shown], "d.n_words", merged.alias("spans"), F.expr("coalesce(h.items, cast(array() as array<string>))").alias("items"))
+    hits = out.select(*[f"d.{c}" for c in shown], "d.n_words", merged.alias("spans"), F.expr("coalesce(h.items, cast(array() as array<string>))").alias("items"))
+    if not later:
+        return hits
+    named = hits.columns
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [cleaned(batch["text"], batch["spans"].to_pylist()) if c == "text" else batch[c] for c in named]
+            yield pa.RecordBatch.from_arrays(columns, names=named)
+
+    return hits.mapInArrow(clean, hits.schema)
 
 
 def decontaminate(
@@ -307,20 +323,8 @@ def decontaminate(
     than ``max_coverage`` are hit goes as a whole. Returns for the documents that stay the id, ``text``, ``n_hit`` and
     the columns of ``carry`` as c0, c1 ..."""
     along = [f"c{i}" for i in range(len(carry))]
-    hits = find_hits(docs, items, doc_id, text_col, keep_text=True, carry=carry, **options).withColumn("n_hit", hit_words())
-    kept = hits.where(F.col("n_hit") <= F.lit(max_coverage) * F.col("n_words")).select("doc_id", *along, "text", "n_hit", "spans")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch["spans"].to_pylist()
-            clean = [cut_bytes(t, s) if s else t for t, s in zip(batch["text"].to_pylist(), spans, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], *(batch[c] for c in along), pa.array(clean, pa.string()), batch["n_hit"]],
-                names=["doc_id", *along, "text", "n_hit"],
-            )
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name != "spans")
-    return kept.mapInArrow(run, kinds)
+    hits = find_hits(docs, items, doc_id, text_col, keep_text=True, carry=carry, cut=True, **options).withColumn("n_hit", hit_words())
+    return hits.where(F.col("n_hit") <= F.lit(max_coverage) * F.col("n_words")).select("doc_id", *along, "text", "n_hit")
 
 
 def hit_words():

@@ -257,10 +257,11 @@ def score_documents(
     label: str = "quality",
     max_documents: int = MAX_DOCUMENTS,
     carry: tuple[str, ...] = (),
+    keep_text: bool = False,
 ) -> DataFrame:
     """Score of each row of ``docs``: 0 to 1, higher for a likelier label 1.
 
-    Returns ``doc_id``, ``score`` and the columns of ``docs`` named in ``carry`` as c0, c1 ... Labels of ids whose crc32
+    Returns ``doc_id``, ``score``, the text if ``keep_text``, and the columns of ``docs`` named in ``carry`` as c0, c1 ... Labels of ids whose crc32
     modulo 5 is 0 aren't used; null ids and labels neither, and several labels of an id count as their majority. Only
     texts are scored: equal texts score alike. A null, empty or blank text has the share of label 1 as its score,
     0.5 if there are no labels. Repeated rows and null ids give a row each; no rows give no rows.
@@ -268,7 +269,7 @@ def score_documents(
     field = train(docs, labels, doc_id, text_col, label, max_documents)
     along = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *along)
-    names = [c for c in slim.columns if c != "text"]
+    names = [c for c in slim.columns if keep_text or c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,7 +278,7 @@ def score_documents(
                 [*(batch[c] for c in names), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*names, "score"]
             )
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "text")
+    kinds = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in names)
     return slim.mapInArrow(run, f"{kinds}, score double")
 
 

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from roundcast.llm.common import table
 
-CACHED = 400_000
+#: Entries of a worker's cache, some 30 MB; workers live on after a task.
+CACHED = 250_000
 LEAF = 64
 
 
