@@ -6,7 +6,8 @@ meet by the anchor's hash. Consecutive windows mostly share an anchor, and an oc
 surrounding is the stretch that those windows cover. Anchors that occur once go at once. An anchor whose occurrences
 all have one surrounding needs no look at the text; the others' different surroundings, each once, are fetched and
 handed to a ``matcher``. An anchor with more than ``crowd`` different surroundings, which a task shouldn't hold
-together, has its windows grouped by a 128-bit digest of their own.
+together, has its windows grouped by a 128-bit digest of their own. A text is looked at as a whole, in arrays of
+about a hundred bytes for each of its units.
 """
 
 from __future__ import annotations
@@ -220,7 +221,7 @@ def _crowded(texts: DataFrame, how: Repeats) -> DataFrame:
     keys = ["anchor", "one", "two"]
     again = windows.groupBy(*keys).agg(F.min("first").alias("top"), F.sum("n").alias("all")).where("all > 1")
     met = windows.join(again, keys).select("anchor", "around", F.struct("low", F.col("low").alias("high"), F.col("top").alias("first")).alias("run"))
-    return met.groupBy("anchor", "around").agg(F.array_sort(F.collect_list("run")).alias("runs"))
+    return met.groupBy("anchor", "around").agg(F.sort_array(F.collect_list("run")).alias("runs"))
 
 
 def repeated_spans(docs: DataFrame, how: Repeats, doc_id: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -233,13 +234,15 @@ def repeated_spans(docs: DataFrame, how: Repeats, doc_id: str = "doc_id", text_c
         again = own.where("top <> end or (named > 0 and named < n)").select("anchor")
     else:
         again = seen.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written, so that joins see plain tables on both sides and can split an anchor that holds many rows
+    again = stored(again, "again")
     found = stored(_occurrences(keyed, how, False).join(again, "anchor"), "anchors")
 
     around = found.groupBy("anchor", "around").agg(
         F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min("windows").alias("windows"), F.min(F.struct("doc_id", "check", "start", "end")).alias("sample")
     )
     around = stored(around, "surroundings")
-    crowds = around.groupBy("anchor").agg(F.count("*").alias("crowd"))
+    crowds = stored(around.groupBy("anchor").agg(F.count("*").alias("crowd")), "crowds")
     judged = around.join(crowds, "anchor")
     alone = judged.where("crowd = 1").select(
         "anchor", "around", F.array(F.struct(F.lit(0).alias("low"), (F.col("windows") - 1).alias("high"), "first")).alias("runs")
@@ -253,7 +256,7 @@ def repeated_spans(docs: DataFrame, how: Repeats, doc_id: str = "doc_id", text_c
     if how.across:
         hits = hits.where("run.first < doc_id or (doc_id is null and run.first is not null)")
     span = F.struct((F.col("at") + F.col("run.low")).alias("first"), (F.col("at") + F.col("run.high") + how.length).alias("end"))
-    return keyed, hits.groupBy("doc_id", "check").agg(F.array_sort(F.collect_set(span)).alias("spans"))
+    return keyed, hits.groupBy("doc_id", "check").agg(F.sort_array(F.collect_set(span)).alias("spans"))
 
 
 def with_spans(keyed: DataFrame, spans: DataFrame) -> DataFrame:
