@@ -165,7 +165,7 @@ class BKForest:
         return np.bitwise_count(self.prints[a] ^ self.prints[b]).sum(axis=1, dtype=np.int64)
 
     def links(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Links that connect whatever nodes of a shard are connected within the radius."""
+        """Links that connect whatever nodes of a shard are connected within the radius: fewer than there are nodes."""
         n = len(self.prints)
         close = np.flatnonzero((self.parent >= 0) & (self.edge <= radius))
         found = [(close, self.parent[close])]
@@ -196,10 +196,10 @@ class BKForest:
                 d = self.distance(q, node)
                 hit = (d <= radius) & (label[q] != label[node])
                 if hit.any():
-                    pair = np.sort(np.stack((label[q[hit]], label[node[hit]]), axis=1), axis=1)
-                    _, first = np.unique(pair, axis=0, return_index=True)
-                    a.append(q[hit][first])
-                    b.append(node[hit][first])
+                    x, y = q[hit], node[hit]
+                    some = _forest(label[x], label[y], n)
+                    a.append(x[some])
+                    b.append(y[some])
                 lo = np.searchsorted(self.key, node * 1024 + np.maximum(d - radius, 0))
                 hi = np.searchsorted(self.key, node * 1024 + d + radius, "right")
                 width = hi - lo
@@ -208,11 +208,30 @@ class BKForest:
                     waiting.append((np.repeat(q, width), self.child[to]))
             if a:
                 a, b = np.concatenate(a), np.concatenate(b)
+                some = _forest(label[a], label[b], n)
+                a, b = a[some], b[some]
                 found.append((a, b))
                 label = _labels(label, a, b)
         return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Those of the edges a-b that make up a spanning forest: each round every component takes its first edge out."""
+    to, left, out = np.arange(n), np.arange(len(a)), [np.zeros(0, np.int64)]
+    while True:
+        x, y = to[a[left]], to[b[left]]
+        apart = x != y
+        left, x, y = left[apart], x[apart], y[apart]
+        if not len(left):
+            return np.concatenate(out)
+        first = np.full(n, len(a))
+        np.minimum.at(first, x, left)
+        np.minimum.at(first, y, left)
+        taken = np.unique(first[first < len(a)])
+        out.append(taken)
+        to = _labels(np.arange(n), to[a[taken]], to[b[taken]])[to]
+
+
 def _labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least label of each component once the links a-b are in."""
     to = np.arange(len(label))

@@ -72,6 +72,7 @@ def test_forest_connects_what_is_connected(seed):
     a, b = BKForest(prints, of).links(4)
     assert (of[a] == of[b]).all()
     assert (np.bitwise_count(prints[a, 0] ^ prints[b, 0]) <= 4).all()
+    assert len(a) <= len(prints) - len(shards)
     at = 0
     for shard in shards:
         label = {i: i for i in range(at, at + len(shard))}
