@@ -22,7 +22,8 @@ from roundcast.llm.common import stored, table
 
 LENGTH = 4096
 END_ID = 2
-CACHED = 400_000
+#: Entries of a worker's caches, some 160 MB together; workers live on after a task.
+CACHED_WORDS, CACHED_PIECES = 400_000, 400_000
 #: White space of the tokenizer's own pattern among ASCII; some more split() takes for white space.
 _SPACES = re.compile(r"[ \t\n\r\v\f]+")
 _ODD = re.compile("[\x1c-\x1f]")
@@ -63,7 +64,7 @@ class WordTokenizer:
         for piece in self.parts(word.lower()):
             ids = self.pieces.get(piece)
             if ids is None:
-                if len(self.pieces) >= CACHED:
+                if len(self.pieces) >= CACHED_PIECES:
                     self.pieces.clear()
                 tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))
                 ids = self.pieces[piece] = _packed([t.id for t in tokens])
@@ -76,7 +77,7 @@ class WordTokenizer:
         known = self.words
         out = [known.get(w) for w in words]
         if None in out:
-            if len(known) >= CACHED:
+            if len(known) >= CACHED_WORDS:
                 known.clear()
             for i, ids in enumerate(out):
                 if ids is None:
