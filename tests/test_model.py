@@ -106,6 +106,21 @@ def test_training_stops_where_held_out_matches_gain_nothing(frame):
     assert 1 <= model.pipeline.stages[-1].getNumTrees < 30
 
 
+def test_small_gains_do_not_end_training(frame):
+    model = md.train_model(frame, num_rounds=25, params={"maxDepth": 2}, partitions=4)
+    assert model.pipeline.stages[-1].getNumTrees > 10
+
+
+def test_best_round_within_the_patience():
+    assert md.best_iteration([3.0, 2.0, 2.5, 2.4, 1.0], patience=3) == 4
+    assert md.best_iteration([3.0, 2.0, 2.5, 2.4, 2.3, 1.0], patience=3) == 1
+
+
+def test_stretches_go_on_while_rounds_gain(frame):
+    model = md.train_model(frame, num_rounds=12, patience=2, params={"maxDepth": 2}, partitions=4)
+    assert model.pipeline.stages[-1].getNumTrees > 4
+
+
 def test_model_survives_storage(spark, frame, trained, tmp_path):
     path = str(tmp_path / "model")
     md.save_model(trained, path)
