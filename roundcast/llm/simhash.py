@@ -6,6 +6,10 @@ distinct fingerprints form BK-trees, whose children are keyed by their Hamming d
 follows only edges within the radius. Each task holds trees of at most ``tree_nodes`` nodes; larger shards are dealt
 into blocks, and every pair of blocks is a tree. A search passes over subtrees of its own component, so a crowded
 shard yields a spanning set of links, not all pairs. Stars over the links give components.
+
+Where a similarity is asked for, these components only say which texts have to be compared. Their texts meet once more,
+with all their shingles, and the trees of each component are searched again: a pair within the radius is a link only if
+the exact Jaccard similarity of its shingle sets is high enough, and only links join components.
 """
 
 from __future__ import annotations
@@ -15,13 +19,15 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roundcast.llm.common import mixed, stored, table
 
 RADIUS = 4
 TREE_NODES = 20_000
+#: Shingles of the sets that a tree holds, on average.
+TREE_SHINGLES = 1 << 21
 _FRONTIER = 1 << 21
 
 
@@ -95,23 +101,40 @@ def minimum_keys(hashes: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
 
 
 def fingerprints(
-    docs: DataFrame, doc_id: str, text_col: str, shingle: int, words64: int = 1, minimums: int = 0, radius: int = RADIUS
+    docs: DataFrame,
+    doc_id: str,
+    text_col: str,
+    shingle: int,
+    words64: int = 1,
+    minimums: int = 0,
+    radius: int = RADIUS,
+    sets: bool = False,
 ) -> DataFrame:
-    """doc_id, check (of the text), print (8 x words64 bytes) and the shard keys of each document."""
+    """doc_id, check (of the text), print (8 x words64 bytes) and the shard keys of each document.
+
+    ``sets``: each shingle counts once, and a digest of the set (8 bytes) follows the print.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.hash(text).alias("check"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
             for low in range(0, batch.num_rows, 200):
                 own = batch.slice(low, 200)
                 lists = [shingle_hashes(t or "", shingle) for t in own["text"].to_pylist()]
+                if sets:
+                    lists = [np.unique(np.array(x, np.uint64)) for x in lists]
                 sizes = np.array([len(x) for x in lists], np.int64)
                 hashes = np.concatenate([np.array(x, np.uint64) for x in lists])
                 prints = np.stack([majority_bits(hashes if k == 0 else mixed(hashes + np.uint64(k)), sizes) for k in range(words64)], axis=1)
                 keys = minimum_keys(hashes, sizes, minimums) if minimums else block_keys(prints[:, 0], radius)
+                if sets:
+                    digests = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in lists], np.uint64)
+                    prints = np.concatenate([prints, digests[:, None]], axis=1)
                 raw = prints.astype(">u8").tobytes()
-                width = 8 * words64
+                width = 8 * prints.shape[1]
                 yield pa.RecordBatch.from_arrays(
                     [
                         own["doc_id"],
@@ -128,6 +151,62 @@ def fingerprints(
     return slim.mapInArrow(run, f"doc_id {kind}, check int, print binary, keys array<long>")
 
 
+# --- sets
+
+
+class ShingleSets:
+    """Sorted shingle sets, compared pair by pair."""
+
+    def __init__(self, sets: pa.ListArray, similarity: float) -> None:
+        values = sets.flatten().to_numpy(zero_copy_only=False)
+        self.size = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+        self.start = np.concatenate(([0], np.cumsum(self.size)))[:-1]
+        # ranks keep apart what differs, and their order that of the values
+        ranks, self.rank = np.unique(values, return_inverse=True)
+        self.ranks = max(len(ranks), 1)
+        self.similarity = similarity
+
+    def _flat(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each set of ``of`` its place there and its ranks, as one key, and the place alone."""
+        size = self.size[of]
+        place = np.repeat(np.arange(len(of)), size)
+        at = np.repeat(self.start[of] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        return place * self.ranks + self.rank[at], place
+
+    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the sets a and b have the Jaccard similarity; two empty ones do."""
+        out = np.zeros(len(a), bool)
+        x, y = self.size[a], self.size[b]
+        near = np.flatnonzero(np.minimum(x, y) >= self.similarity * np.maximum(x, y) - 1e-9)
+        cut = np.cumsum(x[near] + y[near]) >> 21
+        for part in np.split(near, np.flatnonzero(np.diff(cut)) + 1):
+            if not len(part):
+                continue
+            (keys, _), (asked, place) = self._flat(a[part]), self._flat(b[part])
+            if len(keys):
+                hit = keys[np.minimum(np.searchsorted(keys, asked), len(keys) - 1)] == asked
+                shared = np.bincount(place[hit], minlength=len(part))
+            else:
+                shared = np.zeros(len(part), np.int64)
+            out[part] = shared >= self.similarity * (x[part] + y[part] - shared) - 1e-9
+        return out
+
+    def links(self, label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those of the pairs a-b that are alike and join labels, some thousand at a time, and the labels then."""
+        kept = []
+        for low in range(0, len(a), 4096):
+            x, y = a[low : low + 4096], b[low : low + 4096]
+            apart = label[x] != label[y]
+            x, y = x[apart], y[apart]
+            same = self.alike(x, y)
+            x, y = x[same], y[same]
+            some = _forest(label[x], label[y], len(label))
+            kept.append((x[some], y[some]))
+            label = _labels(label, x[some], y[some])
+        empty = [np.zeros(0, np.int64)]
+        return np.concatenate(empty + [x for x, _ in kept]), np.concatenate(empty + [y for _, y in kept]), label
+
+
 # --- trees
 
 
@@ -164,12 +243,19 @@ class BKForest:
     def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.bitwise_count(self.prints[a] ^ self.prints[b]).sum(axis=1, dtype=np.int64)
 
-    def links(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Links that connect whatever nodes of a shard are connected within the radius: fewer than there are nodes."""
+    def links(self, radius: int, sets: ShingleSets | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Links that connect whatever nodes of a shard are connected within the radius: fewer than there are nodes.
+
+        ``sets``: a pair is connected only if its sets are alike too, and each is looked at before it joins labels.
+        """
         n = len(self.prints)
         close = np.flatnonzero((self.parent >= 0) & (self.edge <= radius))
-        found = [(close, self.parent[close])]
-        label = _labels(np.arange(n), close, self.parent[close])
+        if sets is None:
+            found = [(close, self.parent[close])]
+            label = _labels(np.arange(n), close, self.parent[close])
+        else:
+            a, b, label = sets.links(np.arange(n), close, self.parent[close])
+            found = [(a, b)]
         # each link between components shows from the smaller one, so the largest of a shard needn't search
         names, size = np.unique(label, return_counts=True)
         order = np.lexsort((size, self.root[names]))
@@ -183,6 +269,7 @@ class BKForest:
             own = queries[low : low + 2048]
             waiting = [(own, self.root[own])]
             a, b = [], []
+            now = label
             while waiting:
                 q, node = waiting.pop()
                 keep = ~((least[node] == label[q]) & (most[node] == label[q]))
@@ -194,8 +281,13 @@ class BKForest:
                 if not len(q):
                     continue
                 d = self.distance(q, node)
-                hit = (d <= radius) & (label[q] != label[node])
-                if hit.any():
+                hit = (d <= radius) & (now[q] != now[node])
+                if hit.any() and sets is not None:
+                    at = np.flatnonzero(hit)
+                    at = at[np.argsort(d[at], kind="stable")]
+                    x, y, now = sets.links(now, q[at], node[at])
+                    found.append((x, y))
+                elif hit.any():
                     x, y = q[hit], node[hit]
                     some = _forest(label[x], label[y], n)
                     a.append(x[some])
@@ -211,7 +303,8 @@ class BKForest:
                 some = _forest(label[a], label[b], n)
                 a, b = a[some], b[some]
                 found.append((a, b))
-                label = _labels(label, a, b)
+                now = _labels(label, a, b)
+            label = now
         return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
@@ -246,8 +339,13 @@ def _labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             to = to[to]
 
 
-def tree_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links of all shards in a sorted partition; whole shards are taken together up to some size."""
+def tree_links(
+    batches: Iterator[pa.RecordBatch], radius: int, words64: int | None = None, similarity: float = 0.0
+) -> Iterator[pa.RecordBatch]:
+    """Links of all shards in a sorted partition; whole shards are taken together up to some size.
+
+    ``words64`` words of a print count for its distance, all if it is None. With a ``similarity`` the rows have sets.
+    """
 
     def linked(part: pa.Table) -> pa.RecordBatch:
         raw = part["print"].combine_chunks()
@@ -258,15 +356,17 @@ def tree_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Re
             x = part[c].to_numpy()
             same[1:] &= x[1:] == x[:-1]
         shard = np.cumsum(~same)
-        a, b = BKForest(prints, shard).links(radius)
+        sets = ShingleSets(part["set"].combine_chunks(), similarity) if similarity else None
+        a, b = BKForest(prints[:, :words64], shard).links(radius, sets)
         return pa.RecordBatch.from_arrays([raw.take(pa.array(a)), raw.take(pa.array(b))], names=["a", "b"])
 
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = values = 0
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
-        if rows < 2 * TREE_NODES:
+        values += len(batch["set"].flatten()) if similarity else 0
+        if rows < 2 * TREE_NODES and values < TREE_SHINGLES:
             continue
         whole = pa.Table.from_batches(held)
         key, low, high = (whole[c].to_numpy() for c in ("key", "low", "high"))
@@ -275,26 +375,62 @@ def tree_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Re
             yield linked(whole.slice(0, int(ends[-1])))
             whole = whole.slice(int(ends[-1]))
         held, rows = whole.to_batches(), len(whole)
+        values = sum(len(x["set"].flatten()) for x in held) if similarity else 0
     if rows:
         yield linked(pa.Table.from_batches(held))
 
 
-def links(prints: DataFrame, radius: int, tree_nodes: int = TREE_NODES) -> DataFrame:
-    """Links between different fingerprints, a and b, from ``print`` and ``keys``."""
-    keyed = prints.select("print", F.explode("keys").alias("key")).distinct()
+def _dealt(keyed: DataFrame, blocks: Column) -> DataFrame:
+    """Rows of ``keyed`` (key, print ...) in units ``key``, ``low``, ``high``: every two blocks of a crowded key are one.
+
+    blocks: how many blocks a key has, as an aggregate; one block is a unit by itself.
+    """
     # written, so that the join sees a plain table and can split a shard that holds many prints
-    crowds = stored(keyed.groupBy("key").count().where("count > 1"), "shards")
-    n = F.when(F.col("count") <= tree_nodes, F.lit(1)).otherwise(F.ceil(2 * F.col("count") / tree_nodes)).cast("int")
-    dealt = keyed.join(crowds, "key").select("print", "key", n.alias("n"), F.pmod(F.hash("print"), n).alias("block"))
+    crowds = stored(keyed.groupBy("key").agg(F.count("*").alias("count"), blocks.cast("int").alias("n")).where("count > 1").drop("count"), "shards")
+    dealt = keyed.join(crowds, "key").withColumn("block", F.pmod(F.hash("print"), F.col("n")))
     # every two blocks of a crowded shard share a tree
     other = F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(
         F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda j: j != F.col("block"))
     )
     units = dealt.withColumn("other", F.explode(other)).select(
-        "print", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+        *keyed.columns, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
-    ordered = units.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "print")
-    return ordered.mapInArrow(lambda batches: tree_links(batches, radius), "a binary, b binary").distinct()
+    return units.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "print")
+
+
+def links(prints: DataFrame, radius: int, tree_nodes: int = TREE_NODES, words64: int | None = None) -> DataFrame:
+    """Links between different fingerprints, a and b, from ``print`` and ``keys``."""
+    keyed = prints.select("print", F.explode("keys").alias("key")).distinct()
+    n = F.count("*")
+    ordered = _dealt(keyed, F.when(n <= tree_nodes, F.lit(1)).otherwise(F.ceil(2 * n / tree_nodes)))
+    return ordered.mapInArrow(lambda batches: tree_links(batches, radius, words64), "a binary, b binary").distinct()
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """``texts`` (key, print, text) with the sorted set of the text's shingles in place of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 200):
+                own = batch.slice(low, 200)
+                sets = [np.unique(np.array(shingle_hashes(t or "", shingle), np.uint64).view(np.int64)) for t in own["text"].to_pylist()]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+                values = pa.array(np.concatenate(sets), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [own["key"], own["print"], pa.ListArray.from_arrays(pa.array(ends), values)], names=["key", "print", "set"]
+                )
+
+    return texts.mapInArrow(run, "key long, print binary, set array<long>")
+
+
+def alike_links(
+    keyed: DataFrame, radius: int, similarity: float, words64: int, tree_nodes: int = TREE_NODES, tree_shingles: int = TREE_SHINGLES
+) -> DataFrame:
+    """Links, a and b, between rows of one ``key`` whose prints are within the radius and whose ``set`` are alike."""
+    n, total = F.count("*"), F.sum(F.size("set").cast("long"))
+    few = (n <= tree_nodes) & (total <= tree_shingles)
+    ordered = _dealt(keyed, F.when(few, F.lit(1)).otherwise(F.greatest(F.lit(2), F.ceil(2 * n / tree_nodes), F.ceil(2 * total / tree_shingles))))
+    return ordered.mapInArrow(lambda batches: tree_links(batches, radius, words64, similarity), "a binary, b binary").distinct()
 
 
 # --- components
@@ -323,11 +459,30 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
 
 
 def grouped(
-    docs: DataFrame, doc_id: str, text_col: str, shingle: int, radius: int, words64: int, minimums: int, tree_nodes: int
+    docs: DataFrame,
+    doc_id: str,
+    text_col: str,
+    shingle: int,
+    radius: int,
+    words64: int,
+    minimums: int,
+    tree_nodes: int,
+    similarity: float = 0.0,
 ) -> DataFrame:
     """doc_id, check, print and ``root``, the print that stands for the component, of each document."""
-    prints = stored(fingerprints(docs, doc_id, text_col, shingle, words64, minimums, radius), "prints")
-    stars = components(links(prints, radius, tree_nodes))
+    prints = stored(fingerprints(docs, doc_id, text_col, shingle, words64, minimums, radius, similarity > 0), "prints")
+    stars = components(links(prints, radius, tree_nodes, words64))
+    if similarity:
+        # one row holds each print's text; a component's prints are compared with each other only
+        met = stars.select(F.col("node").alias("print"), "least").unionByName(stars.select(F.col("least").alias("print"), "least").distinct())
+        met = stored(met.select("print", F.xxhash64("least").alias("key")), "met")
+        place = F.struct("doc_id", "check").alias("row_key")
+        held = stored(prints.select("print", place).join(met, "print").groupBy("print", "key").agg(F.min("row_key").alias("row_key")), "held")
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        texts = docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.hash(text).alias("check")).alias("row_key"), text.alias("text"))
+        texts = texts.join(held, "row_key").dropDuplicates(["print"]).select("key", "print", "text")
+        sets = stored(shingle_sets(texts, shingle), "sets")
+        stars = components(alike_links(sets, radius, similarity, words64, tree_nodes))
     rooted = prints.drop("keys").join(stars.withColumnRenamed("node", "print"), "print", "left")
     return rooted.select("doc_id", "check", "print", F.coalesce("least", "print").alias("root"))
 
@@ -363,20 +518,22 @@ def without_near_duplicates(
     doc_id: str = "doc_id",
     text_col: str = "text",
     shingle: int = 5,
-    radius: int = 90,
+    radius: int = 120,
     words64: int = 8,
     minimums: int = 6,
     tree_nodes: int = TREE_NODES,
+    similarity: float = 0.8,
 ) -> DataFrame:
     """``docs``, all columns, with one row of each component: that of the smallest id; of several texts with that id
     the one with the smallest hash; of repeated rows one.
 
-    The defaults stand for a similarity of 0.8 on five-word shingles: the shares of shingles then make an angle at
-    which 78 of 512 bits differ on average, with a deviation of 8; at 0.7 it is 99, with a deviation of 9.
+    Links are pairs whose sets of shingles have at least ``similarity``, by exact Jaccard. The radius only says which
+    pairs are compared: at 0.8, 78 of 512 bits differ on average, with a deviation of 8, and about 96 with 9 where one
+    text has five shingles and the other four of them.
     """
     own = F.struct(F.col(doc_id).alias("doc_id"), F.hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("check"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "check")
-    rooted = grouped(docs, doc_id, text_col, shingle, radius, words64, minimums, tree_nodes)
+    rooted = grouped(docs, doc_id, text_col, shingle, radius, words64, minimums, tree_nodes, similarity)
     heads = rooted.groupBy("root").agg(F.min(place).alias("head"))
     stay = heads.select(F.struct("head.doc_id", "head.check").alias("row_key"))
     renamed = docs.select(own.alias("row_key"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])

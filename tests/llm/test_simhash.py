@@ -3,11 +3,12 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest_llm import corpus, frame, plain, prose
 
-from roundcast.llm.simhash import BKForest, block_keys, components, links, near_duplicates, without_near_duplicates
+from roundcast.llm.simhash import BKForest, ShingleSets, alike_links, block_keys, components, links, near_duplicates, without_near_duplicates
 
 
 def fingerprint(text, size):
@@ -143,3 +144,66 @@ def test_repeated_rows_leave_one(spark):
     rows = corpus(2, 20)
     kept = without_near_duplicates(frame(spark, rows + rows)).collect()
     assert len({(r.doc_id, r.text) for r in kept}) == len(kept)
+
+
+def test_stage_goes_by_exact_similarity(spark):
+    rng = random.Random(5)
+    rows, stay, go = [], [], []
+    at = 0
+    while len(stay) < 40 or len(go) < 40:
+        text = prose(rng, 300)
+        words = text.split()
+        for j in rng.sample(range(300), rng.randint(5, 12)):
+            words[j] = "changed"
+        like = jaccard(text, " ".join(words))
+        kind = stay if 0.70 <= like < 0.80 else go if 0.80 <= like < 0.85 else None
+        if kind is None or len(kind) == 40:
+            continue
+        rows += [(at, text), (at + 1, " ".join(words))]
+        kind.append(at)
+        at += 2
+    kept = sorted(r.doc_id for r in without_near_duplicates(frame(spark, rows)).collect())
+    assert kept == sorted([x for i in stay for x in (i, i + 1)] + go)
+
+
+def test_stage_compares_texts_of_one_print(spark):
+    refrain = "la " * 400
+    rows = [(i, refrain + prose(random.Random(i), 60)) for i in range(6)]
+    assert len({r.doc_id for r in without_near_duplicates(frame(spark, rows)).collect()}) == 6
+
+
+def crowded_sets(rng, n):
+    """Sets around one centre, their prints, and which of them hang together at 0.8."""
+    sets = sorted({tuple(sorted(rng.sample(range(26), rng.randint(18, 25)))) for _ in range(n)} | {()})
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j])):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return sets, root
+
+
+def parted(n, a, b):
+    root = list(range(n))
+    for i, j in zip(a, b, strict=True):
+        root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_are_checked_before_they_join(seed):
+    sets, root = crowded_sets(random.Random(seed), 90)
+    prints = np.array([random.Random(seed * 1000 + i).getrandbits(64) for i in range(len(sets))], np.uint64).reshape(-1, 1)
+    held = ShingleSets(pa.array([list(s) for s in sets], pa.list_(pa.int64())), 0.8)
+    a, b = BKForest(prints, np.zeros(len(sets), int)).links(64, held)
+    assert held.alike(a, b).all()
+    assert parted(len(sets), a.tolist(), b.tolist()) == root
+
+
+def test_crowded_sets_are_dealt(spark):
+    sets, root = crowded_sets(random.Random(8), 60)
+    rows = [(1, bytearray(i.to_bytes(16, "big")), list(s)) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "key long, print binary, set array<long>")
+    for limits in ({"tree_nodes": 12}, {"tree_shingles": 200}, {}):
+        got = [(int.from_bytes(r.a), int.from_bytes(r.b)) for r in alike_links(df, 64, 0.8, 1, **limits).collect()]
+        assert parted(len(sets), [x for x, _ in got], [y for _, y in got]) == root
