@@ -283,8 +283,23 @@ MASKS = (
 )
 
 
+def united(matches: list[tuple[int, int, str]]) -> list[dict]:
+    """Edits for matches (start, end, new), those that overlap united to one: it has the new text of the longest of them,
+    of equally long ones of the first."""
+    out, most = [], 0
+    for start, end, new in sorted(matches, key=lambda m: m[:2]):
+        if out and start < out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], end)
+            if end - start > most:
+                most, out[-1]["new"] = end - start, new
+        else:
+            most = end - start
+            out.append({"start": start, "end": end, "new": new})
+    return out
+
+
 def mask_edits(trees: DataFrame) -> DataFrame:
-    """``trees`` with the edits that mask personal data and secrets."""
+    """``trees`` with the edits that mask personal data and secrets; matches that overlap are masked as one."""
     names = trees.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +309,7 @@ def mask_edits(trees: DataFrame) -> DataFrame:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("new", pa.string())]))
         for batch in batches:
             edits = [
-                [{"start": m.start(), "end": m.end(), "new": new} for p, new in masks for m in p.finditer(text)] if _DIGIT_OR_AT.search(text) else []
+                united([(*m.span(), new) for p, new in masks for m in p.finditer(text)]) if _DIGIT_OR_AT.search(text) else []
                 for text in batch["text"].to_pylist()
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, kind)], names=[*names, "edits"])

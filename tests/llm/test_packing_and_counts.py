@@ -105,6 +105,12 @@ def test_edits_of_a_table(spark):
             assert r["n_edits"] == 0 and r["n_before"] == r["n_tokens"]
 
 
+def test_overlapping_matches_are_masked_whole(spark):
+    rows = [(1, "to 123456789@x.com now"), (2, "has 1234567890abcdefgh in"), (3, "1234567890 me@some.org")]
+    got = {r.doc_id: (r.text, r.n_edits) for r in apply_edits(mask_edits(token_trees(frame(spark, rows)))).collect()}
+    assert got == {1: ("to <EMAIL> now", 1), 2: ("has <KEY> in", 1), 3: ("<NUMBER> <EMAIL>", 2)}
+
+
 def test_edits_that_do_not_fit_are_left_out(spark):
     kind = "doc_id long, text string, sizes array<int>, counts array<int>, n_tokens long, edits array<struct<start:int,end:int,new:string>>"
     text = "one two three"
