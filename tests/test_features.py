@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from conftest import rows
+from telemetry_rows import rows
 from pyspark.sql import functions as F
 
 from roundcast.functions import display, scoring

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import at, rows
+from telemetry_rows import at, rows
 from pyspark.sql import functions as F
 
 from roundcast.operators import live as lv

@@ -4,7 +4,7 @@ import random
 from datetime import timedelta
 
 import pytest
-from conftest import BASE, at, rows
+from telemetry_rows import BASE, at, rows
 
 from roundcast.operators import momentum as mo
 

@@ -4,7 +4,7 @@ import json
 import random
 
 import pytest
-from conftest import at, event, rows
+from telemetry_rows import at, event, rows
 from pyspark.sql import functions as F
 
 from roundcast.operators import momentum as mo
