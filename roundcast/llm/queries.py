@@ -4,6 +4,7 @@ from roundcast.llm.decontaminate import OP2_SQL, op2_decontaminate
 from roundcast.llm.line_crf import op9_quality
 from roundcast.llm.line_runs import OP5_SQL, op5_line_dedup
 from roundcast.llm.packing import op3_packing
+from roundcast.llm.pieces import op13_sentencepiece
 from roundcast.llm.quality_rules import OP6_SQL, op6_quality_rules
 from roundcast.llm.simhash import op1_simhash
 from roundcast.llm.substring_dedup import OP4_SQL, op4_substring_dedup
@@ -24,6 +25,7 @@ QUERIES = {
         op8_token_counts,
         op9_quality,
         op10_warc,
+        op13_sentencepiece,
     )
 }
 ORACLE = {
