@@ -6,6 +6,7 @@ from roundcast.llm.line_runs import OP5_SQL, op5_line_dedup
 from roundcast.llm.packing import op3_packing
 from roundcast.llm.pieces import op13_sentencepiece
 from roundcast.llm.quality_rules import OP6_SQL, op6_quality_rules
+from roundcast.llm.ranked_search import OP11_SQL, op11_ranked_search
 from roundcast.llm.simhash import op1_simhash
 from roundcast.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 from roundcast.llm.suffix_dedup import op7_suffix_dedup
@@ -25,6 +26,7 @@ QUERIES = {
         op8_token_counts,
         op9_quality,
         op10_warc,
+        op11_ranked_search,
         op13_sentencepiece,
     )
 }
@@ -34,4 +36,5 @@ ORACLE = {
     "op5_line_dedup": OP5_SQL,
     "op6_quality_rules": OP6_SQL,
     "op10_warc": OP10_SQL,
+    "op11_ranked_search": OP11_SQL,
 }
