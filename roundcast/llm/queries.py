@@ -8,6 +8,7 @@ from roundcast.llm.pieces import op13_sentencepiece
 from roundcast.llm.quality_rules import OP6_SQL, op6_quality_rules
 from roundcast.llm.ranked_search import OP11_SQL, op11_ranked_search
 from roundcast.llm.simhash import op1_simhash
+from roundcast.llm.source_audit import OP12_SQL, op12_source_audit
 from roundcast.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 from roundcast.llm.suffix_dedup import op7_suffix_dedup
 from roundcast.llm.token_counts import op8_token_counts
@@ -27,6 +28,7 @@ QUERIES = {
         op9_quality,
         op10_warc,
         op11_ranked_search,
+        op12_source_audit,
         op13_sentencepiece,
     )
 }
@@ -37,4 +39,5 @@ ORACLE = {
     "op6_quality_rules": OP6_SQL,
     "op10_warc": OP10_SQL,
     "op11_ranked_search": OP11_SQL,
+    "op12_source_audit": OP12_SQL,
 }
