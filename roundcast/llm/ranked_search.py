@@ -7,7 +7,7 @@ frequent sets first, are joined again and again: a sharing DAG, whose nodes are
 A task scores some documents at a time: contributions of the terms, then every shared set once, level by level, and last
 the items, each the sum of few nodes. It keeps the best rows of each item; the tasks' best meet for the final ranks.
 
-The block's DAG is broadcast: at most ``block_terms`` pairs of item and term, or one item with more. Nothing of the
+The block's DAG is broadcast: at most ``block_terms`` pairs of item and term, and the rest of the last item. Nothing of the
 documents meets in one place but ``top`` rows of each item and task.
 """
 
@@ -139,7 +139,7 @@ def sharing_dag(items: list[tuple[object, dict[bytes, int]]]) -> SharingDag:
 
 
 def item_blocks(items: DataFrame, item_id: str, text_col: str, block_terms: int) -> DataFrame:
-    """item, term, times and ``block``: blocks of at most ``block_terms`` rows, or of one item."""
+    """item, term, times and ``block``: blocks of ``block_terms`` rows and the rest of their last item."""
     slim = items.select(F.col(item_id).alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
     kind = slim.schema["item"].dataType.simpleString()
 
@@ -159,20 +159,22 @@ def item_blocks(items: DataFrame, item_id: str, text_col: str, block_terms: int)
     counted = stored(counted.groupBy("item", "term").agg(F.sum("times").alias("times")), "item_terms")
     sizes = counted.groupBy("item").agg(F.count("*").alias("n"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, held = TaskContext.get().partitionId() << 32, 0
+        part, held = TaskContext.get().partitionId(), 0
         for batch in batches:
-            blocks = []
-            for n in batch["n"].to_pylist():
-                if held and held + n > block_terms:
-                    block, held = block + 1, 0
-                held += n
-                blocks.append(block)
-            yield pa.RecordBatch.from_arrays([batch["item"], pa.array(blocks, pa.int64())], names=["item", "block"])
-
-    return stored(counted.join(sizes.mapInArrow(cut, f"item {kind}, block long"), "item"), "item_blocks")
+            n = batch["n"].to_numpy()
+            before = held + np.cumsum(n) - n
+            held += int(n.sum())
+            yield pa.RecordBatch.from_arrays([batch["item"], pa.array([part] * len(n), pa.int32()), pa.array(before), batch["n"]], names=["item", "part", "before", "n"])
+
+    # sums run through each partition, then through the partitions: blocks don't depend on how many there are
+    placed = stored(sizes.mapInArrow(running, f"item {kind}, part int, before long, n long"), "item_sizes")
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    block = F.floor((F.col("base") + F.col("before")) / block_terms)
+    return stored(counted.join(placed.join(bases, "part").select("item", block.alias("block")), "item"), "item_blocks")
 
 
 # --- documents
