@@ -110,7 +110,7 @@ def fingerprints(
     radius: int = RADIUS,
     sets: bool = False,
 ) -> DataFrame:
-    """doc_id, check (of the text), print (8 x words64 bytes) and the shard keys of each document.
+    """doc_id, check (of the text), print (8 x words64 bytes), ``size`` (shingles) and the shard keys of each document.
 
     ``sets``: each shingle counts once, and a digest of the set (8 bytes) follows the print.
     """
@@ -140,15 +140,16 @@ def fingerprints(
                         own["doc_id"],
                         own["check"],
                         pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary()),
+                        pa.array(sizes),
                         pa.ListArray.from_arrays(
                             np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel(), pa.int64())
                         ),
                     ],
-                    names=["doc_id", "check", "print", "keys"],
+                    names=["doc_id", "check", "print", "size", "keys"],
                 )
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, check int, print binary, keys array<long>")
+    return slim.mapInArrow(run, f"doc_id {kind}, check int, print binary, size long, keys array<long>")
 
 
 # --- sets
@@ -356,7 +357,11 @@ def tree_links(
             x = part[c].to_numpy()
             same[1:] &= x[1:] == x[:-1]
         shard = np.cumsum(~same)
-        sets = ShingleSets(part["set"].combine_chunks(), similarity) if similarity else None
+        # rows that repeat give a print again
+        once = np.ones(len(part), bool)
+        once[1:] = ~same[1:] | (prints[1:] != prints[:-1]).any(axis=1)
+        prints, shard, raw = prints[once], shard[once], raw.filter(pa.array(once))
+        sets = ShingleSets(part["set"].combine_chunks().filter(pa.array(once)), similarity) if similarity else None
         a, b = BKForest(prints[:, :words64], shard).links(radius, sets)
         return pa.RecordBatch.from_arrays([raw.take(pa.array(a)), raw.take(pa.array(b))], names=["a", "b"])
 
@@ -380,57 +385,88 @@ def tree_links(
         yield linked(pa.Table.from_batches(held))
 
 
-def _dealt(keyed: DataFrame, blocks: Column) -> DataFrame:
-    """Rows of ``keyed`` (key, print ...) in units ``key``, ``low``, ``high``: every two blocks of a crowded key are one.
+def _units(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Rows of ``rows`` (key, print ...) with ``units``, an array of ``key``, ``low``, ``high``: every two blocks of a
+    crowded key are a unit. Keys with one row have none.
 
     blocks: how many blocks a key has, as an aggregate; one block is a unit by itself.
     """
     # written, so that the join sees a plain table and can split a shard that holds many prints
-    crowds = stored(keyed.groupBy("key").agg(F.count("*").alias("count"), blocks.cast("int").alias("n")).where("count > 1").drop("count"), "shards")
-    dealt = keyed.join(crowds, "key").withColumn("block", F.pmod(F.hash("print"), F.col("n")))
+    crowds = stored(rows.groupBy("key").agg(F.count("*").alias("count"), blocks.cast("int").alias("n")).where("count > 1").drop("count"), "shards")
+    dealt = rows.join(crowds, "key").withColumn("block", F.pmod(F.hash("print"), F.col("n")))
     # every two blocks of a crowded shard share a tree
     other = F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(
         F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda j: j != F.col("block"))
     )
-    units = dealt.withColumn("other", F.explode(other)).select(
-        *keyed.columns, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-    )
+    unit = F.transform(other, lambda j: F.struct(F.col("key"), F.least("block", j).alias("low"), F.greatest("block", j).alias("high")))
+    return dealt.withColumn("units", unit).drop("n", "block")
+
+
+def _sorted_units(units: DataFrame) -> DataFrame:
     return units.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "print")
 
 
 def links(prints: DataFrame, radius: int, tree_nodes: int = TREE_NODES, words64: int | None = None) -> DataFrame:
-    """Links between different fingerprints, a and b, from ``print`` and ``keys``."""
-    keyed = prints.select("print", F.explode("keys").alias("key")).distinct()
+    """Links between different fingerprints, a and b, from ``print`` and ``keys``.
+
+    Most keys have one print. So keys meet with a 64-bit mark of the print first, and prints come along only to the
+    keys that have two marks. (A mark of eight bytes is one to one; of longer prints, two with one mark would have to be
+    the only ones of a key to be missed.)
+    """
+    keyed = prints.select(F.xxhash64("print").alias("mark"), F.explode("keys").alias("key"))
+    crowds = keyed.groupBy("key").agg(F.min("mark").alias("least"), F.max("mark").alias("most")).where("least <> most").select("key")
+    met = keyed.join(stored(crowds, "crowds"), "key").distinct()
+    own = prints.select(F.xxhash64("print").alias("mark"), "print").distinct()
+    shards = stored(met.join(own, "mark").select("key", "print"), "shard_prints")
     n = F.count("*")
-    ordered = _dealt(keyed, F.when(n <= tree_nodes, F.lit(1)).otherwise(F.ceil(2 * n / tree_nodes)))
+    dealt = _units(shards, F.when(n <= tree_nodes, F.lit(1)).otherwise(F.ceil(2 * n / tree_nodes)))
+    ordered = _sorted_units(dealt.select("print", F.inline("units")))
     return ordered.mapInArrow(lambda batches: tree_links(batches, radius, words64), "a binary, b binary").distinct()
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """``texts`` (key, print, text) with the sorted set of the text's shingles in place of the text."""
+    """``texts`` (print, units, text) with a row for each unit, and the sorted set of the text's shingles for the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 200):
-                own = batch.slice(low, 200)
+            for low in range(0, batch.num_rows, 100):
+                own = batch.slice(low, 100)
                 sets = [np.unique(np.array(shingle_hashes(t or "", shingle), np.uint64).view(np.int64)) for t in own["text"].to_pylist()]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-                values = pa.array(np.concatenate(sets), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [own["key"], own["print"], pa.ListArray.from_arrays(pa.array(ends), values)], names=["key", "print", "set"]
-                )
+                sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets), pa.int64()))
+                units = own["units"]
+                of = pa.array(np.repeat(np.arange(len(own)), np.diff(units.offsets.to_numpy())))
+                flat = units.flatten()
+                # a text of a crowd goes to many units: some at a time
+                for at in range(0, len(of), 1000):
+                    part = of.slice(at, 1000)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(flat.field(c).slice(at, 1000) for c in ("key", "low", "high")), own["print"].take(part), sets.take(part)],
+                        names=["key", "low", "high", "print", "set"],
+                    )
+
+    return texts.mapInArrow(run, "key long, low int, high int, print binary, set array<long>")
+
+
+def _blocks_of_sets(size: Column, tree_nodes: int, tree_shingles: int) -> Column:
+    n, total = F.count("*"), F.sum(size)
+    few = (n <= tree_nodes) & (total <= tree_shingles)
+    return F.when(few, F.lit(1)).otherwise(F.greatest(F.lit(2), F.ceil(2 * n / tree_nodes), F.ceil(2 * total / tree_shingles)))
 
-    return texts.mapInArrow(run, "key long, print binary, set array<long>")
+
+def checked_links(units: DataFrame, radius: int, similarity: float, words64: int) -> DataFrame:
+    """Links, a and b, from ``key``, ``low``, ``high``, ``print`` and ``set``."""
+    ordered = _sorted_units(units)
+    return ordered.mapInArrow(lambda batches: tree_links(batches, radius, words64, similarity), "a binary, b binary").distinct()
 
 
 def alike_links(
     keyed: DataFrame, radius: int, similarity: float, words64: int, tree_nodes: int = TREE_NODES, tree_shingles: int = TREE_SHINGLES
 ) -> DataFrame:
     """Links, a and b, between rows of one ``key`` whose prints are within the radius and whose ``set`` are alike."""
-    n, total = F.count("*"), F.sum(F.size("set").cast("long"))
-    few = (n <= tree_nodes) & (total <= tree_shingles)
-    ordered = _dealt(keyed, F.when(few, F.lit(1)).otherwise(F.greatest(F.lit(2), F.ceil(2 * n / tree_nodes), F.ceil(2 * total / tree_shingles))))
-    return ordered.mapInArrow(lambda batches: tree_links(batches, radius, words64, similarity), "a binary, b binary").distinct()
+    slim = keyed.select("key", "print", F.size("set").cast("long").alias("size"))
+    units = _units(slim, _blocks_of_sets(F.col("size"), tree_nodes, tree_shingles)).select("print", F.inline("units"))
+    return checked_links(units.join(keyed, ["key", "print"]), radius, similarity, words64)
 
 
 # --- components
@@ -477,13 +513,13 @@ def grouped(
         met = stars.select(F.col("node").alias("print"), "least").unionByName(stars.select(F.col("least").alias("print"), "least").distinct())
         met = stored(met.select("print", F.xxhash64("least").alias("key")), "met")
         place = F.struct("doc_id", "check").alias("row_key")
-        held = stored(prints.select("print", place).join(met, "print").groupBy("print", "key").agg(F.min("row_key").alias("row_key")), "held")
+        held = prints.select("print", "size", place).join(met, "print").groupBy("print", "key").agg(F.min("row_key").alias("row_key"), F.max("size").alias("size"))
+        held = stored(_units(stored(held, "held"), _blocks_of_sets(F.col("size"), tree_nodes, TREE_SHINGLES)).select("row_key", "print", "units"), "units")
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         texts = docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.hash(text).alias("check")).alias("row_key"), text.alias("text"))
-        texts = texts.join(held, "row_key").dropDuplicates(["print"]).select("key", "print", "text")
-        sets = stored(shingle_sets(texts, shingle), "sets")
-        stars = components(alike_links(sets, radius, similarity, words64, tree_nodes))
-    rooted = prints.drop("keys").join(stars.withColumnRenamed("node", "print"), "print", "left")
+        sets = shingle_sets(texts.join(held, "row_key").select("print", "units", "text"), shingle)
+        stars = components(checked_links(sets, radius, similarity, words64))
+    rooted = prints.drop("keys", "size").join(stars.withColumnRenamed("node", "print"), "print", "left")
     return rooted.select("doc_id", "check", "print", F.coalesce("least", "print").alias("root"))
 
 
@@ -534,10 +570,20 @@ def without_near_duplicates(
     own = F.struct(F.col(doc_id).alias("doc_id"), F.hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("check"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "check")
     rooted = grouped(docs, doc_id, text_col, shingle, radius, words64, minimums, tree_nodes, similarity)
-    heads = rooted.groupBy("root").agg(F.min(place).alias("head"))
-    stay = heads.select(F.struct("head.doc_id", "head.check").alias("row_key"))
+    rooted = stored(rooted.select("doc_id", "check", F.xxhash64("root").alias("mark"), "root"), "rooted")
+    # components of one row, most of them, have nobody to lose; nor have rows whose place is that of the head
+    many = rooted.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    crowd = stored(rooted.join(many, "mark").select("root", place.alias("place")), "crowds")
+    heads = stored(crowd.groupBy("root").agg(F.min("place").alias("head")), "heads")
+    lost = crowd.join(heads, "root").where(F.col("place") > F.col("head"))
+    again = crowd.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
+    key = F.struct("place.doc_id", "place.check").alias("row_key")
+    lost, again = stored(lost.select(key).distinct(), "lost"), stored(again.select(key), "repeated")
     renamed = docs.select(own.alias("row_key"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    left = renamed.join(stay, "row_key", "left_semi").dropDuplicates(["row_key"])
+    left = renamed.join(lost.unionByName(again), "row_key", "left_anti")
+    # rows that repeat, none of them lost: one of each
+    once = renamed.join(again.join(lost, "row_key", "left_anti"), "row_key", "left_semi").dropDuplicates(["row_key"])
+    left = left.unionByName(once)
     return left.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
