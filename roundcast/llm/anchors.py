@@ -4,7 +4,7 @@ A window is ``length`` consecutive units, bytes or words, of one text. Its ancho
 with the least hash, the leftmost of several; equal windows have equal anchors at the same place, so that copies
 meet by the anchor's hash. Consecutive windows mostly share an anchor, and an occurrence stands for all of them: its
 surrounding is the stretch that those windows cover. Anchors that occur once go at once. An anchor whose occurrences
-all have one surrounding needs no look at the text; the others' different surroundings, each once, are fetched and
+all have one surrounding, by two independent 64-bit hashes, needs no look at the text; the others' different surroundings, each once, are fetched and
 handed to a ``matcher``. An anchor with more than ``crowd`` different surroundings, which a task shouldn't hold
 together, has its windows grouped by a 128-bit digest of their own. A text is looked at as a whole, in arrays of
 about a hundred bytes for each of its units.
@@ -50,8 +50,13 @@ def byte_units(data: np.ndarray, starts: np.ndarray) -> Units:
 
 
 def word_units(data: np.ndarray, starts: np.ndarray) -> Units:
+    import xxhash
+
     first, last, of = words_of(data, starts, VISIBLE)
-    return Units(slice_hash(prefix_sums(BYTE_CODE[data]), first, last), first, last, of)
+    # a sum over powers would do for short words only: long ones can be made to collide whatever the base
+    view = memoryview(data.tobytes())
+    codes = map(xxhash.xxh64_intdigest, map(view.__getitem__, map(slice, first.tolist(), last.tolist())))
+    return Units(np.fromiter(codes, np.uint64, len(first)), first, last, of)
 
 
 def anchored(units: Units, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +125,8 @@ def _occurrences(docs: DataFrame, how: Repeats, brief: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([keys, ids], names=["anchor", "doc_id"])
                     continue
                 begin, end = units.first[first], units.last[last + how.length - 1]
-                digest = slice_hash(prefix_sums(BYTE_CODE[data]), begin, end).view(np.int64)
+                # of other codes than the anchor's hash, so that both together are a digest of 128 bits
+                digest = slice_hash(prefix_sums(mixed(units.codes)), first, last + how.length).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         keys,

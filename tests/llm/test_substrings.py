@@ -93,3 +93,17 @@ def test_multikey_quicksort():
     assert sorted(equal_suffixes(data, np.arange(24), group, 10).tolist()) == [0, 12]
     assert sorted(equal_suffixes(data, np.arange(25), np.zeros(25, np.int64), 9).tolist()) == [0, 1, 12, 13, 24]
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_made_to_collide_are_told_apart(spark):
+    """Sums of letters times powers modulo 2^64 agree on these two words, whatever the base."""
+    one = thue_morse(2048)
+    two = one.translate(str.maketrans("ab", "ba"))
+    before, after = " ".join(f"l{i}" for i in range(30)), " ".join(f"r{i}" for i in range(30))
+    rows = [(k, f"{before} {w} {after}") for k, w in enumerate((one, two, two))]
+    got = {r.doc_id: r.n_removed for r in dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 61}
