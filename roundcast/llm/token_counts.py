@@ -8,6 +8,7 @@ split may look at it, and then on until a boundary meets an old one; the sums on
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
@@ -274,13 +275,29 @@ def apply_edits(trees: DataFrame, path: str | None = None, with_text: bool = Tru
     return trees.mapInArrow(run, f"doc_id {kind}, {figures}" + (", text string, sizes array<int>, counts array<int>" if with_text else ""))
 
 
-#: Personal data and secrets, and what stands for them.
+#: Personal data and secrets, and what stands for them. Mail addresses are looked for from their @.
 MASKS = (
-    (r"[\w.+-]+@[\w-]+\.[\w.-]+\w", "<EMAIL>"),
     (r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "<IP>"),
     (r"\+?\d[\d ()-]{7,}\d", "<NUMBER>"),
     (r"\b(?=\w*\d)(?=\w*[A-Za-z])\w{16,}\b", "<KEY>"),
 )
+_HOST = re.compile(r"[\w-]+\.[\w.-]+\w")
+_NAME = re.compile(r"[\w.+-]")
+
+
+def addresses(text: str) -> Iterator[tuple[int, int, str]]:
+    """Mail addresses, left to right. The name before an @ is read once and backwards: a pattern that begins with it would
+    be tried again from each of its letters."""
+    last, at = 0, text.find("@")
+    while at >= 0:
+        host = _HOST.match(text, at + 1)
+        start = at
+        while host and start > last and _NAME.match(text, start - 1):
+            start -= 1
+        if start < at:
+            last = host.end()
+            yield start, last, "<EMAIL>"
+        at = text.find("@", max(last, at + 1))
 
 
 def united(matches: list[tuple[int, int, str]]) -> list[dict]:
@@ -303,19 +320,15 @@ def mask_edits(trees: DataFrame) -> DataFrame:
     names = trees.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
         masks = [(re.compile(p), new) for p, new in MASKS]
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("new", pa.string())]))
         for batch in batches:
             edits = [
-                united([(*m.span(), new) for p, new in masks for m in p.finditer(text)]) if _DIGIT_OR_AT.search(text) else []
+                united([*addresses(text), *((*m.span(), new) for p, new in masks for m in p.finditer(text))]) if _DIGIT_OR_AT.search(text) else []
                 for text in batch["text"].to_pylist()
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, kind)], names=[*names, "edits"])
 
-    import re
-
     _DIGIT_OR_AT = re.compile(r"[\d@]")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in trees.schema)
     return trees.mapInArrow(run, f"{kinds}, edits array<struct<start:int,end:int,new:string>>")

@@ -126,3 +126,16 @@ def test_checksums_of_pieces(docs, words):
 
     for r in pack(docs[1]).select("ids", F.crc32("ids").alias("crc")).limit(20).collect():
         assert zlib.crc32(bytes(r.ids)) == r.crc
+
+
+def test_addresses_as_the_pattern_in_linear_time():
+    import re
+
+    from roundcast.llm.token_counts import addresses
+
+    pattern, rng = re.compile(r"[\w.+-]+@[\w-]+\.[\w.-]+\w"), random.Random(3)
+    for _ in range(20_000):
+        text = "".join(rng.choices("ab@.-_ 1+", k=rng.randint(3, 25)))
+        assert [m[:2] for m in addresses(text)] == [m.span() for m in pattern.finditer(text)], text
+    assert list(addresses("a" * 5_000_000)) == []
+    assert len(list(addresses("a" * 2_000_000 + "@b.cd"))) == 1
