@@ -73,41 +73,56 @@ def test_clean_texts_have_no_hits(spark, docs):
 # --- lines
 
 
-def lines_brute(rows, min_lines=2, min_words=50):
+def lines_brute(rows, min_words=5):
+    """Every run of lines, of whatever length, with so many words; a later place of one goes."""
     split = [[(i, x) for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\x0b\f\r")] for _, t in rows]
     first = {}
     order = [(d is None, d or 0) for d, _ in rows]
-    for key, own in zip(order, split, strict=True):
+
+    def runs(own):
         for at in range(len(own)):
-            runs = [tuple(x for _, x in own[at : at + min_lines])] if at + min_lines <= len(own) else []
-            runs += [(own[at][1],)] if len(own[at][1].encode().split()) >= min_words else []
-            for run in runs:
-                first[run] = min(first.get(run, (key, at)), (key, at))
+            words = 0
+            for end in range(at + 1, len(own) + 1):
+                words += len(own[end - 1][1].encode().split())
+                if words >= min_words:
+                    yield at, end, tuple(x for _, x in own[at:end])
+
+    for key, own in zip(order, split, strict=True):
+        for at, _, run in runs(own):
+            first[run] = min(first.get(run, (key, at)), (key, at))
     out = []
     for (d, t), key, own in zip(rows, order, split, strict=True):
         gone = set()
-        for at in range(len(own)):
-            for n in {1, min_lines}:
-                run = tuple(x for _, x in own[at : at + n])
-                if len(run) == n and run in first and first[run] < (key, at):
-                    gone.update(i for i, _ in own[at : at + n])
+        for at, end, run in runs(own):
+            if first[run] < (key, at):
+                gone.update(i for i, _ in own[at:end])
         text = t if not gone else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
         out.append((d, len(own), len(gone), text))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("min_lines", [2, 3, 5])
-def test_lines_as_brute_force(spark, docs, min_lines):
+@pytest.mark.parametrize("min_words", [1, 5, 7])
+def test_lines_as_brute_force(spark, docs, min_words):
     rng = random.Random(3)
-    pool = [prose(rng, n).replace("\n", " ") for n in (3, 4, 5, 60, 6)] + ["", "  "]
+    pool = [prose(rng, n).replace("\n", " ") for n in (3, 4, 5, 60, 6, 1, 1, 2)] + ["", "  "]
     rows = [*docs[0], *((600 + i, "\n".join(rng.choices(pool, k=rng.randint(1, 12)))) for i in range(40))]
-    got = plain(dedup_lines(frame(spark, rows), min_lines=min_lines), "doc_id", "n_lines", "n_removed", "text")
-    assert got == lines_brute(rows, min_lines)
+    got = plain(dedup_lines(frame(spark, rows), min_words=min_words), "doc_id", "n_lines", "n_removed", "text")
+    assert got == lines_brute(rows, min_words)
+
+
+def test_runs_count_by_words(spark):
+    """A repeated line of ten words goes, two repeated lines of a word stay, five of them go."""
+    rights = "all rights to this text are with those who wrote"
+    rows = [(1, f"one text\n{rights}\nyes\nno"), (2, f"two text\n{rights}\nother\nyes\nno\nend"), (3, "a\nb\nc\nd\ne\nf"), (4, "x\na\nb\nc\nd\ne\ny")]
+    got = {r.doc_id: r.text for r in dedup_lines(frame(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "two text\nother\nyes\nno\nend", 3: rows[2][1], 4: "x\ny"}
 
 
 def test_maximal_runs(spark):
-    texts = {1: "a\nb\nc\nd\ne", 2: "x\na\nb\n\nc\nd\ny\nd\ne", 3: "b\nc\nq\nx\na\nb\nc\nz", 4: None}
-    got = plain(repeated_runs(frame(spark, list(texts.items()))), "doc_id", "first", "lines", "of_doc", "of_first")
+    long = {c: " ".join([c] * 3) for c in "abcdeqxyz"}
+    texts = {1: "abcde", 2: "xab|cdyde", 3: "bcqxabcz", 4: None}
+    rows = [(d, t and "\n".join("" if c == "|" else long[c] for c in t)) for d, t in texts.items()]
+    got = plain(repeated_runs(frame(spark, rows)), "doc_id", "first", "lines", "of_doc", "of_first")
     assert got == sorted(
         [(2, 1, 4, 1, 0), (2, 6, 2, 1, 3), (3, 0, 2, 1, 1), (3, 3, 2, 2, 0), (3, 4, 3, 1, 0)], key=repr
     )
