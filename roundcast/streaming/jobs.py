@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from roundcast.functions.features import feature_frame, scoreable
@@ -182,26 +182,43 @@ def score_ticks(
 
 
 def route_batch(
-    routes: Mapping[str, tuple[Callable[[DataFrame], DataFrame], str]], run: str | None = None
+    routes: Mapping[str, tuple[Callable[[DataFrame], DataFrame], str]], run: str | None = None, counts: str | None = None
 ) -> Callable[[DataFrame, int], None]:
     """Batch writer for several tables: each route picks rows and names a folder.
 
     The batch is read once and kept while the routes write; writing a folder per
     batch id makes a retry replace its own output, and one per run keeps other runs' output.
+    ``counts``: a folder for the rows that each route wrote in each batch, observed while they were written.
     """
     folders = {name: _run_folder(path, run) for name, (_, path) in routes.items()}
+    counted = counts and _run_folder(counts, run)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
+            seen = []
             for name, (pick, _) in routes.items():
-                pick(batch).write.mode("overwrite").parquet(f"{folders[name]}/batch={batch_id}")
+                observed = Observation()
+                rows = pick(batch).observe(observed, F.count(F.lit(1)).alias("rows"))
+                rows.write.mode("overwrite").parquet(f"{folders[name]}/batch={batch_id}")
+                seen.append((name, observed.get["rows"]))
+            if counted:
+                rows = batch.sparkSession.createDataFrame(seen, "route string, rows long")
+                rows.coalesce(1).write.mode("overwrite").parquet(f"{counted}/batch={batch_id}")
         finally:
             batch.unpersist()
 
     return write
 
 
+def sink_counters(spark: SparkSession, counts: str) -> DataFrame:
+    """Per route: rows ``written``, ``flushes`` (batches) and ``mean_rows`` of a flush, 0 where there was none."""
+    rows = spark.read.schema("route string, rows long").parquet(counts)
+    return rows.groupBy("route").agg(
+        F.sum("rows").alias("written"), F.count(F.lit(1)).alias("flushes"), F.coalesce(F.avg("rows"), F.lit(0.0)).alias("mean_rows")
+    )
+
+
 def scratch_pair(spark: SparkSession, name: str) -> tuple[str, str]:
     """(output folder, checkpoint folder) for one run."""
     return scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-log")
