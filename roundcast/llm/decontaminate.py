@@ -9,13 +9,13 @@ passed over. With several shards each makes a pass, and the hits of a document a
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roundcast.llm.common import (
@@ -203,19 +203,42 @@ def cleaned(texts: pa.Array, spans: list[list[dict]]) -> pa.Array:
     return pa.array([cut_bytes(t, s) if s else t for t, s in zip(texts.to_pylist(), spans, strict=True)], pa.string())
 
 
-def _shards(items: DataFrame, item_id: str, text_col: str, shard_words: int) -> list[DataFrame]:
-    """Items in shards of about ``shard_words`` words; every size is known before anything is collected."""
-    slim = items.select(
-        F.col(item_id).cast("string").alias("item"),
-        F.col(text_col).cast("string").alias("text"),
-        # an upper bound: each word takes a byte and each but the last a separator
-        ((F.coalesce(F.octet_length(text_col), F.lit(0)) + 1) / 2).cast("long").alias("most"),
-    ).where("item is not null")
-    total = slim.agg(F.sum("most")).first()[0] or 0
-    n = max(1, math.ceil(total / shard_words))
-    if n == 1:
-        return [slim.select("item", "text")]
-    return [slim.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).select("item", "text") for i in range(n)]
+def _shards(items: DataFrame, item_id: str, text_col: str, shard_words: int, window: int) -> list[DataFrame]:
+    """Items in shards of at most ``shard_words`` words: nothing larger is ever collected.
+
+    Repeated items count once. A long item is cut into pieces that overlap by a window less a word, so that each of its
+    windows lies in one; a piece has at most half a shard, and a shard is filled up to the other half.
+    """
+    most = max(shard_words // 2, 2 * window)
+    slim = items.select(F.col(item_id).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch["item"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                words = normalised(text)
+                for at in range(0, max(len(words) - window + 1, 1), most - window + 1):
+                    piece = words[at : at + most]
+                    if piece:
+                        row = [pa.array([item]), pa.array([b" ".join(piece).decode()]), pa.array([len(piece)], pa.int64())]
+                        yield pa.RecordBatch.from_arrays(row, names=["item", "text", "n"])
+
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch["n"].to_numpy()
+            before = held + np.cumsum(n) - n
+            held += int(n.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(n), pa.int32()), pa.array(before)], names=["item", "text", "n", "part", "before"])
+
+    pieces = slim.where("item is not null and text is not null").distinct().mapInArrow(cut, "item string, text string, n long")
+    pieces = stored(pieces.mapInArrow(running, "item string, text string, n long, part int, before long"), "items")
+    # a row for each partition of the first pass
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = pieces.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    shard = F.floor((F.col("base") + F.col("before")) / max(shard_words - most, 1))
+    pieces = stored(pieces.join(bases, "part").select("item", "text", shard.alias("shard")), "shards")
+    names = [r.shard for r in pieces.select("shard").distinct().orderBy("shard").collect()]
+    return [pieces.where(F.col("shard") == k).select("item", "text") for k in names] or [pieces.select("item", "text")]
 
 
 def find_hits(
@@ -271,7 +294,7 @@ def find_hits(
 
         return slim.mapInArrow(run, kinds + _HITS)
 
-    shards = _shards(items, item_id, item_text, shard_words)
+    shards = _shards(items, item_id, item_text, shard_words, window)
     if len(shards) == 1:
         return one_pass(shards[0])
     keep_text, later, cut = True, cut, False

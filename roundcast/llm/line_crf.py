@@ -14,13 +14,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roundcast.llm.common import BYTE_CODE, LOWER, VISIBLE, chunks, prefix_sums, slice_hash, table, words_of
 
 THRESHOLD = 0.3
 MAX_DOCUMENTS = 4000
+#: Lines of the training sample, of 39 measures each.
+MAX_LINES = 1_000_000
 FOLDS = 5
 ROUNDS = 120
 _IN_LINE = np.ones(256, bool)
@@ -223,13 +225,21 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % FOLDS
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str, text_col: str, label: str, max_documents: int) -> Field:
-    """A field from at most ``max_documents`` labelled documents outside fold 0, chosen by a hash of their ids."""
+def train(docs: DataFrame, labels: DataFrame, doc_id: str, text_col: str, label: str, max_documents: int, max_lines: int = MAX_LINES) -> Field:
+    """A field from at most ``max_documents`` labelled documents outside fold 0, chosen by a hash of their ids. Of these,
+    in that order, those whose lines add up to ``max_lines`` at most; of several texts with one id, one."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null")
     known = known.where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.avg("y").alias("y"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
     # at most max_documents rows of two numbers
-    met = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "doc_id")
+    text = F.col(text_col).cast("string")
+    met = docs.select(F.col(doc_id).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key")).join(F.broadcast(some), "doc_id")
+    lines = met.select("doc_id", "y", F.struct("key", F.greatest(F.size(F.split("text", "\n")), F.lit(1)).alias("lines")).alias("one"))
+    lines = lines.groupBy("doc_id", "y").agg(F.min("one").alias("one")).select("doc_id", "y", "one.key", "one.lines")
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    # at most max_documents rows again
+    some = lines.withColumn("sum", F.sum("lines").over(before)).where(F.col("sum") <= max_lines).select("doc_id", "key")
+    met = met.join(F.broadcast(some.where("key is not null")), ["doc_id", "key"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,6 +266,7 @@ def score_documents(
     text_col: str = "text",
     label: str = "quality",
     max_documents: int = MAX_DOCUMENTS,
+    max_lines: int = MAX_LINES,
     carry: tuple[str, ...] = (),
     keep_text: bool = False,
 ) -> DataFrame:
@@ -266,7 +277,7 @@ def score_documents(
     texts are scored: equal texts score alike. A null, empty or blank text has the share of label 1 as its score,
     0.5 if there are no labels. Repeated rows and null ids give a row each; no rows give no rows.
     """
-    field = train(docs, labels, doc_id, text_col, label, max_documents)
+    field = train(docs, labels, doc_id, text_col, label, max_documents, max_lines)
     along = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *along)
     names = [c for c in slim.columns if keep_text or c != "text"]

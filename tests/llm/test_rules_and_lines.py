@@ -7,8 +7,8 @@ import pytest
 from conftest_llm import frame, plain, prose
 from pyspark.sql import functions as F
 
-from roundcast.llm.decontaminate import decontaminate, find_hits, normalised
-from roundcast.llm.line_crf import MEASURES, chains, fit, line_measures, marginals, score_documents
+from roundcast.llm.decontaminate import _shards, decontaminate, find_hits, normalised
+from roundcast.llm.line_crf import MEASURES, chains, fit, line_measures, marginals, score_documents, train
 from roundcast.llm.line_runs import dedup_lines, repeated_runs
 from roundcast.llm.quality_rules import quality_rules
 from roundcast.llm.warc import read_archive, write_archive
@@ -220,6 +220,27 @@ def test_held_out_accuracy(spark):
     assert score_documents(frame(spark, []), labels).collect() == []
 
 
+def test_training_sample_is_bounded_in_lines(spark):
+    rows = [(i, f"some text\nof two lines {i}") for i in range(30)] + [(1, "again\nthe same id")] * 3 + [(50, "x\n" * 5000)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    fields = [train(frame(spark, rows), labels, "doc_id", "text", "quality", 4000, n) for n in (20_000, 60, 10)]
+    assert all(np.isfinite(f.scores(line_measures(np.frombuffer(b"a b", np.uint8), np.array([0, 3]))))[0] for f in fields)
+
+
+def test_shards_are_bounded(spark):
+    long = " ".join(f"w{i}" for i in range(500))
+    items = spark.createDataFrame([("a", long), ("a", long), ("b", "w1 w2 w3"), ("c", None), (None, "x")] * 40, "item_id string, text string")
+    shards = [[(r.item, r.text) for r in s.collect()] for s in _shards(items, "item_id", "text", 100, 10)]
+    assert len(shards) > 1 and all(sum(len(t.split()) for _, t in s) <= 100 for s in shards)
+    words = long.split()
+    pieces = [t for s in shards for i, t in s if i == "a"]
+    assert all(sum(" ".join(words[i : i + 10]) in p for p in pieces) == 1 for i in range(491))
+    hits = find_hits(spark.createDataFrame([(1, long), (2, "w1 w2 w3")], "doc_id long, text string"), items, shard_words=100).collect()
+    assert {r.doc_id: (r.n_words, [(s["first"], s["last"]) for s in r.spans], r["items"]) for r in hits} == {
+        1: (500, [(0, 499)], ["a", "b"]), 2: (3, [(0, 2)], ["b"])
+    }
+
+
 def test_fit_of_one_label():
     lines = line_measures(np.frombuffer(b"some text here", np.uint8), np.array([0, 14]))
     for label in (True, False):
