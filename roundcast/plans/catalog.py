@@ -47,11 +47,10 @@ DEDUPED_SQL = f"""{TICKS_SQL}, deduped AS (
     SELECT *, row_number() OVER (PARTITION BY match_id, sequence ORDER BY {_TIE_ORDER}) AS rn
     FROM ticks) WHERE rn = 1)"""
 ROUNDS_SQL = f"rounds AS ({projection(b.ROUND, 'orders')})"
-LABELLED_SQL = f"""{DEDUPED_SQL}, {ROUNDS_SQL}, ended AS (
-  SELECT match_id AS m, round_number AS n, any_value({{'w': winner, 'r': reason}}) AS ending FROM rounds GROUP BY ALL),
-labelled AS (
-  SELECT deduped.*, ending.w AS round_winner, ending.r AS round_reason, if(ending.w = 'CT', 1, 0) AS ct_won
-  FROM ended, deduped WHERE m = match_id AND n = round_number AND phase NOT IN ('freezetime'))"""
+LABELLED_SQL = f"""{DEDUPED_SQL}, {ROUNDS_SQL}, labelled AS (
+  SELECT deduped.*, rounds.winner AS round_winner, rounds.reason AS round_reason,
+    CAST(rounds.winner = 'CT' AS INTEGER) AS ct_won
+  FROM deduped JOIN rounds USING (match_id, round_number) WHERE phase <> 'freezetime')"""
 EVENTS_SQL = f"ev AS ({projection(EVENT, 'events')})"
 
 
@@ -1887,15 +1886,36 @@ def _leaning(spark, sf_dir):
     return rows.withColumn("ct_won", (noise < lean).cast("int"))
 
 
-@query()
+# pairs of scores from..to, whose mean labels give the fit by its max-min formula
+_ISOTONIC_SQL = f"""{SCORED_SQL}, raw AS (
+    SELECT floor(ct_win_probability * 500) / 500 AS score, ct_won FROM scored),
+  points AS (SELECT score, CAST(sum(ct_won) AS DOUBLE) AS total, CAST(count(*) AS DOUBLE) AS weight FROM raw GROUP BY 1),
+  summed AS (SELECT score, row_number() OVER w AS i, sum(total) OVER w AS t, sum(weight) OVER w AS n FROM points WINDOW w AS (ORDER BY score)),
+  means AS (SELECT a.i AS i, b.i AS j, (b.t - coalesce(z.t, 0)) / (b.n - coalesce(z.n, 0)) AS mean
+    FROM summed a JOIN summed b ON a.i <= b.i LEFT JOIN summed z ON z.i = a.i - 1),
+  least_mean AS (SELECT i, j, min(mean) OVER (PARTITION BY i ORDER BY j DESC) AS mean FROM means),
+  fit AS (SELECT score, (SELECT max(mean) FROM least_mean m WHERE m.j = s.i) AS y FROM summed s),
+  ends AS (SELECT min(score) AS lo, max(score) AS hi FROM fit),
+  grid AS (SELECT CAST(g AS INT) AS i, CASE WHEN g = {fv.CALIBRATOR_GRID - 1} THEN hi
+    ELSE lo + g * ((hi - lo) / {fv.CALIBRATOR_GRID - 1}) END AS x FROM ends, range({fv.CALIBRATOR_GRID}) r(g)),
+  near AS (SELECT i, x, max(score) FILTER (score <= x) AS a, min(score) FILTER (score > x) AS b FROM grid, fit GROUP BY i, x)"""
+
+
+@query(
+    f"""WITH {_ISOTONIC_SQL} SELECT (SELECT count(*) FROM raw) AS rows_fitted, i, round(x, 9) AS x,
+    round(CASE WHEN b IS NULL THEN f.y ELSE f.y + (g.y - f.y) * ((x - a) / (b - a)) END, 9) AS y
+    FROM near JOIN fit f ON f.score = a LEFT JOIN fit g ON g.score = b"""
+)
 def isotonic_fit(spark, sf_dir):
+    """Breakpoints of the isotonic fit on all labelled ticks."""
     from roundcast.operators.calibrator import fit_calibrator, literal_points
 
-    rows = _leaning(spark, sf_dir).withColumn("raw_probability", F.expr(PROBABILITY))
+    score = F.floor(F.col("ct_win_probability") * 500) / 500
+    rows = _scored(spark, sf_dir).select("ct_won", score.alias("raw_probability"))
     xs, ys = fit_calibrator(rows)
     one = rows.agg(F.count(F.lit(1)).alias("rows_fitted"))
     return one.select("rows_fitted", F.posexplode(literal_points(xs, ys)).alias("i", "point")).select(
-        "rows_fitted", "i", "point.x", "point.y"
+        "rows_fitted", "i", F.round("point.x", 9).alias("x"), F.round("point.y", 9).alias("y")
     )
 
 
