@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from datetime import UTC, datetime
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from roundcast.functions.features import feature_frame, scoreable
 from roundcast.functions.scoring import prediction_columns
 from roundcast.operators.labels import upsert
-from roundcast.session import scratch_path
+from roundcast.session import checkpointed, scratch_path
 from roundcast.sources.rules import checked, split_valid
 from roundcast.streaming.processor import STATE_CONF
 
@@ -78,20 +79,22 @@ def run_batches(
     _drain(df.sparkSession, writer, checkpoint, state_partitions, timeout_seconds)
 
 
-def _drain(
-    spark: SparkSession, writer, checkpoint: str, state_partitions: int | None, timeout_seconds: float | None
-) -> None:
+def _start(spark: SparkSession, writer, checkpoint: str, state_partitions: int | None = None):
     name = "spark.sql.shuffle.partitions"
     before = spark.conf.get(name)
     if state_partitions:
         spark.conf.set(name, str(state_partitions))
     try:
         # a started query keeps its own copy of the settings
-        query = (
-            writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        )
+        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
         spark.conf.set(name, before)
+
+
+def _drain(
+    spark: SparkSession, writer, checkpoint: str, state_partitions: int | None, timeout_seconds: float | None
+) -> None:
+    query = _start(spark, writer, checkpoint, state_partitions)
     if timeout_seconds is None:
         query.awaitTermination()
     elif not query.awaitTermination(timeout_seconds):
@@ -99,6 +102,94 @@ def _drain(
         raise TimeoutError(f"the streaming query took more than {timeout_seconds} seconds")
 
 
+def run_isolated(
+    df: DataFrame,
+    sinks: Mapping[str, tuple[Callable[[DataFrame, int], None], str]],
+    restarts: int = 2,
+) -> dict[str, tuple[str, int, str]]:
+    """Drain a stream into several sinks, each a query of its own: one that fails stops no other.
+
+    ``sinks`` names a batch writer and a checkpoint folder each. A failed query starts again from its checkpoint, at
+    most ``restarts`` times, and so writes the batch that failed once more. The report has (state, restarts, error) of
+    each sink; the state is "complete" or "failed".
+    """
+    spark = df.sparkSession
+
+    def start(name: str):
+        write, checkpoint = sinks[name]
+        return _start(spark, df.writeStream.foreachBatch(write).outputMode("append"), checkpoint)
+
+    running = {name: (start(name), 0) for name in sinks}
+    report = {}
+    while running:
+        for name, (query, used) in list(running.items()):
+            try:
+                if not query.awaitTermination(0.2):
+                    continue
+                report[name] = ("complete", used, "")
+            except StreamingQueryException as error:
+                if used < restarts:
+                    running[name] = (start(name), used + 1)
+                    continue
+                report[name] = ("failed", used, str(error))
+            del running[name]
+    return report
+
+
+def write_first(
+    path: str, n: int, order: Sequence[str], run: str
+) -> Callable[[DataFrame, int], None]:
+    """Batch writer of the first ``n`` events of a stream; further ones are read and left out.
+
+    A batch comes before the next one; within a batch ``order`` decides, whose columns have to name an event. How many
+    are still wanted is read from what the batches before have written under the same ``run``, so a restart goes on
+    counting and a batch that is tried again takes the same events. A batch is cut at the event of the wanted rank:
+    ranges of the order are counted, and only the range with that rank is sorted for it.
+    """
+    if n < 0:
+        raise ValueError(f"{n} events")
+    folder = _run_folder(path, run)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        taken = 0
+        if batch_id:
+            done = spark.read.schema("batch long").parquet(folder)
+            taken = done.filter(F.col("batch") < batch_id).count()
+        left = n - taken
+        key = F.struct(*order)
+        ranged = batch.select(key.alias("key")).repartitionByRange("key").select("key", F.spark_partition_id().alias("part"))
+        chosen = batch.limit(0)
+        if left > 0:
+            ranged = checkpointed(ranged)
+            chosen = batch
+            for part, size in sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect()):
+                if left <= size:
+                    last = ranged.filter(F.col("part") == part).sort("key").offset(left - 1).limit(1)
+                    chosen = batch.filter(key <= last.select("key").scalar())
+                    break
+                left -= size
+        chosen.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return write
+
+
+def take_first(df: DataFrame, n: int, path: str, checkpoint: str, order: Sequence[str], run: str = "0") -> str:
+    """Drain a stream until ``n`` events are written, then stop; a later call with the same folders goes on counting."""
+    write = write_first(path, n, order, run)
+    query = _start(df.sparkSession, df.writeStream.foreachBatch(write).outputMode("append"), checkpoint)
+    folder, seen = _run_folder(path, run), -1
+    while not query.awaitTermination(1):
+        done = query.lastProgress
+        if done is not None and done["batchId"] > seen:
+            seen = done["batchId"]
+            # a batch that is being written doesn't count yet
+            held = df.sparkSession.read.schema("batch long").parquet(folder)
+            if held.filter(F.col("batch") <= seen).count() >= n:
+                query.stop()
+    return path
+
+
 def _run_folder(path: str, run: str | None) -> str:
     """Batches of a run lie under a name of its own: a new checkpoint counts from 0 again and must not replace them.
 
@@ -219,6 +310,13 @@ def sink_counters(spark: SparkSession, counts: str) -> DataFrame:
     )
 
 
+def read_state(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
+    """A value state of a finished or stopped query: key columns and state columns, one row per key that holds one."""
+    held = spark.read.format("statestore").option("stateVarName", variable).load(checkpoint)
+    value = "value.value.*" if "value" in held.schema["value"].dataType.names else "value.*"
+    return held.select("key.*", value)
+
+
 def scratch_pair(spark: SparkSession, name: str) -> tuple[str, str]:
     """(output folder, checkpoint folder) for one run."""
     return scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-log")

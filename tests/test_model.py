@@ -100,6 +100,38 @@ def test_tree_cap_and_contract(frame, trained):
         md.check_contract(trained.pipeline, fv.FEATURES[::-1])
 
 
+def test_node_table_gives_average_gains_and_capped_margins(spark, frame, trained):
+    nodes = md.node_table(spark, md.stored(trained))
+    kept = rows(nodes)
+    gains = {}
+    for r in kept:
+        if r["feature"] is not None:
+            gains.setdefault(r["feature"], []).append(r["gain"])
+    means = {c: sum(g) / len(g) for c, g in gains.items()}
+    got = md.average_gain(nodes)
+    assert set(got) == set(fv.FEATURES) and list(got.values()) == sorted(got.values(), reverse=True)
+    for c in fv.FEATURES:
+        assert got[c] == pytest.approx(means.get(c, 0.0) / sum(means.values()), abs=1e-6)
+    # leaves are counted in node order, as the model counts them
+    for tree in {r["tree"] for r in kept}:
+        own = sorted((r["node"], r["leaf"]) for r in kept if r["tree"] == tree and r["leaf"] is not None)
+        assert [leaf for _, leaf in own] == list(range(len(own)))
+    features = md.feature_frame(frame.limit(200), ["match_id", "sequence"])
+    for cap in (1, trained.pipeline.stages[-1].getNumTrees):
+        short = md.cap_trees(trained.pipeline, cap)
+        out = md.capped_margin(features, short, nodes, cap).select("margin", md.vector_to_array("rawPrediction").alias("raw"))
+        for r in rows(out):
+            assert r["raw"][1] == pytest.approx(r["margin"], abs=1e-9)
+
+
+def test_importance_names_features_that_no_tree_uses(frame):
+    # the first feature alone varies, so a vector of importances may end with it
+    flat = frame.withColumns({c: F.lit(1) for c in ("alive_ct", "alive_t", "health_ct", "health_t", "kills_ct_window", "kills_t_window")})
+    model = md.train_model(flat, num_rounds=3, patience=1, params={"maxDepth": 1}, partitions=2)
+    short = md.importance(md.cap_trees(model.pipeline, 1))
+    assert set(short) == set(fv.FEATURES) and sum(1 for share in short.values() if share) == 1
+
+
 def test_training_stops_where_held_out_matches_gain_nothing(frame):
     noise = frame.withColumn("ct_won", (F.col("noise") < 50).cast("int"))
     model = md.train_model(noise, num_rounds=30, params={"maxDepth": 2})
