@@ -80,6 +80,24 @@ TICK = {
     "window_seconds": "l_tax * 150",
 }
 
+# lineitem once more, as events: ten matches for two thousand orders each, whose lines come a second apart and are
+# ticks, kills or round starts, with all columns of a tick.
+FEED = {
+    **TICK,
+    "match_id": "concat('s', CAST(CAST(floor(l_orderkey / 2000) AS BIGINT) AS STRING), '-', CAST(l_suppkey % 10 AS STRING))",
+    "sequence": "CAST(l_orderkey * 10 + l_linenumber AS BIGINT)",
+    "timestamp": "TIMESTAMP '2026-01-01 00:00:00' + (l_orderkey * 10 + l_linenumber) * INTERVAL '1' SECOND",
+    "event_type": (
+        "CASE WHEN l_linenumber % 3 = 0 THEN 'kill' WHEN l_linenumber = 7 AND l_partkey % 5 = 0 THEN 'round_start' "
+        "ELSE 'tick' END"
+    ),
+    "victim_team": "CASE WHEN l_partkey % 2 = 0 THEN 'T' ELSE 'CT' END",
+    "headshot": "l_quantity > 25",
+}
+for _name in ("kills_ct_window", "kills_t_window", "window_seconds"):
+    del FEED[_name]
+FEED_SPAN = 150.0
+
 ROUND = {
     "match_id": "concat('m', CAST(o_orderkey AS STRING))",
     "round_number": "CAST(o_orderkey % 24 + 1 AS INT)",
@@ -135,6 +153,10 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind(table(spark, sf_dir, "lineitem"), TICK)
 
 
+def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bind(table(spark, sf_dir, "lineitem"), FEED)
+
+
 def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind(table(spark, sf_dir, "orders"), ROUND)
 

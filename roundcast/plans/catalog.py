@@ -195,11 +195,15 @@ def drop_matches(spark, sf_dir):
 
 
 # --- momentum ------------------------------------------------------------------------
-_EPOCH_SQL = f"""{EVENTS_SQL}, ep AS (SELECT *, CAST(epoch_us(timestamp) AS BIGINT) AS us,
+def _epoch_sql(events_sql):
+    return f"""{events_sql}, ep AS (SELECT *, CAST(epoch_us(timestamp) AS BIGINT) AS us,
   sum(CASE WHEN event_type = 'round_start' THEN 1 ELSE 0 END)
     OVER (PARTITION BY match_id ORDER BY sequence ROWS UNBOUNDED PRECEDING) AS epoch FROM ev)"""
-_SPAN_US = int(MOMENTUM_SPAN * 1_000_000)
-_MOMENTUM_SQL = f"""{_EPOCH_SQL}, kw AS (
+
+
+def _momentum_sql(events_sql, span_seconds):
+    span_us = int(span_seconds * 1_000_000)
+    return f"""{_epoch_sql(events_sql)}, kw AS (
   SELECT match_id, sequence, epoch,
     sum(CASE WHEN victim_team = 'T' THEN 1 ELSE 0 END) OVER w AS kills_ct,
     sum(CASE WHEN victim_team = 'T' THEN 0 ELSE 1 END) OVER w AS kills_t,
@@ -207,12 +211,12 @@ _MOMENTUM_SQL = f"""{_EPOCH_SQL}, kw AS (
     us - min(us) OVER w AS kill_span
   FROM ep WHERE event_type = 'kill'
   WINDOW w AS (PARTITION BY match_id, epoch ORDER BY us
-               RANGE BETWEEN {_SPAN_US} PRECEDING AND CURRENT ROW)),
+               RANGE BETWEEN {span_us} PRECEDING AND CURRENT ROW)),
 tw AS (
   SELECT match_id, sequence, epoch, count(*) OVER w AS ticks, us - min(us) OVER w AS tick_span
   FROM ep WHERE event_type = 'tick'
   WINDOW w AS (PARTITION BY match_id, epoch ORDER BY us
-               RANGE BETWEEN {_SPAN_US} PRECEDING AND CURRENT ROW)),
+               RANGE BETWEEN {span_us} PRECEDING AND CURRENT ROW)),
 mixed AS (
   SELECT match_id, sequence, epoch, 'kill' AS kind, kills_ct, kills_t, headshots, kill_span,
          NULL AS ticks, NULL AS tick_span FROM kw
@@ -232,6 +236,11 @@ momentum AS (
   FROM seen WHERE kind = 'tick')"""
 
 
+_SPAN_US = int(MOMENTUM_SPAN * 1_000_000)
+_EPOCH_SQL = _epoch_sql(EVENTS_SQL)
+_MOMENTUM_SQL = _momentum_sql(EVENTS_SQL, MOMENTUM_SPAN)
+
+
 def _momentum(spark, sf_dir, keep=()):
     return mo.momentum(b.events(spark, sf_dir), span_seconds=MOMENTUM_SPAN, keep=keep)
 
@@ -2100,6 +2109,87 @@ def model_facts(spark, sf_dir):
     return spark.createDataFrame([(k, int(v)) for k, v in facts.items()], "fact string, amount long")
 
 
+_SERVED_ROUNDS = 5
+_FEED_TIE = ", ".join(f"{c} NULLS FIRST" for c in b.FEED if c not in ("match_id", "sequence"))
+_FEED_SQL = f"""raw_feed AS ({projection(b.FEED, 'lineitem')}), ev AS (SELECT * FROM raw_feed
+  QUALIFY row_number() OVER (PARTITION BY match_id, sequence ORDER BY {_FEED_TIE}) = 1)"""
+_SERVED_SQL = f"""{_momentum_sql(_FEED_SQL, b.FEED_SPAN)}, served AS (
+  SELECT ev.*, m.kills_ct AS kills_ct_window, m.kills_t AS kills_t_window, m.window_seconds
+  FROM ev JOIN momentum m USING (match_id, sequence) WHERE phase IN {fv.SCOREABLE_PHASES})"""
+_FEED_COLUMNS = [c for c in b.FEED if c not in ("match_id", "sequence", "timestamp", "event_type", "victim_team", "headshot")]
+
+
+def _serve(spark, sf_dir, drain):
+    """A stored model scores the feed, which lands in quarters of every match, one drain after each; gives model and feed."""
+    from roundcast.plans import model as md
+    from roundcast.session import checkpointed, scratch_path, use_utc
+    from roundcast.streaming import jobs
+
+    jobs.configure_state(use_utc(spark))
+    model = md.load_model(spark, md.stored(md.train_model(_leaning(spark, sf_dir), num_rounds=_SERVED_ROUNDS, params={"stepSize": 0.3})))
+    rows = checkpointed(lb.dedupe(b.feed(spark, sf_dir)))
+    folder = scratch_path(spark, "feed")
+    for quarter in range(4):
+        rows.filter(F.floor(F.col("sequence") % 20_000 / 5_000) == quarter).write.mode("append").parquet(folder)
+        events = jobs.read_table_stream(spark, folder, "*.parquet").withColumn("arrived", F.col("_metadata.file_modification_time"))
+        drain(
+            jobs.score_stream(
+                events,
+                md.scorer(model),
+                _FEED_COLUMNS,
+                keep=("round_number", "arrived"),
+                with_features=True,
+                span_seconds=b.FEED_SPAN,
+            )
+        )
+    return model, spark.read.parquet(folder)
+
+
+@query(
+    f"""WITH {_SERVED_SQL} SELECT match_id, sequence, round_number, true AS as_in_batch,
+    {", ".join(f"CAST({text} AS DOUBLE) AS {name}" for name, text in _FEATURE_SQL.items())} FROM served"""
+)
+def stream_model_scoring(spark, sf_dir):
+    """Features and predictions of a stored model in the stream, beside the batch prediction of the same tick."""
+    from roundcast.plans import model as md
+    from roundcast.streaming import jobs
+
+    path, log = jobs.scratch_pair(spark, "served")
+    model, feed = _serve(spark, sf_dir, lambda out: jobs.run_to_end(out, path, log, state_partitions=_cores(spark)))
+    windows = mo.momentum(feed, span_seconds=b.FEED_SPAN, keep=_FEED_COLUMNS).withColumnsRenamed(
+        {"kills_ct": "kills_ct_window", "kills_t": "kills_t_window"}
+    )
+    batch = md.predict(windows, model).filter("scored").select("match_id", "sequence", F.col("ct_win_probability").alias("batch"))
+    near = F.coalesce(F.abs(F.col("ct_win_probability") - F.col("batch")) <= 1e-6, F.lit(False))
+    both = spark.read.parquet(path).join(batch, ["match_id", "sequence"], "full")
+    return both.select("match_id", "sequence", "round_number", near.alias("as_in_batch"), *fv.FEATURES)
+
+
+@query(
+    f"""WITH {_SERVED_SQL} SELECT match_id, max(sequence) AS sequence, arg_max(round_number, sequence) AS round_number,
+    count(*) AS published, count(*) AS complete FROM served GROUP BY match_id"""
+)
+def stream_model_predictions(spark, sf_dir):
+    """Last prediction of every match from the published payloads; complete ones have all nine fields and add up to 1."""
+    from roundcast.streaming import jobs
+
+    path, log = jobs.scratch_pair(spark, "published")
+
+    def drain(out):
+        jobs.run_to_end(jobs.prediction_messages(out), path, log, state_partitions=_cores(spark))
+
+    _serve(spark, sf_dir, drain)
+    read = jobs.read_predictions(spark.read.parquet(path))
+    filled = reduce(lambda a, c: a & c, [F.col(c).isNotNull() for c in read.columns])
+    whole = filled & (F.abs(F.col("ct_win_probability") + F.col("t_win_probability") - 1) < 2e-6) & (F.col("latency_ms") >= 0)
+    return read.groupBy("match_id").agg(
+        F.max("sequence").alias("sequence"),
+        F.max_by("round_number", "sequence").alias("round_number"),
+        F.count(F.lit(1)).alias("published"),
+        F.count_if(whole).alias("complete"),
+    )
+
+
 @query()
 def feature_gains(spark, sf_dir):
     """Average gain per split of each feature, beside its share of the total gain."""

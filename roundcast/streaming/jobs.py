@@ -13,12 +13,13 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from roundcast.functions import fixed_values as fv
 from roundcast.functions.features import feature_frame, scoreable
 from roundcast.functions.scoring import prediction_columns
 from roundcast.operators.labels import upsert
 from roundcast.session import checkpointed, scratch_path
 from roundcast.sources.rules import checked, split_valid
-from roundcast.streaming.processor import STATE_CONF
+from roundcast.streaming.processor import STATE_CONF, stream_momentum
 
 #: Files that one micro-batch of a file stream admits.
 FILES_PER_BATCH = 64
@@ -253,11 +254,12 @@ def score_ticks(
     score: Callable[[DataFrame], DataFrame],
     names: Mapping[str, str] | None = None,
     keep: Sequence[str] = ("match_id", "sequence", "round_number"),
+    with_features: bool = False,
 ) -> DataFrame:
     """Prediction rows of the scoreable ticks; the others are left out.
 
-    ``score`` adds ``ct_win_probability`` to a feature frame, for example a fitted
-    pipeline's transform. ``ticks`` carries the tick columns and the momentum.
+    ``score`` adds ``ct_win_probability`` to a feature frame, for example the ``scorer`` of a stored model. ``ticks``
+    carries the tick columns and the momentum. ``with_features`` keeps what the prediction was made from.
     """
     rows = ticks.filter(scoreable(F.col("phase")))
     scored = score(feature_frame(rows, list(keep), names))
@@ -269,9 +271,66 @@ def score_ticks(
         F.round(columns[1], 6).alias("t_win_probability"),
         columns[2],
         F.round(columns[3], 6).alias("confidence"),
+        *(fv.FEATURES if with_features else ()),
     )
 
 
+def score_stream(
+    events: DataFrame,
+    score: Callable[[DataFrame], DataFrame],
+    columns: Sequence[str],
+    keep: Sequence[str] = ("round_number",),
+    with_features: bool = False,
+    **windows,
+) -> DataFrame:
+    """Predictions of a stream of events: momentum from the state of the match, all else from the tick.
+
+    ``columns`` names the tick columns that the features read, momentum aside; ``keep`` is added to match and sequence
+    in the result. ``windows`` goes to ``stream_momentum``. The stateful operator is the only shuffle.
+    """
+    carried = tuple(dict.fromkeys((*columns, *keep)))
+    ticks = stream_momentum(events, keep=carried, **windows).withColumnsRenamed(
+        {"kills_ct": "kills_ct_window", "kills_t": "kills_t_window"}
+    )
+    return score_ticks(ticks, score, keep=("match_id", "sequence", *keep), with_features=with_features)
+
+
+def prediction_messages(scored: DataFrame, arrived: str = "arrived") -> DataFrame:
+    """Key and JSON payload of each prediction for a topic; the match is the key, so its predictions keep their order.
+
+    ``timestamp`` is the clock of the micro-batch that scored the tick, ``latency_ms`` the time since the tick arrived
+    at the source, such as a topic's record time: 0 where the clocks disagree, null without an arrival.
+    """
+    now = F.current_timestamp()
+    waited = F.greatest(F.lit(0), F.unix_micros(now) - F.unix_micros(F.col(arrived))) / 1000
+    payload = F.struct(
+        "match_id",
+        "sequence",
+        now.alias("timestamp"),
+        "round_number",
+        "ct_win_probability",
+        "t_win_probability",
+        "favoured_side",
+        "confidence",
+        F.when(F.col(arrived).isNotNull(), F.round(waited, 4)).alias("latency_ms"),
+    )
+    return scored.select(
+        F.col("match_id").cast("string").cast("binary").alias("key"),
+        F.to_json(payload, {"ignoreNullFields": "false"}).cast("binary").alias("value"),
+    )
+
+
+PREDICTION_SCHEMA = (
+    "match_id string, sequence long, timestamp timestamp, round_number int, ct_win_probability double, "
+    "t_win_probability double, favoured_side string, confidence double, latency_ms double"
+)
+
+
+def read_predictions(messages: DataFrame, value: str = "value") -> DataFrame:
+    """Predictions out of their messages."""
+    return messages.select(F.from_json(F.col(value).cast("string"), PREDICTION_SCHEMA).alias("p")).select("p.*")
+
+
 def route_batch(
     routes: Mapping[str, tuple[Callable[[DataFrame], DataFrame], str]], run: str | None = None, counts: str | None = None
 ) -> Callable[[DataFrame, int], None]:

@@ -186,3 +186,53 @@ def test_validation_reports(frame, trained):
     drift = {r["feature"] for r in rows(out["drift"])}
     assert drift == set(fv.FEATURES)
     assert rows(out["verdict"])[0]["severity"] in ("stable", "moderate", "severe", "unknown")
+
+
+def test_a_stored_model_scores_a_stream_as_it_scores_a_batch(spark, frame, trained, tmp_path):
+    """Three arrivals with a restart between them; momentum comes from state, all else from the tick."""
+    from roundcast.operators.momentum import momentum
+    from roundcast.streaming import jobs
+
+    jobs.configure_state(spark)
+    windows = ("kills_ct_window", "kills_t_window", "window_seconds")
+    events = frame.drop(*windows).select(
+        "*",
+        F.timestamp_seconds(F.col("id")).alias("timestamp"),
+        F.when(F.col("noise") < 15, "kill").when(F.col("noise") == 15, "round_start").otherwise("tick").alias("event_type"),
+        F.when(F.col("id") % 3 == 0, "T").otherwise("CT").alias("victim_team"),
+        (F.col("noise") < 5).alias("headshot"),
+        F.when(F.col("id") % 2 == 0, F.timestamp_seconds(F.lit(0))).alias("arrived"),
+    )
+    path, model = str(tmp_path / "in"), md.load_model(spark, md.stored(trained))
+    columns = [c for c in frame.columns if c not in ("id", "match_id", "sequence", "noise", "ct_won", *windows)]
+    for k in range(3):
+        events.filter(F.floor(F.col("id") / 2000) == k).write.mode("append").parquet(path)
+        out = jobs.score_stream(
+            jobs.read_table_stream(spark, path, "*.parquet"), md.scorer(model), columns, keep=("round_number", "arrived"), span_seconds=90.0
+        )
+        jobs.run_to_end(jobs.prediction_messages(out), str(tmp_path / "out"), str(tmp_path / "log"), state_partitions=4)
+    got = rows(jobs.read_predictions(spark.read.parquet(str(tmp_path / "out"))), "match_id", "sequence")
+
+    held = momentum(events, span_seconds=90.0, keep=columns).withColumnsRenamed({"kills_ct": windows[0], "kills_t": windows[1]})
+    want = rows(md.predict(held, trained).filter("scored"), "match_id", "sequence")
+    assert [(r["match_id"], r["sequence"]) for r in got] == [(r["match_id"], r["sequence"]) for r in want]
+    assert len({r["match_id"] for r in got}) == 20 and len(got) > 1000
+    for r, w in zip(got, want):
+        assert r["ct_win_probability"] == pytest.approx(w["ct_win_probability"], abs=1e-6)
+        assert (r["round_number"], r["favoured_side"]) == (w["round_number"], w["favoured_side"])
+        assert r["timestamp"] is not None and (r["latency_ms"] is None) == (r["sequence"] % 2 == 1)
+        assert r["latency_ms"] is None or r["latency_ms"] > 0
+
+
+def test_messages_name_every_field_and_never_wait_less_than_nothing(spark):
+    from roundcast.streaming import jobs
+
+    one = spark.range(1).select(
+        F.lit("m").alias("match_id"), F.lit(1).cast("long").alias("sequence"), F.lit(None).cast("int").alias("round_number"),
+        *[F.lit(0.5).alias(c) for c in ("ct_win_probability", "t_win_probability")], F.lit("even").alias("favoured_side"),
+        F.lit(0.0).alias("confidence"), (F.current_timestamp() + F.expr("INTERVAL 1 DAY")).alias("arrived"),
+    )
+    (message,) = rows(jobs.prediction_messages(one))
+    assert bytes(message["key"]) == b"m" and b'"round_number":null' in bytes(message["value"])
+    (back,) = rows(jobs.read_predictions(spark.createDataFrame([(bytes(message["value"]),)], "value binary")))
+    assert back["latency_ms"] == 0.0 and len(back.asDict() if hasattr(back, "asDict") else back) == 9
