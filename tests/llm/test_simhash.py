@@ -8,7 +8,9 @@ import pytest
 import xxhash
 from conftest_llm import corpus, frame, plain, prose
 
-from roundcast.llm.simhash import BKForest, ShingleSets, alike_links, block_keys, components, links, near_duplicates, without_near_duplicates
+from roundcast.llm.simhash import (
+    TREE_NODES, BKForest, ShingleSets, alike_links, block_keys, components, grouped, links, near_duplicates, without_near_duplicates,
+)
 
 
 def fingerprint(text, size):
@@ -166,6 +168,35 @@ def test_stage_goes_by_exact_similarity(spark):
     assert kept == sorted([x for i in stay for x in (i, i + 1)] + go)
 
 
+def test_recall_against_all_pairs(spark):
+    """Pairs at 0.80 to 0.86, the hardest there are, of short and long texts; every pair of all texts is compared."""
+    rng = random.Random(21)
+    rows, at = [], 0
+    for goal in (14, 25, 60, 150, 400):
+        made = 0
+        while made < 60:
+            words = prose(rng, goal).split()
+            other = list(words)
+            if goal < 60:  # a cut end costs a shingle a word, a changed word five
+                other = other[: goal - rng.randint(1, max(1, goal // 6))]
+            else:
+                for j in rng.sample(range(goal), max(1, goal // rng.randint(45, 60))):
+                    other[j] = "changed"
+            if 0.80 <= jaccard(" ".join(words), " ".join(other)) <= 0.86:
+                rows += [(at, " ".join(words)), (at + 1, " ".join(other))]
+                at, made = at + 2, made + 1
+    held = [{tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    true = {(i, j) for i in range(len(held)) for j in range(i) if 5 * len(held[i] & held[j]) >= 4 * len(held[i] | held[j])}
+    assert len(true) >= 300
+    found = grouped(frame(spark, rows), "doc_id", "text", 5, 120, 8, 6, TREE_NODES, 0.8)
+    root = {r.doc_id: bytes(r.root) for r in found.select("doc_id", "root").collect()}
+    got = {(i, j) for i in range(len(held)) for j in range(i) if root[i] == root[j]}
+    recall = len(true & got) / len(true)
+    print(f"recall {recall:.4f} of {len(true)} pairs")
+    assert recall >= 0.97
+    assert got <= true  # no chains here: what shares a root is alike by itself
+
+
 def test_stage_compares_texts_of_one_print(spark):
     refrain = "la " * 400
     rows = [(i, refrain + prose(random.Random(i), 60)) for i in range(6)]
