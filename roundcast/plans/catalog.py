@@ -718,8 +718,8 @@ def drift_verdict(spark, sf_dir):
     return out.withColumn("max_psi", F.round("max_psi", 6))
 
 
-# lines of few and of many pieces: price moves, quantity too, but with too few values to be judged
-_MOVED_SQL = _DRIFT_SQL.replace("l_shipdate < TIMESTAMP '1998-06-01 00:00:00'", "l_quantity < 25")
+# lines of cheap and of dear pieces, which differ in price and in quantity
+_MOVED_SQL = _DRIFT_SQL.replace("l_shipdate < TIMESTAMP '1998-06-01 00:00:00'", "l_extendedprice < l_quantity * 2000")
 
 
 @query(
@@ -730,7 +730,7 @@ def worst_drift_first(spark, sf_dir):
     """Features that moved between two sides and are sampled well enough, in the order of how far."""
     lines = b.table(spark, sf_dir, "lineitem")
     columns = [F.expr(text).alias(c) for c, text in _DRIFT_BIND.items()]
-    old, new = (lines.filter(side).select(*columns) for side in ("l_quantity < 25", "l_quantity >= 25"))
+    old, new = (lines.filter(side).select(*columns) for side in ("l_extendedprice < l_quantity * 2000", "l_extendedprice >= l_quantity * 2000"))
     moved = dr.drifted_features(dr.drift_report(old, new, columns=_DRIFT_COLUMNS))
     # a row for each feature at most
     place = F.row_number().over(Window.orderBy(F.col("psi").desc(), "feature"))
