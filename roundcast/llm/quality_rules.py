@@ -2,6 +2,9 @@
 
 The threshold table is data: a row names a ratio, a lower and an upper bound. ``compiled`` turns it into one boolean
 column, so that a pass over the texts evaluates all rules with built-in functions only, without a shuffle.
+
+The stop-word bound holds for texts of the four languages of ``STOP_WORDS``: a clean text in another language has none of
+these words and fails it, so such a corpus needs thresholds without that row, or words of its own.
 """
 
 from __future__ import annotations
