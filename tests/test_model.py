@@ -236,3 +236,19 @@ def test_messages_name_every_field_and_never_wait_less_than_nothing(spark):
     assert bytes(message["key"]) == b"m" and b'"round_number":null' in bytes(message["value"])
     (back,) = rows(jobs.read_predictions(spark.createDataFrame([(bytes(message["value"]),)], "value binary")))
     assert back["latency_ms"] == 0.0 and len(back.asDict() if hasattr(back, "asDict") else back) == 9
+
+
+def test_rows_to_train_and_to_judge_are_made_once(spark, frame):
+    """A row made twice counts twice; a task is tried once on this master."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    few = frame.filter("id < 2000")
+    model = md.train_model(few.mapInArrow(counted, few.schema), num_rounds=1, params={"maxDepth": 2}, partitions=2)
+    assert made.value == 2000
+    md.validate(few.mapInArrow(counted, few.schema), model)["verdict"].collect()
+    assert made.value == 4000
