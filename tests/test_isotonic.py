@@ -53,3 +53,20 @@ def test_grid_is_linear_between_blocks(spark):
     xs, ys = isotonic_grid(isotonic_blocks(df, "label", "score"), 6)
     assert xs == pytest.approx([0.0, 0.2, 0.4, 0.6, 0.8, 1.0])
     assert ys == pytest.approx([0.0, 0.0, 0.25, 0.5, 0.75, 1.0])
+
+
+def test_query_makes_its_rows_once(spark, monkeypatch):
+    from roundcast.plans import catalog
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    ticks = spark.range(500).selectExpr("CAST(id % 3 = 0 AS INT) AS ct_won", "(id % 100) / 100D AS ct_win_probability")
+    monkeypatch.setattr(catalog, "_scored", lambda *_: ticks.mapInArrow(counted, ticks.schema))
+    rows = catalog.QUERIES["isotonic_fit"](spark, "unused").collect()
+    assert {r["rows_fitted"] for r in rows} == {500}
+    assert made.value == 500
