@@ -68,6 +68,18 @@ def test_momentum_carries_over_batches_and_equals_the_batch_plan(spark, folder,
     assert got == want
 
 
+def test_a_batch_may_bring_a_match_no_tick(spark, tmp_path):
+    """Its kills still count for the ticks of a later batch; text columns travel along."""
+    path = str(tmp_path / "in")
+    batches = [[("a", 1, at(1.0), "kill", "T", True, 1), ("b", 2, at(1.0), "tick", "CT", False, 1)], [("a", 3, at(2.0), "tick", "CT", False, 1)]]
+    for items in batches:
+        spark.createDataFrame(items, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    out = stream_momentum(stream(spark, path), span_seconds=5.0, keep=("victim_team", "round_number"))
+    done = jobs.run_to_end(out, str(tmp_path / "out"), str(tmp_path / "log"), state_partitions=1)
+    got = {(r["match_id"], r["sequence"], r["victim_team"], r["kills_ct"], r["headshots"]) for r in rows(spark.read.parquet(done))}
+    assert got == {("a", 3, "CT", 1, 1), ("b", 2, "CT", 0, 0)}
+
+
 def test_nothing_is_kept_of_finished_matches(spark, tmp_path):
     items = [
         (f"m{m}", i, at(float(i)), kind, "CT", False, 1)
