@@ -38,6 +38,26 @@ def test_dedupe_is_repeatable_and_collapses_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
+def test_dedupe_deals_its_rows_before_it_sorts_them(spark):
+    """One split of many rows: the sort before the shuffle gets parts of the advisory size, not the split."""
+    items = spark.range(40_000).select(
+        F.concat(F.lit("m"), F.col("id") % 900).alias("match_id"), (F.col("id") % 7).alias("sequence"), F.xxhash64("id").alias("v")
+    ).coalesce(1)
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64k")
+    try:
+        limited = lb.dedupe(items)
+        plan = limited._jdf.queryExecution().executedPlan().toString()
+        # the last Sort is the one nearest to the rows
+        assert "Exchange" in plan[plan.rindex("Sort ["):]
+        dealt = items.hint("rebalance", F.col("v"))
+        assert dealt.groupBy(F.spark_partition_id()).count().count() > 4
+        assert limited.count() == 6300
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_upsert_takes_whole_rows_of_the_last_arrival(spark):
     r = rounds(spark, [("m", 1, "CT", "t_eliminated", 1), ("m", 1, "T", None, 9), ("m", 2, "T", "x", 3)])
     got = rows(lb.upsert(r, ["match_id", "round_number"], ["sequence"]), "round_number")
