@@ -32,6 +32,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the marks that ``parted`` broadcasts: 4 MB, however many keys there are.
+MARK_BITS = 1 << 25
+
+
+def parted(df: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose ``columns`` may be among ``keys``, and those that surely are not.
+
+    So only the first have to meet ``keys`` in a shuffle. Every key sets one bit, so a key more than the bits can tell
+    apart is a row too many in the first part, never one too few. ``keys`` is read for each part: a stored table.
+    """
+    bit = F.pmod(F.xxhash64(*columns), F.lit(MARK_BITS)) + 1
+    at = F.bitmap_bit_position(bit)
+    placed = keys.select(F.bitmap_bucket_number(bit).alias("__bucket"), at.alias("__at"))
+    marks = placed.groupBy("__bucket").agg(F.bitmap_construct_agg("__at").alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    # at most 1,024 rows of 4 KB
+    met = df.withColumn("__bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(marks), "__bucket", "left")
+    return met.where(found).select(*df.columns), met.where(~found).select(*df.columns)
+
+
 def text_key(text: Column) -> Column:
     """Tells rows that share an id apart by their text."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

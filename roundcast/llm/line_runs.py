@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roundcast.llm.common import stored, table
+from roundcast.llm.common import parted, stored, table
 
 MIN_WORDS = 5
 _VISIBLE = "[^\\x20\\x09-\\x0D]"
@@ -111,12 +111,15 @@ def dedup_lines(
     """
     copies = later_copies(named_runs(docs, doc_id, text_col, min_words))
     gone = copies.select("doc_id", "check", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("lines") - 1)).alias("at"))
-    gone = gone.groupBy("doc_id", "check").agg(F.collect_set("at").alias("gone"))
+    gone = stored(gone.groupBy("doc_id", "check").agg(F.collect_set("at").alias("gone")), "gone_lines")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.hash(text).alias("check"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     along = [f"c{i}" for i in range(len(carry))]
-    met = keyed.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id and d.check = g.check"), "left")
-    split = met.select("d.doc_id", "d.text", "g.gone", *[f"d.{c}" for c in along], F.split(F.coalesce("d.text", F.lit("")), "\n").alias("lines"))
+    # texts that lose no line are not shuffled; by the size of its packed file, the table would be broadcast when it is large
+    touched, whole = parted(keyed, gone, ["doc_id", "check"])
+    met = touched.alias("d").join(gone.hint("merge").alias("g"), F.expr("d.doc_id <=> g.doc_id and d.check = g.check"), "left").select("d.*", "g.gone")
+    met = met.unionByName(whole.withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType)))
+    split = met.select("doc_id", "text", "gone", *along, F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     # places in the text of the lines that are not blank, then of those that stay
     full = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(_VISIBLE))
     placed = split.withColumn("full", full)

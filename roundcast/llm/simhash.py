@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roundcast.llm.common import mixed, stored, table
+from roundcast.llm.common import mixed, parted, stored, table
 
 RADIUS = 4
 TREE_NODES = 20_000
@@ -415,7 +415,8 @@ def links(prints: DataFrame, radius: int, tree_nodes: int = TREE_NODES, words64:
     """
     keyed = prints.select(F.xxhash64("print").alias("mark"), F.explode("keys").alias("key"))
     crowds = keyed.groupBy("key").agg(F.min("mark").alias("least"), F.max("mark").alias("most")).where("least <> most").select("key")
-    met = keyed.join(stored(crowds, "crowds"), "key").distinct()
+    crowds = stored(crowds, "crowds")
+    met = parted(keyed, crowds, ["key"])[0].join(crowds, "key").distinct()
     own = prints.select(F.xxhash64("print").alias("mark"), "print").distinct()
     shards = stored(met.join(own, "mark").select("key", "print"), "shard_prints")
     n = F.count("*")
@@ -517,9 +518,13 @@ def grouped(
         held = stored(_units(stored(held, "held"), _blocks_of_sets(F.col("size"), tree_nodes, TREE_SHINGLES)).select("row_key", "print", "units"), "units")
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         texts = docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.hash(text).alias("check")).alias("row_key"), text.alias("text"))
+        # texts without a component of several prints, most of them, are not shuffled
+        texts, _ = parted(texts, held, ["row_key"])
         sets = shingle_sets(texts.join(held, "row_key").select("print", "units", "text"), shingle)
         stars = components(checked_links(sets, radius, similarity, words64))
-    rooted = prints.drop("keys", "size").join(stars.withColumnRenamed("node", "print"), "print", "left")
+    stars = stars.withColumnRenamed("node", "print")
+    linked, alone = parted(prints.drop("keys", "size"), stars, ["print"])
+    rooted = linked.join(stars, "print", "left").unionByName(alone.withColumn("least", F.lit(None).cast("binary")))
     return rooted.select("doc_id", "check", "print", F.coalesce("least", "print").alias("root"))
 
 
@@ -580,9 +585,11 @@ def without_near_duplicates(
     key = F.struct("place.doc_id", "place.check").alias("row_key")
     lost, again = stored(lost.select(key).distinct(), "lost"), stored(again.select(key), "repeated")
     renamed = docs.select(own.alias("row_key"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    left = renamed.join(lost.unionByName(again), "row_key", "left_anti")
+    # of the texts only those that may be lost or repeat are shuffled
+    touched, left = parted(renamed, lost.unionByName(again), ["row_key"])
+    left = left.unionByName(touched.join(lost.unionByName(again), "row_key", "left_anti"))
     # rows that repeat, none of them lost: one of each
-    once = renamed.join(again.join(lost, "row_key", "left_anti"), "row_key", "left_semi").dropDuplicates(["row_key"])
+    once = touched.join(again.join(lost, "row_key", "left_anti"), "row_key", "left_semi").dropDuplicates(["row_key"])
     left = left.unionByName(once)
     return left.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 

@@ -7,6 +7,7 @@ import pytest
 from conftest_llm import frame, plain, prose
 from pyspark.sql import functions as F
 
+from roundcast.llm.common import parted
 from roundcast.llm.decontaminate import _shards, decontaminate, find_hits, normalised
 from roundcast.llm.line_crf import MEASURES, chains, fit, line_measures, marginals, score_documents, train
 from roundcast.llm.line_runs import dedup_lines, repeated_runs
@@ -128,6 +129,25 @@ def test_maximal_runs(spark):
     )
 
 
+def test_only_rows_that_may_have_a_key_meet_the_keys(spark):
+    rows = [(i if i % 5 else None, i % 7, f"t{i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, check int, text string")
+    keys = df.where("text like '%3'").select("doc_id", "check")
+    named = set(map(tuple, keys.collect()))
+    may, not_in = (x.collect() for x in parted(df, keys, ["doc_id", "check"]))
+    assert sorted(map(tuple, [*may, *not_in]), key=repr) == sorted(rows, key=repr)
+    assert not {(r["doc_id"], r["check"]) for r in not_in} & named
+    # two keys share a bit of 2 ^ 25 now and then
+    assert sum((r["doc_id"], r["check"]) not in named for r in may) <= 2
+    none, every = (x.count() for x in parted(df, keys.limit(0), ["doc_id", "check"]))
+    assert (none, every) == (0, 2000)
+
+
+def test_texts_that_lose_no_line_are_not_shuffled(docs):
+    plan = dedup_lines(docs[1])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "bitmap_construct_agg" in plan
+
+
 def test_line_dedup_carries_columns(docs, no_docs):
     done = dedup_lines(docs[1], carry=("n_words", "text"))
     assert done.columns == ["doc_id", "n_lines", "n_removed", "text", "c0", "c1"]
