@@ -252,3 +252,15 @@ def test_rows_to_train_and_to_judge_are_made_once(spark, frame):
     assert made.value == 2000
     md.validate(few.mapInArrow(counted, few.schema), model)["verdict"].collect()
     assert made.value == 4000
+
+
+def test_rows_that_another_side_has_not_as_often(spark):
+    """As by counts on both sides and what they do not share; each side is shuffled once."""
+    kind = "match_id string, sequence long, p double"
+    now = spark.createDataFrame([("a", 1, 0.5)] * 3 + [("a", 2, 0.5), ("b", 1, None), (None, 1, 0.1), ("c", 1, 0.2)], kind)
+    was = spark.createDataFrame([("a", 1, 0.5)] * 2 + [("a", 2, 0.5), ("b", 1, None), (None, 1, 0.1), ("c", 1, 0.3)], kind)
+    found = md.oftener(now, was, deal=("match_id", "sequence"))
+    assert {(r["match_id"], r["sequence"], r["n_now"], r["n_was"]) for r in rows(found)} == {("a", 1, 3, 2), ("c", 1, 1, 0)}
+    assert md.oftener(now, now, deal=("match_id", "sequence")).count() == 0
+    plan = md.oftener(now, was, deal=("match_id", "sequence"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
