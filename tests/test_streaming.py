@@ -146,3 +146,42 @@ def test_bad_payloads_do_not_stop_ingest(spark, tmp_path):
     a = jobs.run_to_end(good.select("match_id", "sequence"), str(tmp_path / "a"), str(tmp_path / "la"))
     b = jobs.run_to_end(bad.select("value", "violations"), str(tmp_path / "b"), str(tmp_path / "lb"))
     assert (spark.read.parquet(a).count(), spark.read.parquet(b).count()) == (5, 2)
+
+
+def test_served_feed_in_several_micro_batches(spark, tmp_path, monkeypatch):
+    """A quarter of the feed that takes several micro-batches has the windows of the batch all the same."""
+    from roundcast.functions.features import feature_frame
+    from roundcast.operators.momentum import momentum
+    from roundcast.plans import bindings as b
+    from roundcast.plans import catalog
+    from roundcast.streaming import jobs
+
+    def h(salt, top):
+        return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(top))
+
+    spark.range(2400).select(
+        F.floor(F.col("id") / 3 * 2.5).cast("long").alias("l_orderkey"),
+        (h(1, 5000)).alias("l_partkey"),
+        (h(2, 2)).alias("l_suppkey"),
+        (F.col("id") % 3 + 1 + 3 * (h(3, 2))).cast("int").alias("l_linenumber"),
+        (h(4, 50) + 1).cast("double").alias("l_quantity"),
+        (h(5, 10) / 100).alias("l_discount"),
+        (h(6, 9) / 100).alias("l_tax"),
+        F.when(h(7, 3) == 0, "R").when(h(7, 3) == 1, "A").otherwise("N").alias("l_returnflag"),
+        F.lit("O").alias("l_linestatus"),
+        F.timestamp_seconds(F.col("id")).cast("timestamp_ntz").alias("l_shipdate"),
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    monkeypatch.setattr(jobs, "FILES_PER_BATCH", 1)
+    spark.conf.set(name, "false")
+    try:
+        got = rows(catalog.stream_model_scoring(spark, str(tmp_path)), "match_id", "sequence")
+    finally:
+        spark.conf.unset(name)
+    windows = momentum(b.feed(spark, str(tmp_path)), span_seconds=b.FEED_SPAN, keep=catalog._FEED_COLUMNS).withColumnsRenamed(
+        {"kills_ct": "kills_ct_window", "kills_t": "kills_t_window"}
+    )
+    kept = ["match_id", "sequence", "kill_delta_window", "engagement_pace"]
+    want = feature_frame(windows.filter(F.col("phase").isin("live", "bomb_planted")), ["match_id", "sequence"]).select(*kept)
+    assert len({r["match_id"] for r in got}) > 1 and all(r["as_in_batch"] for r in got)
+    assert [[r[c] for c in kept] for r in got] == [[r[c] for c in kept] for r in rows(want, "match_id", "sequence")]
